@@ -101,7 +101,7 @@ def strip_sufficiency(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf(T.StructType().add("text", "string").add("repairs", "int"))
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("repairs", T.IntegerType()))
 def escape_controls(texts: pd.Series) -> pd.DataFrame:
     """Raw CR, LF and TAB inside string literals escaped, with a count; the rest untouched."""
     def one(text):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions.text import change_rate
-from tidemark.tables import Ordered, in_batches
+from tidemark.tables import Ordered, in_batches, split_hot_join
 
 
 def calendar_year(year) -> Column:
@@ -162,3 +162,31 @@ def cluster_stats(events: DataFrame, key: str, time: str, tie: str) -> DataFrame
 def event_sequence(events: DataFrame, key: str, time: str, tie: str, **options) -> DataFrame:
     """Events numbered in time order within their sequence."""
     return Ordered(events, [key], [time, tie], **options).row_number("position").result()
+
+
+def temporal_relation(a_start, a_end, b_start, b_end) -> Column:
+    """Label of period a against period b; a period that starts or ends with the other is
+    starts or finishes, one that lies strictly inside is during."""
+    a0, a1, b0, b1 = (F.col(c) if isinstance(c, str) else c for c in (a_start, a_end, b_start, b_end))
+    return (F.when((a0 == b0) & (a1 == b1), "equals").when(a1 < b0, "before").when(a0 > b1, "after")
+            .when(a1 == b0, "meets").when((a0 == b0) & (a1 < b1), "starts").when((a1 == b1) & (a0 > b0), "finishes")
+            .when((a0 > b0) & (a1 < b1), "during").otherwise("overlaps"))
+
+
+def touching_periods(a: DataFrame, b: DataFrame, bucket_days: int = 30) -> DataFrame:
+    """(a_id, b_id, relation) for every pair of periods that share at least one moment.
+
+    Periods (id, start, end) are laid into buckets of ``bucket_days`` and meet in an equi-join;
+    a pair counts in the first bucket both have. (The pairs that do not touch are before or
+    after each other: ``temporal_relation`` labels those without a join.)"""
+    width = bucket_days * 86_400
+
+    def laid(df, side):
+        low, high = (F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / width) for c in ("start", "end"))
+        return df.select(F.col("id").alias(f"{side}_id"), F.col("start").alias(f"{side}_start"),
+                         F.col("end").alias(f"{side}_end"), low.alias(f"{side}_low"),
+                         F.explode(F.sequence(low, high)).alias("bucket"))
+    pairs = split_hot_join(laid(a, "a"), laid(b, "b"), ["bucket"], ["a_id"])
+    pairs = pairs.where((F.col("bucket") == F.greatest("a_low", "b_low"))
+                        & (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
+    return pairs.select("a_id", "b_id", temporal_relation("a_start", "a_end", "b_start", "b_end").alias("relation"))
