@@ -59,7 +59,7 @@ def rule_entities(content, rules: Rules = Rules()) -> Column:
         found(terms(rules.infrastructure), "Infrastructure", "Infrastructure mentioned in the chunk"),
         found(terms(rules.land_use), "LandUse", "Land-use category mentioned in the chunk"),
         found(goals, "PolicyGoal", "Policy goal inferred from sentence"))
-    return F.filter(everything, lambda e: e.name != "")
+    return F.filter(everything, lambda e: e["name"] != "")
 
 
 def rule_extract(chunks: DataFrame, rules: Rules = Rules(), key: str = "id",
@@ -69,7 +69,7 @@ def rule_extract(chunks: DataFrame, rules: Rules = Rules(), key: str = "id",
     found = chunks.select(F.col(key).alias("chunk_id"), rule_entities(content, rules).alias("found"))
     entities = found.select("chunk_id", F.posexplode("found").alias("position", "e")).select(
         "chunk_id", "position", "e.*")
-    policies = F.filter("found", lambda e: e.type == "Policy")
+    policies = F.filter("found", lambda e: e["type"] == "Policy")
     edges = (found.where(F.size(policies) > 0)
              .select("chunk_id", policies[0]["name"].alias("source"), F.posexplode("found").alias("position", "e"))
              .where(F.col("e.name") != F.col("source")))
@@ -98,8 +98,8 @@ def fallback_extract(chunks: DataFrame, districts=vocab.FALLBACK_DISTRICTS,
     found = F.concat(listed(districts, "District", labels[0]), titles,
                      listed(infrastructure, "Infrastructure", labels[2]))
     # first of each name: arrays are short, one chunk's worth
-    names = F.transform(found, lambda e: e.name)
-    once = F.filter(found, lambda e, i: F.array_position(names, e.name) == i + 1)
+    names = F.transform(found, lambda e: e["name"])
+    once = F.filter(found, lambda e, i: F.array_position(names, e["name"]) == i + 1)
     return (chunks.select(F.col(key).alias("chunk_id"), F.posexplode(once).alias("position", "e"))
             .select("chunk_id", "position", F.col("e.name").alias("name"), F.col("e.type").alias("entity_type"),
                     F.col("e.description").alias("description")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes
+from tidemark.plans import changes, graphs, texts
 
-MODULES = (changes,)
+MODULES = (changes, graphs, texts)
 
 
 def queries() -> dict:
