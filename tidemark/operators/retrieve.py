@@ -114,7 +114,7 @@ def global_search(queries: DataFrame, edge_vectors: DataFrame, nodes: DataFrame,
     hits = vector_search(queries, edge_vectors, k).select("query_id", F.col("item_id").alias("edge_id"), "rank", "score")
     found = hits.join(edges, "edge_id")
     ends = found.select("query_id", "rank", "score", F.explode(F.array("src", "tgt")).alias("name"))
-    ends = first_per_key(ends, ["query_id", "name"], [F.col("rank"), F.desc("score")])
+    ends = first_per_key(ends, ["query_id", "name"], [F.col("rank"), -F.col("score")])
     return ends.join(nodes, "name"), found.select("query_id", "src", "tgt", "keywords", "description", "weight",
                                                   *[c for c in ("source_id",) if c in edges.columns], "rank")
 
@@ -164,36 +164,48 @@ def naive_chunks(queries: DataFrame, graph: dict[str, DataFrame], k: int = 5) ->
 
 
 def evidence_budget(entities: DataFrame, relations: DataFrame, chunks: DataFrame, items: int = 20,
-                    reserved: int = 5, chars: int = 200) -> DataFrame:
+                    reserved: int = 5, chars: int = 200, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, position, kind, line) within the budget: entities first, relations fill the
     rest of ``items - reserved`` (all of ``items`` where a question has no chunk), then up to
-    ``reserved`` chunks. ``[E…]`` and ``[D…]`` share one counter.
+    ``reserved`` chunks. ``[E…]`` and ``[D…]`` share one counter. With ``queries`` a question
+    without any evidence gets the line that says so.
 
     Every kind is cut to the budget per question before anything is counted or joined."""
     def cut(column="description"):
         return F.substring(F.coalesce(column, F.lit("")), 1, chars)
 
-    e = top_per_group(entities, ["query_id"], [F.col("rank"), F.col("name")], items, "at").select(
-        "query_id", F.lit(1).alias("kind"), "at",
-        F.concat(F.lit("(Entity:"), F.coalesce("entity_type", F.lit("?")), F.lit(") "), "name", F.lit(" — "), cut()).alias("text"))
-    r = top_per_group(relations, ["query_id"], [F.col("rank"), F.col("src"), F.col("tgt"), F.col("keywords")], items, "at").select(
-        "query_id", F.lit(2).alias("kind"), "at",
-        F.concat(F.lit("(Relation:"), F.coalesce("keywords", F.lit("")), F.lit(") "), "src", F.lit(" → "), "tgt",
-                 F.lit(" — "), cut()).alias("text"))
-    d = top_per_group(chunks, ["query_id"], [F.col("rank"), F.col("chunk_id")], reserved, "at").select(
-        "query_id", F.lit(3).alias("kind"), "at",
-        F.concat(F.lit("(Chunk:"), F.coalesce("source", F.lit("?")), F.lit(") "), cut("content")).alias("text"))
-    # at most 2 * items + reserved rows per question from here on
+    def ranked(df, kind, order, text):
+        return df.select("query_id", F.lit(kind).alias("kind"), "rank", F.concat_ws("\u0001", *order).alias("tie"), text.alias("text"))
+
+    e = ranked(entities, 1, ["name"], F.concat(F.lit("(Entity:"), F.coalesce("entity_type", F.lit("?")), F.lit(") "),
+                                               "name", F.lit(" — "), cut()))
+    r = ranked(relations, 2, ["src", "tgt", "keywords"], F.concat(
+        F.lit("(Relation:"), F.coalesce("keywords", F.lit("")), F.lit(") "), "src", F.lit(" → "), "tgt", F.lit(" — "), cut()))
+    d = ranked(chunks, 3, [F.lpad(F.col("chunk_id").cast("string"), 40, " ")], F.concat(
+        F.lit("(Chunk:"), F.coalesce("source", F.lit("?")), F.lit(") "), cut("content")))
+    rows = e.unionByName(r).unionByName(d)
+    if queries is not None:
+        asked = queries.select("query_id", F.lit(0).alias("kind"), F.lit(1).alias("rank"), F.lit("").alias("tie"),
+                               F.lit(vocab.NO_EVIDENCE).alias("text"))
+        rows = rows.unionByName(asked)
+    best = top_per_group(rows, ["query_id", "kind"], [F.col("rank"), F.col("tie")],
+                         max(items, reserved), "at")
+    # at most items rows per question and kind from here on
     row = F.struct("kind", "at", "text")
-    packed = e.unionByName(r).unionByName(d).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    packed = (best.where((F.col("kind") < 3) | (F.col("at") <= reserved))
+              .groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows")))
     documents = F.filter("rows", lambda x: x.kind == 3)
-    facts = F.filter("rows", lambda x: x.kind < 3)
+    facts = F.filter("rows", lambda x: (x.kind > 0) & (x.kind < 3))
     budget = F.when(F.size(documents) > 0, max(0, items - reserved)).otherwise(items)
-    shown = packed.select("query_id", F.posexplode(F.concat(F.slice(facts, F.lit(1), budget), documents)).alias("p", "x"))
+    evidence = F.concat(F.slice(facts, F.lit(1), budget), documents)
+    shown = packed.select("query_id", F.posexplode(F.when(F.size(evidence) > 0, evidence).otherwise(F.col("rows")))
+                          .alias("p", "x"))
     letter = F.when(F.col("x.kind") == 3, "D").otherwise("E")
-    kind = F.element_at(F.array(F.lit("entity"), F.lit("relation"), F.lit("chunk")), F.col("x.kind"))
-    return shown.select("query_id", (F.col("p") + 1).alias("position"), kind.alias("kind"), F.concat(
-        F.lit("["), letter, (F.col("p") + 1).cast("string"), F.lit("] "), F.col("x.text")).alias("line"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("none", "entity", "relation", "chunk")]), F.col("x.kind") + 1)
+    nothing = F.col("x.kind") == 0
+    return shown.select("query_id", F.when(nothing, 0).otherwise(F.col("p") + 1).alias("position"), kind.alias("kind"),
+                        F.when(nothing, F.col("x.text")).otherwise(F.concat(
+                            F.lit("["), letter, (F.col("p") + 1).cast("string"), F.lit("] "), F.col("x.text"))).alias("line"))
 
 
 def number_evidence(rows: DataFrame, key: str = "query_id", order: str = "position", text: str = "text",
@@ -212,10 +224,7 @@ def query_with_evidence(queries: DataFrame, graph: dict[str, DataFrame], mode: s
     if mode != "naive":
         without = queries.join(chunks.select("query_id"), "query_id", "left_anti")
         chunks = chunks.unionByName(naive_chunks(without, graph, 5))
-    lines = evidence_budget(entities, relations, chunks, **budget)
-    none = queries.join(lines.select("query_id"), "query_id", "left_anti").select(
-        "query_id", F.lit(0).alias("position"), F.lit("none").alias("kind"), F.lit(vocab.NO_EVIDENCE).alias("line"))
-    return lines.unionByName(none)
+    return evidence_budget(entities, relations, chunks, queries=queries, **budget)
 
 
 def policy_queries(queries: DataFrame, prefix: str = vocab.POLICY_QUERY_PREFIX) -> DataFrame:

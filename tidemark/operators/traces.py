@@ -75,7 +75,7 @@ def trace_summary(spans: DataFrame) -> DataFrame:
     first = top_per_group(spans.where(is_root()).select("trace_id", "name", "start_time", "span_id"),
                           ["trace_id"], [F.col("start_time"), F.col("span_id")], 3)
     names = first.groupBy("trace_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s.name), ", ").alias("root_names"))
+        F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]), ", ").alias("root_names"))
     return totals.join(names, "trace_id", "left").withColumn("root_names", F.coalesce("root_names", F.lit("")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # see session.local_session
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes, graphs, texts
+from tidemark.plans import changes, graphs, logs, retrieval, texts
 
-MODULES = (changes, graphs, texts)
+MODULES = (changes, graphs, texts, retrieval, logs)
 
 
 def queries() -> dict:
