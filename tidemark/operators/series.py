@@ -29,7 +29,7 @@ def year_changes(years: DataFrame, membership: DataFrame, events: DataFrame,
             .withColumn("net_change", F.col("entries") - F.col("exits")))
 
 
-def type_distribution(years: DataFrame, events: DataFrame, points: DataFrame,
+def type_distribution(years: DataFrame, points: DataFrame, events: DataFrame,
                       first: int | None = None, last: int | None = None) -> DataFrame:
     """(year, land_use_code, n) of the points that entered."""
     came = events.where("event_type = 'entry'").select(F.col("year_after").alias("year"), "point_id")
@@ -49,7 +49,7 @@ def _distribution_text(distribution: DataFrame) -> DataFrame:
         F.sum("n").alias("total"))
 
 
-def time_series(years: DataFrame, membership: DataFrame, events: DataFrame, points: DataFrame,
+def time_series(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame,
                 metric: str, first: int, last: int, preview: int = 5) -> DataFrame:
     """(year, value, line): one row per year with a boundary; ``line`` is the evidence text."""
     if metric not in METRICS:
@@ -61,7 +61,7 @@ def time_series(years: DataFrame, membership: DataFrame, events: DataFrame, poin
     if metric == "net_change":
         return rows.select("year", F.col("net_change").alias("value")).withColumn("line", head)
     if metric == "point_type_distribution":
-        texts = _distribution_text(type_distribution(years, events, points, first, last))
+        texts = _distribution_text(type_distribution(years, points, events, first, last))
         return rows.select("year").join(texts, "year", "left").select(
             "year", F.coalesce("total", F.lit(0)).alias("value"),
             F.concat(F.format_string("(%d年, 共%d个) ", "year", F.coalesce("total", F.lit(0))),
@@ -77,7 +77,7 @@ def time_series(years: DataFrame, membership: DataFrame, events: DataFrame, poin
                     .alias("line")))
 
 
-def compare_periods(years: DataFrame, membership: DataFrame, events: DataFrame, points: DataFrame,
+def compare_periods(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame,
                     year_a: int, year_b: int, names_per_line: int = 1000) -> DataFrame:
     """(line_no, line): counts, member names and entry types of two years side by side, or
     one line naming the years that are missing. A long name list goes over several lines."""
@@ -105,7 +105,7 @@ def compare_periods(years: DataFrame, membership: DataFrame, events: DataFrame,
                            F.concat(F.format_string(f"(%d年{title}) ", "year"),
                                     F.coalesce(F.array_join("names", ", "), F.lit(vocab.NONE_WORD))).alias("text"))
 
-    types = _distribution_text(type_distribution(years, events, points))
+    types = _distribution_text(type_distribution(years, points, events))
     typed = have.join(types, "year", "left").select(
         F.lit(3).alias("block"), "slot", F.lit(0).alias("part"),
         F.concat(F.format_string("(%d年进入类型) ", "year"), F.coalesce("text", F.lit(vocab.NONE_WORD))).alias("text"))
@@ -116,7 +116,7 @@ def compare_periods(years: DataFrame, membership: DataFrame, events: DataFrame,
     return order.select("line_no", F.concat(number, "text").alias("line"))
 
 
-def year_summary(years: DataFrame, membership: DataFrame, events: DataFrame, points: DataFrame,
+def year_summary(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame,
                  year: int) -> DataFrame:
     """(line_no, line) of one year: the boundary, then all points entered, then all left."""
     counts = boundary_counts(years, membership).where(F.col("year") == year)
@@ -136,7 +136,7 @@ def year_summary(years: DataFrame, membership: DataFrame, events: DataFrame, poi
     return numbered.select("line_no", F.concat(F.format_string("[E%d] ", "line_no"), "text").alias("line"))
 
 
-def timeline(years: DataFrame, membership: DataFrame, events: DataFrame, points: DataFrame, first: int, last: int,
+def timeline(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame, first: int, last: int,
              entered: int = 3, left: int = 2, chars: int = 100) -> DataFrame:
     """(line_no, year, line): counts per year with the first few points of each direction."""
     rows = year_changes(years, membership, events, first, last)

@@ -141,7 +141,7 @@ def year_changes(spark, folder):
 def _series(metric):
     def run(spark, folder):
         years, membership, points, events = _all(spark, folder)
-        return series.time_series(years, membership, events, points, metric, 1990, 2010)
+        return series.time_series(years, membership, points, events, metric, 1990, 2010)
     return run
 
 
@@ -172,7 +172,7 @@ ORACLES["series_point_types"] = CHANGES_SQL + f""", {DISTRIBUTION_SQL}
 @query(CHANGES_SQL + f", {DISTRIBUTION_SQL} SELECT year, land_use_code, n FROM dist")
 def type_distribution(spark, folder):
     years, membership, points, events = _all(spark, folder)
-    return series.type_distribution(years, events, points)
+    return series.type_distribution(years, points, events)
 
 
 @query(CHANGES_SQL + f""", {YEAR_CHANGES_SQL}, {DISTRIBUTION_SQL}, slots AS (SELECT 1 AS slot, 1997 AS year UNION ALL SELECT 2, 2000),
@@ -187,13 +187,13 @@ def type_distribution(spark, folder):
     '[E' || row_number() OVER (ORDER BY block, slot) || '] ' || text AS line FROM lines""")
 def compare_periods(spark, folder):
     years, membership, points, events = _all(spark, folder)
-    return series.compare_periods(years, membership, events, points, 1997, 2000, names_per_line=1_000_000)
+    return series.compare_periods(years, membership, points, events, 1997, 2000, names_per_line=1_000_000)
 
 
 @query("SELECT 1 AS line_no, '(缺少年份数据: 1900, 2100)' AS line")
 def compare_missing_years(spark, folder):
     years, membership, points, events = _all(spark, folder)
-    return series.compare_periods(years, membership, events, points, 1900, 2100)
+    return series.compare_periods(years, membership, points, events, 1900, 2100)
 
 
 @query(CHANGES_SQL + f""", lines AS (
@@ -206,7 +206,7 @@ def compare_missing_years(spark, folder):
    '[E' || row_number() OVER (ORDER BY block, point_name, point_id) || '] ' || text AS line FROM lines""")
 def year_summary(spark, folder):
     years, membership, points, events = _all(spark, folder)
-    return series.year_summary(years, membership, events, points, 1998)
+    return series.year_summary(years, membership, points, events, 1998)
 
 
 @query(CHANGES_SQL + f""", {YEAR_CHANGES_SQL}, ranked AS (SELECT year_after AS year, event_type, point_name, point_id,
@@ -221,7 +221,7 @@ def year_summary(spark, folder):
    '[E' || row_number() OVER (ORDER BY year, block, rn) || '] ' || text AS line FROM lines""")
 def timeline(spark, folder):
     years, membership, points, events = _all(spark, folder)
-    return series.timeline(years, membership, events, points, 1990, 2010)
+    return series.timeline(years, membership, points, events, 1990, 2010)
 
 
 @query("SELECT y.year FROM (SELECT unnest(range(1990, 2006))::INT AS year) y WHERE y.year NOT IN (SELECT year(o_orderdate) FROM orders)")

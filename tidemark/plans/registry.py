@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes, graphs, logs, retrieval, texts
+from tidemark.plans import changes, graphs, logs, retrieval, streams, texts
 
-MODULES = (changes, graphs, texts, retrieval, logs)
+MODULES = (changes, graphs, texts, retrieval, logs, streams)
 
 
 def queries() -> dict:
