@@ -71,7 +71,7 @@ def rule_extract(chunks: DataFrame, rules: Rules = Rules(), key: str = "id",
         "chunk_id", "position", "e.*")
     policies = F.filter("found", lambda e: e["type"] == "Policy")
     edges = (found.where(F.size(policies) > 0)
-             .select("chunk_id", policies[0]["name"].alias("source"), F.posexplode("found").alias("position", "e"))
+             .select("chunk_id", F.get(policies, F.lit(0))["name"].alias("source"), F.posexplode("found").alias("position", "e"))
              .where(F.col("e.name") != F.col("source")))
     kind = F.when(F.col("e.type") == "PolicyGoal", "HAS_GOAL").otherwise("AFFECTS")
     relations = edges.select("chunk_id", "position", "source", F.col("e.name").alias("target"), kind.alias("type"),

@@ -53,7 +53,7 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     points = rows.select(
         F.coalesce("f.properties.id", F.format_string("point_%d", "n")).alias("point_id"),
         F.coalesce("f.properties.name", F.format_string("点%d", F.col("n") + 1)).alias("name"),
-        at[0].alias("lon"), at[1].alias("lat"), F.coalesce("f.properties.type", F.lit("unknown")).alias("point_type"))
+        F.get(at, F.lit(0)).alias("lon"), F.get(at, F.lit(1)).alias("lat"), F.coalesce("f.properties.type", F.lit("unknown")).alias("point_type"))
     years = doc.select(F.explode("years").alias("year"), "year_boundaries")
     shape = F.try_element_at("year_boundaries", F.col("year").cast("string"))
     return points, years.select("year", rings_of(shape).alias("rings"))
@@ -105,8 +105,8 @@ def read_policies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(path, source, text) of every .txt file below the folder; unreadable files are skipped."""
-    rows = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.[tT][xX][tT]").option("ignoreCorruptFiles", True).text(folder))
+    rows = spark.read.option("ignoreCorruptFiles", True).text(
+        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]")
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.regexp_replace(path, "^.*/", "").alias("source"), F.col("value").alias("text"))
 
@@ -133,7 +133,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         mine = [k["_id"] for k in keys if k["_for"] in (kind, "all") and k["_attr.name"] == name]
         if not mine:
             return F.lit(None).cast("string")
-        return F.filter("data", lambda d: d["_key"].isin(mine))[0]["_VALUE"]
+        return F.get(F.filter("data", lambda d: d["_key"].isin(mine)), F.lit(0))["_VALUE"]
     spark_nodes = rows("node", f"_id string, {data}")
     nodes = spark_nodes.select(F.col("_id").alias("name"),
                                F.coalesce(attribute("node", "entity_type"), F.lit("Unknown")).alias("entity_type"),

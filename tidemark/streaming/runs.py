@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch_dir
 
 
-def replay(df: DataFrame, order: Column, slices: int = 4) -> DataFrame:
-    """A stream of ``df`` that arrives in ``slices`` batches, cut by ranges of ``order``."""
+def replay(df: DataFrame, order: Column, slices: int = 4, files: int | None = None) -> DataFrame:
+    """A stream of ``df`` that arrives in ``slices`` batches, cut by ranges of ``order``, each of
+    ``files`` files; a slice needs at least that many rows to be a batch of its own."""
     spark = df.sparkSession
     folder = f"{scratch_dir(spark)}/tidemark/replay-{uuid.uuid4().hex}"
     low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).head()
     width = max((high - low + 1) / slices, 1.0)
     part = F.least(F.floor((order.cast("double") - low) / width), F.lit(slices - 1))
     # the trigger counts files and takes them in the order they were written
-    files = spark.sparkContext.defaultParallelism
+    files = files or spark.sparkContext.defaultParallelism
     for number in range(slices):
         df.where(part == number).repartition(files).write.parquet(f"{folder}/slice={number}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slice=*")
