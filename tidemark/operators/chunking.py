@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions.text import chunk_id, heading_level, keep_image, keywords, sentences, strip, usable_description
+from tidemark.session import written
 from tidemark.tables import Ordered, first_per_key, top_per_group
 
 
@@ -177,6 +178,8 @@ def chunk_structured(lines: DataFrame, size: int = 700, overlap: int = 80, min_c
     pieces = texts.where("content <> ''").select(
         "doc_id", "source", "section", "heading_path", "buffer", "page",
         F.posexplode(packed_sentences("content", size, overlap)).alias("piece", "content"))
+    # numbered and merged in several passes: keep the pieces instead of cutting them again
+    pieces = written(pieces, "pieces")
     numbered = Ordered(pieces, ["doc_id"], ["section", "buffer", "piece"], **options).row_number("_n").result()
     merged = merge_tiny(numbered.withColumn("chunk_index", F.col("_n") - 1), min_chars, size, **options)
     return merged.select("doc_id", chunk_id("source", "page", "chunk_index", "content").alias("id"), "content",

@@ -10,6 +10,7 @@ from tidemark.functions.scan import json_candidate
 from tidemark.functions.text import (clean_text, contains_any, normalize_entity_type, normalize_relation_type,
                                      reject_reason, strip)
 from tidemark.operators.graph import import_source_id, source_id
+from tidemark.session import written
 from tidemark.tables import first_per_key
 
 RAW_ENTITY = "struct<name:string,type:string,description:string>"
@@ -166,12 +167,14 @@ def import_extract(chunks: DataFrame, responses: DataFrame, rules: Rules = Rules
         return F.coalesce(*[F.when(F.size(F.col(f"j.{n}")) > 0, F.col(f"j.{n}")) for n in names])
     parsed = parsed.select("chunk_id", filled("entities", "nodes").alias("es"),
                            filled("relationships", "relations", "edges").alias("rs"))
+    # read several times below, so the replies are scanned once and kept
+    parsed = written(parsed, "parsed-replies")
     raw_entities = parsed.select("chunk_id", F.posexplode("es").alias("position", "e")).select("chunk_id", "position", "e.*")
     raw_relations = parsed.select("chunk_id", F.posexplode("rs").alias("position", "r")).select("chunk_id", "position", "r.*")
     entities, relations = normalize_extracted(raw_entities, raw_relations)
     answered = entities.select("chunk_id").union(relations.select("chunk_id")).distinct()
     rest = chunks.join(answered.withColumnRenamed("chunk_id", "id"), "id", "left_anti")
-    more = normalize_extracted(*rule_extract(rest, rules))
+    more = normalize_extracted(*[written(rows, "rule-rows") for rows in rule_extract(rest, rules)])
     where = chunks.select(F.col("id").alias("chunk_id"),
                           import_source_id(F.col("source"), F.col("page"), F.col("chunk_index")).alias("source_id"))
     return (entities.unionByName(more[0]).join(where, "chunk_id"),
@@ -186,7 +189,9 @@ def validate_entities(raw: DataFrame, contents: DataFrame, types=vocab.ENTITY_TY
     name = strip(F.coalesce("entity_name", F.lit("")))
     sentence = F.col("entity_type").isin(*sentence_types)
     name = F.when(sentence, F.substring(name, 1, 40)).otherwise(name)
-    rows = raw.join(contents, "chunk_id").withColumn("name", name)
+    # the name is worked out below the join: above it, a filter on the reason would repeat
+    # the expression at each of its uses
+    rows = raw.withColumn("name", name).join(contents, "chunk_id")
     reason = (F.when(~F.coalesce(F.col("entity_type").isin(*types), F.lit(False)), "invalid type")
               .when(sentence, F.when(F.length("name") < 2, "empty").otherwise(""))
               .otherwise(reject_reason("name", "content", verbs, connectives)))

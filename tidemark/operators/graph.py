@@ -170,7 +170,8 @@ def point_cards(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, neighbour
 
 def point_detail(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     wanted = nodes.sparkSession.createDataFrame([(name,)], "name string")
-    return point_cards(nodes, edges, wanted)
+    mine = edges.where((F.col("src") == name) | (F.col("tgt") == name))
+    return point_cards(nodes, mine, wanted)
 
 
 def path(nodes: DataFrame, edges: DataFrame, steps: list[tuple[str, str]], types: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemark import vocab
 from tidemark.functions.text import keywords
 from tidemark.operators.graph import source_id
+from tidemark.session import written
 from tidemark.tables import Ordered, first_per_key, split_hot_join, top_per_group
 
 VECTORS_PER_PART = 20_000
@@ -25,8 +26,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, position:
     equi-join; a word that very many chunks share is cut up over tasks."""
     asked = queries.select("query_id", F.explode(F.array_distinct(keywords("text"))).alias("word"))
     words = chunks.select("chunk_id", position, F.explode(F.array_distinct(keywords("content"))).alias("word"))
-    # chunk words no question has cannot score
-    words = words.join(asked.select("word").distinct(), "word", "left_semi")
+    # chunk words no question has cannot score; the rest is counted and then joined
+    words = written(words.join(asked.select("word").distinct(), "word", "left_semi"), "shared-words")
     shared = split_hot_join(words, asked, ["word"], ["chunk_id"])
     scores = (shared.groupBy("query_id", "chunk_id", position).agg(F.count("*").alias("score"))
               .where(F.col("score") >= min_score))

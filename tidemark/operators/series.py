@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import vocab
@@ -109,9 +109,9 @@ def compare_periods(years: DataFrame, membership: DataFrame, points: DataFrame,
     typed = have.join(types, "year", "left").select(
         F.lit(3).alias("block"), "slot", F.lit(0).alias("part"),
         F.concat(F.format_string("(%d年进入类型) ", "year"), F.coalesce("text", F.lit(vocab.NONE_WORD))).alias("text"))
-    lines = (absent.unionByName(counts).unionByName(listed("entry", 2, "进入点位")).unionByName(typed)
-             .withColumn("_all", F.lit(1)))
-    order = Ordered(lines, ["_all"], ["block", "slot", "part"]).row_number("line_no").result()
+    lines = (absent.unionByName(counts).unionByName(listed("entry", 2, "进入点位")).unionByName(typed))
+    # six lines and one more per thousand names: small enough for one window
+    order = lines.withColumn("line_no", F.row_number().over(Window.orderBy("block", "slot", "part")))
     number = F.when(F.col("block") == 0, "").otherwise(F.format_string("[E%d] ", "line_no"))
     return order.select("line_no", F.concat(number, "text").alias("line"))
 
@@ -152,6 +152,7 @@ def timeline(years: DataFrame, membership: DataFrame, points: DataFrame, events:
         "year", F.when(entry, 1).otherwise(2).alias("block"), "rank",
         F.concat(F.when(entry, "(Point/进入/").otherwise("(Point/退出/"), F.format_string("%d年) ", "year"),
                  "point_name", F.lit(" — "), F.coalesce("description", F.lit(vocab.DEFAULT_POINT_TEXT))).alias("text"))
-    lines = heads.unionByName(details).withColumn("_all", F.lit(1))
-    numbered = Ordered(lines, ["_all"], ["year", "block", "rank"]).row_number("line_no").result()
+    # a handful of lines per calendar year
+    numbered = heads.unionByName(details).withColumn(
+        "line_no", F.row_number().over(Window.orderBy("year", "block", "rank")))
     return numbered.select("line_no", "year", F.concat(F.format_string("[E%d] ", "line_no"), "text").alias("line"))

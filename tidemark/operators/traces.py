@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
 from tidemark.tables import top_per_group
 
 
@@ -91,35 +92,39 @@ def flat_spans(spans: DataFrame) -> DataFrame:
                         "trace_id", "span_id", "start_time").orderBy("start_time", "span_id")
 
 
-def span_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def span_tree(spans: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
     """Spans with ``depth``, ``root_id`` and ``path`` (start times and ids from the root down;
     sorting by (trace_id, path) is tree order). A span whose parent is not in its trace is a root.
 
-    Pointer doubling: after step n every span knows its ancestor 2^n levels up, so depth
-    ``max_depth`` takes log2(max_depth) joins on the unique key (trace_id, span_id), however
-    large a trace is. Spans deeper than that, or in a cycle, come out with depth null."""
+    Pointer doubling: after round n every span knows its ancestor 2^n levels up, so a tree of
+    depth d takes log2(d) joins on the unique key (trace_id, span_id), however large a trace
+    is. Each round is written, which keeps the plan short. Spans in a cycle never meet a
+    root and come out with depth null."""
     step = F.concat(F.lpad(F.col("start_time").cast("string"), 20, "0"), F.lit(":"), F.col("span_id"))
-    base = spans.select("trace_id", "span_id", "parent_id", "name", "start_time", "duration_ms", "status",
-                        step.alias("step"))
-    ids = base.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("known"))
-    links = (base.join(ids, ["trace_id", "parent_id"], "left")
-             .select("trace_id", "span_id", F.when(F.col("known"), F.col("parent_id")).alias("up"),
-                     F.lit(0).alias("hops"), F.col("span_id").alias("top"), F.col("step").alias("path")))
-    links = links.withColumn("hops", F.when(F.col("up").isNull(), 0).otherwise(1))
+    ids = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("known"))
+    up = F.when(F.col("known"), F.col("parent_id"))
+    links = written(
+        spans.select("trace_id", "span_id", "parent_id", step.alias("path")).join(ids, ["trace_id", "parent_id"], "left")
+        .select("trace_id", "span_id", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).alias("hops"),
+                F.col("span_id").alias("top"), "path"), "span-links")
     reach = 1
     while reach < max_depth:
-        above = links.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"),
-                             F.col("hops").alias("_hops"), F.col("path").alias("_path"), F.col("top").alias("_top"))
-        links = (links.join(above, ["trace_id", "up"], "left")
-                 .select("trace_id", "span_id", F.col("_up").alias("up"),
-                         (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-                         F.coalesce("_top", "top").alias("top"),
-                         F.concat_ws("/", "_path", "path").alias("path")))
+        open_links = links.where("up is not null")
+        if open_links.isEmpty():
+            break
+        # only spans that still climb are joined; the others are done
+        above = links.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"),
+                             F.col("path").alias("_path"), F.col("top").alias("_top"))
+        climbed = open_links.join(above, ["trace_id", "up"]).select(
+            "trace_id", "span_id", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"),
+            F.col("_top").alias("top"), F.concat_ws("/", "_path", "path").alias("path"))
+        links = written(links.where("up is null").unionByName(climbed), "span-links")
         reach *= 2
     whole = F.col("up").isNull()
     tree = links.select("trace_id", "span_id", F.when(whole, F.col("hops")).alias("depth"),
                         F.when(whole, F.col("top")).alias("root_id"), F.when(whole, F.col("path")).alias("path"))
-    return base.drop("step").join(tree, ["trace_id", "span_id"])
+    return (spans.select("trace_id", "span_id", "parent_id", "name", "start_time", "duration_ms", "status")
+            .join(tree, ["trace_id", "span_id"]))
 
 
 def tree_lines(tree: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import build, graph as g, link, transitions as tr
 from tidemark.plans import inputs as i
+
 from tidemark.plans.inputs import CHANGES_SQL, DESCRIPTION_SQL, EVENT_NAME_SQL
+from tidemark.session import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,6 +30,11 @@ def gis_graph(spark, folder, detail="full"):
     return build.build_gis_graph(years, membership, points, events, 5.0, detail)
 
 
+def stored_graph(spark, folder):
+    """The change graph as its readers find it: built once and written."""
+    return tuple(written(part, "graph") for part in gis_graph(spark, folder))
+
+
 HAVERSINE_SQL = """2 * 6371e0 * asin(sqrt(least(1e0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2)
   + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"""
 GIS_SQL = CHANGES_SQL + f""", member_points AS (SELECT * FROM points WHERE point_id IN (SELECT point_id FROM membership)),
@@ -70,7 +77,7 @@ def gis_nodes_brief(spark, folder):
 
 @query(GIS_SQL + f" SELECT {EVENT_NAME_SQL} AS event, point_name AS point FROM events_full")
 def points_of_event(spark, folder):
-    return g.points_of_event(*gis_graph(spark, folder))
+    return g.points_of_event(*stored_graph(spark, folder))
 
 
 CARDS_SQL = GIS_SQL + f""", own AS (SELECT name AS point, 0 AS kind, '' AS key, '(Entity:Point) ' || name || ' — ' || description AS text FROM gis_nodes WHERE entity_type = 'Point'),
@@ -84,33 +91,33 @@ CARDS_SQL = GIS_SQL + f""", own AS (SELECT name AS point, 0 AS kind, '' AS key,
 
 @query(CARDS_SQL + " SELECT point, line_no, '[E' || line_no || '] ' || text AS line FROM cards")
 def point_cards(spark, folder):
-    nodes, edges = gis_graph(spark, folder)
+    nodes, edges = stored_graph(spark, folder)
     return g.point_cards(nodes, edges, nodes.where("entity_type = 'Point'"))
 
 
 @query(CARDS_SQL + " SELECT point, line_no, '[E' || line_no || '] ' || text AS line FROM cards WHERE point = 'Customer#000000007'")
 def point_detail(spark, folder):
-    return g.point_detail(*gis_graph(spark, folder), "Customer#000000007")
+    return g.point_detail(*stored_graph(spark, folder), "Customer#000000007")
 
 
 @query("SELECT 'Nowhere' AS point, 0 AS line_no, '未在 GIS 图谱找到点位「Nowhere」' AS line")
 def point_detail_missing(spark, folder):
-    return g.point_detail(*gis_graph(spark, folder), "Nowhere")
+    return g.point_detail(*stored_graph(spark, folder), "Nowhere")
 
 
 @query(GIS_SQL + f" SELECT point_name AS n0, {EVENT_NAME_SQL} AS n1, year_after || '年城市边界' AS n2 FROM events_full")
 def two_hop(spark, folder):
-    return g.two_hop(*gis_graph(spark, folder), "INVOLVES_POINT", "ON_BOUNDARY")
+    return g.two_hop(*stored_graph(spark, folder), "INVOLVES_POINT", "ON_BOUNDARY")
 
 
 @query(GIS_SQL + f""" SELECT DISTINCT {EVENT_NAME_SQL} AS n0, year_after || '年城市边界' AS n1, year_before || '年城市边界' AS n2 FROM events_full""")
 def path_query(spark, folder):
-    return g.path(*gis_graph(spark, folder), [("ON_BOUNDARY", "out"), ("TRANSITION_FROM", "out")], ["STTE_Event", "Boundary", "Boundary"])
+    return g.path(*stored_graph(spark, folder), [("ON_BOUNDARY", "out"), ("TRANSITION_FROM", "out")], ["STTE_Event", "Boundary", "Boundary"])
 
 
 @query(GIS_SQL + " SELECT src, tgt, keywords, description, weight, source_id FROM gis_edges WHERE keywords LIKE 'ADJACENT_TO%'")
 def filter_by_type(spark, folder):
-    return g.filter_by_type(*gis_graph(spark, folder), "Point")[1]
+    return g.filter_by_type(*stored_graph(spark, folder), "Point")[1]
 
 
 @query(GIS_SQL + """ SELECT min(a) AS a, max(b) AS b, count(*) AS n FROM (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM gis_edges) GROUP BY a, b""")

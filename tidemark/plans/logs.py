@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import extract_topics
 from tidemark.operators import audit as au, evaluate as ev, memory as me, sessions as se, traces as tc
 from tidemark.plans import inputs as i
+from tidemark.plans.texts import documents
 from tidemark.sources.stores import cache_split, cache_stats, import_summary, new_files, without_cached
 
 QUERIES, ORACLES = {}, {}
@@ -247,7 +248,7 @@ def delete_session(spark, folder):
 @query("""WITH f AS (SELECT md5(text) AS hash, doc_id FROM documents), known AS (SELECT md5(text) AS hash FROM documents JOIN labels USING (doc_id))
   SELECT hash, doc_id FROM f WHERE hash NOT IN (SELECT hash FROM known)""")
 def new_documents(spark, folder):
-    files = i.table(spark, folder, "documents").select(F.md5(F.encode("text", "UTF-8")).alias("hash"), "doc_id")
+    files = documents(spark, folder).select(F.md5(F.encode("text", "UTF-8")).alias("hash"), "doc_id")
     ledger = files.join(i.table(spark, folder, "labels"), "doc_id", "left_semi")
     return new_files(files, ledger)
 
@@ -255,7 +256,7 @@ def new_documents(spark, folder):
 @query("""WITH cache AS (SELECT doc_id AS id, 'p' || quality AS payload FROM labels WHERE toxic = 0)
   SELECT d.doc_id AS id, payload FROM documents d LEFT JOIN cache c ON c.id = d.doc_id""")
 def cache_lookup(spark, folder):
-    chunks = i.table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    chunks = documents(spark, folder).select(F.col("doc_id").alias("id"))
     cache = i.table(spark, folder, "labels").where("toxic = 0").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("p"), "quality").alias("payload"))
     hits, misses = cache_split(chunks, cache)
     return hits.unionByName(misses.withColumn("payload", F.lit(None).cast("string")))
@@ -263,7 +264,7 @@ def cache_lookup(spark, folder):
 
 @query("SELECT count(*) AS total, sum(strlen(text))::BIGINT AS size_bytes FROM documents WHERE doc_id <> 3")
 def cache_statistics(spark, folder):
-    cache = i.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("payload"))
+    cache = documents(spark, folder).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("payload"))
     return cache_stats(without_cached(cache, "3"))
 
 
@@ -271,7 +272,7 @@ def cache_statistics(spark, folder):
   UNION ALL SELECT 'chunk_type', lang, count(*) FROM documents GROUP BY lang UNION ALL SELECT 'entities', NULL, count(*) FROM customer
   UNION ALL SELECT 'relations', NULL, count(*) FROM orders UNION ALL SELECT 'sources', NULL, count(DISTINCT source) FROM documents""")
 def import_totals(spark, folder):
-    docs = i.table(spark, folder, "documents").withColumnRenamed("lang", "chunk_type")
+    docs = documents(spark, folder).withColumnRenamed("lang", "chunk_type")
     return import_summary(i.table(spark, folder, "pages"), docs, i.table(spark, folder, "customer"), i.table(spark, folder, "orders"))
 
 
@@ -356,7 +357,7 @@ SCORES_SQL = """scored AS (SELECT doc_id, text, round_even((contains(text, 'the'
    CASE WHEN contains(text, 'token') THEN 'Graph,Space,Time' WHEN fs < 0.3e0 AND fg < 0.3e0 AND ft < 0.3e0 THEN 'Graph'
     ELSE array_to_string(list_filter([CASE WHEN fg >= 0.3e0 THEN 'Graph' END, CASE WHEN fs >= 0.3e0 THEN 'Space' END, CASE WHEN ft >= 0.3e0 THEN 'Time' END], lambda x: x IS NOT NULL), ',') END AS categories FROM f""")
 def route(spark, folder):
-    questions = i.table(spark, folder, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+    questions = documents(spark, folder).select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
     model = questions.select("question_id", (F.col("question_id") % 2).cast("double").alias("Space"), F.lit(0.25).alias("Graph"), F.lit(0.0).alias("Time"))
     rows = ev.route(questions, model, ROUTING, default="Graph", report_phrases=("token",))
     return rows.select("question_id", F.col("scores.Space").alias("space"), F.col("scores.Graph").alias("graph"), F.col("scores.Time").alias("time"),
@@ -366,14 +367,14 @@ def route(spark, folder):
 @query(f"WITH {SCORES_SQL} SELECT doc_id, space, graph, time FROM scored")
 def keyword_scores(spark, folder):
     score = ev.keyword_scores("text", ROUTING)
-    return i.table(spark, folder, "documents").select("doc_id", score["Space"].alias("space"), score["Graph"].alias("graph"), score["Time"].alias("time"))
+    return documents(spark, folder).select("doc_id", score["Space"].alias("space"), score["Graph"].alias("graph"), score["Time"].alias("time"))
 
 
 def _cases(spark, folder):
     """One case per document; what is expected follows from its language."""
     lang = F.col("lang")
     expected = F.when(lang == "en", F.array(F.lit("Space"))).when(lang == "de", F.array(F.lit("Graph"), F.lit("Space"))).otherwise(F.array(F.lit("Time")))
-    return i.table(spark, folder, "documents").select("doc_id", "lang", "text", "n_chars", expected.alias("expected_agents"))
+    return documents(spark, folder).select("doc_id", "lang", "text", "n_chars", expected.alias("expected_agents"))
 
 
 EXPECTED_SQL = "CASE lang WHEN 'en' THEN ['Space'] WHEN 'de' THEN ['Graph', 'Space'] ELSE ['Time'] END"
@@ -431,7 +432,7 @@ def _report(spark, folder):
     kind = F.col("doc_id") % 3
     tail = F.when(kind == 0, "[E1] the first\n[E2] der").when(kind == 1, "[D1] the").otherwise("")
     expected = F.when(kind == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("the"), F.lit("der")))
-    rows = i.table(spark, folder, "documents").select(
+    rows = documents(spark, folder).select(
         F.col("doc_id").alias("case_id"), F.concat("text", F.lit("\n[evidence]\n"), tail).alias("text"), expected.alias("expected_entities"),
         (F.col("n_chars") / 1000).alias("elapsed_s"))
     return ev.retrieval_report(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import retrieve as r
 from tidemark.plans import inputs as i
+from tidemark.plans.texts import documents
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,7 +28,7 @@ KEYWORD_SQL = f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS
 
 def _keyword_hits(spark, folder):
     questions = i.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    chunks = i.table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    chunks = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
     return r.keyword_search(questions, chunks, 5)
 
 
@@ -39,7 +40,7 @@ def keyword_search(spark, folder):
 @query(KEYWORD_SQL + """ SELECT query_id, rank, chunk_id, '[' || source || ' 第1页]' || chr(10) || substr(text, 1, 300) || '...' AS line
   FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 5""")
 def document_lines(spark, folder):
-    chunks = i.table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.lit(1).alias("page"), F.col("text").alias("content"))
+    chunks = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), "source", F.lit(1).alias("page"), F.col("text").alias("content"))
     return r.document_lines(_keyword_hits(spark, folder), chunks)
 
 
@@ -105,7 +106,7 @@ def vector_graph(spark, folder):
     edges = vectors.select(name(F.col("vec_id")).alias("src"), name(F.col("vec_id") + 1).alias("tgt"), F.lit("NEXT, order").alias("keywords"),
                            F.concat(F.lit("step "), "vec_id").alias("description"), F.lit(1.0).alias("weight"), source.alias("source_id"),
                            F.col("vec_id").alias("edge_id"))
-    chunks = i.table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.lit(1).alias("page"), F.col("text").alias("content"))
+    chunks = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), "source", F.lit(1).alias("page"), F.col("text").alias("content"))
 
     def as_vectors(item):
         return vectors.select(item.alias("item_id"), F.col("embedding").alias("vector"))
@@ -126,7 +127,8 @@ for _mode, _e, _r in (("local", "SELECT * FROM local_e", "SELECT * FROM local_r"
     ORACLES[f"evidence_{_mode}"] = _evidence_sql(_e, _r)
 
 QUERIES["evidence_naive"] = _evidence("naive")
-ORACLES["evidence_naive"] = f"""WITH {CENTROIDS_SQL} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position, 'chunk' AS kind,
+ORACLES["evidence_naive"] = f"""WITH {CENTROIDS_SQL} SELECT query_id, 0 AS position, 'none' AS kind, '(未检索到结构化证据)' AS line FROM centroids
+  WHERE query_id NOT IN (SELECT query_id FROM hits JOIN documents ON doc_id = vec_id WHERE rank <= 5) UNION ALL SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position, 'chunk' AS kind,
   '[D' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || '] (Chunk:' || source || ') ' || substr(text, 1, 200) AS line
   FROM hits JOIN documents ON doc_id = vec_id WHERE rank <= 5"""
 

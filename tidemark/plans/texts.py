@@ -8,6 +8,7 @@ from tidemark.functions import scan, text as tx
 from tidemark.operators import chunking as ch, extract as ex
 from tidemark.plans import inputs as i
 from tidemark.sources.files import repair_json_rows
+from tidemark.tables import spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark, folder):
-    return i.table(spark, folder, "documents")
+    return spread(i.table(spark, folder, "documents"), "doc_id")
 
 
 STRIP_SQL = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"

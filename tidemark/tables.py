@@ -10,6 +10,13 @@ from tidemark.session import written
 HOT_ROWS = 1_000_000
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For heavy work per row: a table that comes in fewer scan partitions than there are cores
+    (a small file, one row group) is spread over all of them. Anything larger is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                   rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key. Spark limits each map task to ``k`` rows per key
