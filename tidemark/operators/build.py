@@ -48,7 +48,7 @@ def boundary_nodes(years: DataFrame, membership: DataFrame, detail: str = "full"
                   "Boundary", source)
 
 
-def event_nodes(events: DataFrame, detail: str = "full", names_in_text: int = 10_000) -> DataFrame:
+def event_nodes(events: DataFrame, detail: str = "full", names_in_text: int = 1_000) -> DataFrame:
     """A node per (year, direction) with its size and, up to ``names_in_text`` members,
     their sorted names. A larger group has the size only; its members are all there as
     INVOLVES_POINT edges and as ``event_member_parts``."""

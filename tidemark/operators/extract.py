@@ -66,8 +66,9 @@ def rule_entities(content, rules: Rules = Rules()) -> Column:
 def rule_extract(chunks: DataFrame, rules: Rules = Rules(), key: str = "id",
                  content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Raw entities and relations per chunk. The first policy of a chunk has a HAS_GOAL edge
-    to its goals and an AFFECTS edge to everything else. Row-wise, no shuffle."""
-    found = chunks.select(F.col(key).alias("chunk_id"), rule_entities(content, rules).alias("found"))
+    to its goals and an AFFECTS edge to everything else. Row-wise, no shuffle; the findings are
+    written, so that the patterns run once for both results."""
+    found = written(chunks.select(F.col(key).alias("chunk_id"), rule_entities(content, rules).alias("found")), "findings")
     entities = found.select("chunk_id", F.posexplode("found").alias("position", "e")).select(
         "chunk_id", "position", "e.*")
     policies = F.filter("found", lambda e: e["type"] == "Policy")
@@ -174,7 +175,7 @@ def import_extract(chunks: DataFrame, responses: DataFrame, rules: Rules = Rules
     entities, relations = normalize_extracted(raw_entities, raw_relations)
     answered = entities.select("chunk_id").union(relations.select("chunk_id")).distinct()
     rest = chunks.join(answered.withColumnRenamed("chunk_id", "id"), "id", "left_anti")
-    more = normalize_extracted(*[written(rows, "rule-rows") for rows in rule_extract(rest, rules)])
+    more = normalize_extracted(*rule_extract(rest, rules))
     where = chunks.select(F.col("id").alias("chunk_id"),
                           import_source_id(F.col("source"), F.col("page"), F.col("chunk_index")).alias("source_id"))
     return (entities.unionByName(more[0]).join(where, "chunk_id"),

@@ -112,7 +112,7 @@ def event_groups(events: DataFrame) -> DataFrame:
             .withColumn("name", event_name(F.col("year_after"), F.col("event_type"))))
 
 
-def event_member_parts(events: DataFrame, part_size: int = 10_000) -> DataFrame:
+def event_member_parts(events: DataFrame, part_size: int = 1_000) -> DataFrame:
     """(year_after, event_type, part, parts, total, members): sorted names, one row per
     group up to ``part_size`` names, more rows beyond it."""
     return in_batches(events, ["year_after", "event_type"], "point_name", part_size, "members")

@@ -46,7 +46,8 @@ gis_nodes AS (
   UNION ALL SELECT y.year || '年城市边界', 'Boundary', y.year || '年的城市边界状态，边界内共 '
     || (SELECT count(*) FROM membership m WHERE m.year = y.year) || ' 个点位', 'gis_data' FROM years y
   UNION ALL SELECT {EVENT_NAME_SQL}, 'STTE_Event', year_after || '年共有 ' || count(*) || ' 个点'
-    || CASE event_type WHEN 'entry' THEN '进入边界内' ELSE '退出边界外' END || '：' || string_agg(point_name, ', ' ORDER BY point_name),
+    || CASE event_type WHEN 'entry' THEN '进入边界内' ELSE '退出边界外' END
+    || CASE WHEN count(*) <= 1000 THEN '：' || string_agg(point_name, ', ' ORDER BY point_name) ELSE '' END,
     'stte_events' FROM events_full GROUP BY year_after, event_type),
 gis_edges AS (
   SELECT unnest([name_a, name_b]) AS src, unnest([name_b, name_a]) AS tgt, 'ADJACENT_TO, 地理相邻' AS keywords,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scan, text as tx
 from tidemark.operators import chunking as ch, extract as ex
 from tidemark.plans import inputs as i
+from tidemark.session import written
 from tidemark.sources.files import repair_json_rows
 from tidemark.tables import spread
 
@@ -343,7 +344,7 @@ def validate_entities(spark, folder):
   WHERE type <> 'UNKNOWN' AND tgt IS NOT NULL AND EXISTS (SELECT 1 FROM accepted a WHERE a.chunk_id = r.chunk_id AND a.name = src)
     AND EXISTS (SELECT 1 FROM accepted a WHERE a.chunk_id = r.chunk_id AND a.name = tgt)""")
 def validate_relations(spark, folder):
-    checked = ex.validate_entities(*_raw_entities(spark, folder), verbs=("Th", "ver"), connectives=("sh",))
+    checked = written(ex.validate_entities(*_raw_entities(spark, folder), verbs=("Th", "ver"), connectives=("sh",)), "checked")
     following = checked.select("chunk_id", (F.col("position") - 1).alias("position"), F.col("name").alias("tgt"))
     kind = F.element_at(F.array(F.lit("PART_OF"), F.lit("TARGETS"), F.lit("UNKNOWN")), F.pmod("position", F.lit(3)) + 1)
     raw = checked.join(following, ["chunk_id", "position"]).select(
