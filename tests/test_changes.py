@@ -49,6 +49,14 @@ def test_transitions(spark, yearly, want):
     assert found(spark, yearly) == want
 
 
+def test_many_years_take_the_path_over_sets(spark, monkeypatch):
+    rng = random.Random(2)
+    yearly = {y: rng.sample("ABCDEF", rng.randint(0, 6)) for y in range(1990, 2002)}
+    masked = found(spark, yearly)
+    monkeypatch.setattr(tr, "MASK_YEARS", 3)
+    assert found(spark, yearly) == masked and masked
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(1990, 1999), st.lists(st.sampled_from("ABCDEF"), max_size=8), min_size=2, max_size=5))
 def test_entries_minus_exits_is_the_change_in_members(spark, yearly):

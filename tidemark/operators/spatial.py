@@ -114,7 +114,8 @@ def near_pairs(points: DataFrame, km: float = 5.0, rows_per_task: int = 4096) ->
                      F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a")))
     distance = haversine_km("lon_a", "lat_a", "lon_b", "lat_b")
     return (looks.join(homes, ["band", "cell", "salt"])
-            .where(F.col("id_a") < F.col("id_b"))
+            # the cheap test on latitude spares the trigonometry for a third of the candidates
+            .where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= reach * (1 + 1e-9)))
             .select("id_a", "id_b", distance.alias("distance_km"))
             .where(F.col("distance_km") < km))
 

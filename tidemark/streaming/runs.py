@@ -33,9 +33,16 @@ def finish(stream: DataFrame, mode: str) -> DataFrame:
     def step(batch: DataFrame, number: int) -> None:
         # overwriting the batch's own folder makes a repeated batch harmless
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-    query = (stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    # state is kept per shuffle partition: one per core, whatever the session says for batch work
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        query = (stream.writeStream.foreachBatch(step).outputMode(mode)
+                 .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(f"{folder}/rows")
 
 
