@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,13 +97,25 @@ def chunk_evidence(hits: DataFrame, chunks: DataFrame, chars: int = 400) -> Data
             .select("query_id", "rank", text.alias("line")))
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """Every edge once per end, under ``_name``."""
+    return edges.withColumn("_name", F.explode(F.array_distinct(F.array("src", "tgt"))))
+
+
 def local_search(queries: DataFrame, node_vectors: DataFrame, nodes: DataFrame, edges: DataFrame,
-                 k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Entities nearest to the question, and the edges that touch them."""
+                 k: int = 5, edges_per_node: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities nearest to the question, and the edges that touch them.
+
+    ``edges_per_node`` keeps only a node's first edges by (src, tgt, keywords). For a reader of
+    the first n relations by (rank, src, tgt, keywords) n of them are enough: whatever of
+    the node comes before such a relation also ranks before it. So a hub ships n edges."""
     hits = vector_search(queries, node_vectors, k).select("query_id", F.col("item_id").alias("name"), "rank", "score")
     entities = hits.join(nodes, "name")
-    ends = edges.withColumn("_name", F.explode(F.array_distinct(F.array("src", "tgt"))))
-    touching = (ends.join(hits.select("query_id", "rank", F.col("name").alias("_name")), "_name").drop("_name"))
+    ends = _ends(edges)
+    if edges_per_node is not None:
+        order = Window.partitionBy("_name").orderBy("src", "tgt", "keywords")
+        ends = ends.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= edges_per_node).drop("_n")
+    touching = ends.join(hits.select("query_id", "rank", F.col("name").alias("_name")), "_name").drop("_name")
     relations = first_per_key(touching, ["query_id", "src", "tgt", "keywords"], [F.col("rank")])
     return entities, relations
 
@@ -120,45 +132,68 @@ def global_search(queries: DataFrame, edge_vectors: DataFrame, nodes: DataFrame,
                                                   *[c for c in ("source_id",) if c in edges.columns], "rank")
 
 
-def search(queries: DataFrame, graph: dict[str, DataFrame], mode: str = "hybrid",
-           k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+ENTITY_COLUMNS = {"query_id": None, "name": "string", "rank": "int", "entity_type": "string", "description": "string",
+                  "source_id": "string"}
+RELATION_COLUMNS = {"query_id": None, "src": "string", "tgt": "string", "keywords": "string", "description": "string",
+                    "source_id": "string", "rank": "int"}
+
+
+def _no_rows(queries: DataFrame, columns: dict) -> DataFrame:
+    return queries.where(F.lit(False)).select(*[
+        F.col(c) if kind is None else F.lit(None).cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def search(queries: DataFrame, graph: dict[str, DataFrame], mode: str = "hybrid", k: int = 5,
+           shown: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, relations, chunks) for ``mode`` naive, local, global or hybrid.
 
     ``graph`` has nodes, edges (with edge_id), chunks (chunk_id, source, page, content) and
-    node_vectors, edge_vectors, chunk_vectors (item_id, vector)."""
-    nodes, edges, chunks = graph["nodes"], graph["edges"], graph["chunks"]
+    node_vectors, edge_vectors, chunk_vectors (item_id, vector). With ``shown`` a reader of the
+    first ``shown`` rows per question and kind gets the same rows, and hubs and sources with
+    very many edges or chunks are cut to that many before they are joined."""
     if mode == "naive":
-        none = queries.where(F.lit(False)).select("query_id")
-        entities = none.select("query_id", *[F.lit(None).cast(t).alias(c) for c, t in (
-            ("name", "string"), ("rank", "int"), ("entity_type", "string"), ("description", "string"), ("source_id", "string"))])
-        relations = none.select("query_id", *[F.lit(None).cast(t).alias(c) for c, t in (
-            ("src", "string"), ("tgt", "string"), ("keywords", "string"), ("description", "string"), ("source_id", "string"), ("rank", "int"))])
-        return entities, relations, naive_chunks(queries, graph, k)
-    entity_columns = ["query_id", "name", "rank", "entity_type", "description", "source_id"]
-    relation_columns = ["query_id", "src", "tgt", "keywords", "description", "source_id", "rank"]
-    found = []
+        return _no_rows(queries, ENTITY_COLUMNS), _no_rows(queries, RELATION_COLUMNS), naive_chunks(queries, graph, k)
+    if mode not in ("local", "global", "hybrid"):
+        raise ValueError(f"unknown mode {mode!r}; naive, local, global or hybrid")
+    nodes, edges, chunks = graph["nodes"], graph["edges"], graph["chunks"]
+    parts, origins = [], []
     if mode in ("local", "hybrid"):
-        found.append(local_search(queries, graph["node_vectors"], nodes, edges, k))
+        local = local_search(queries, graph["node_vectors"], nodes, edges, k, shown)
+        parts.append(local)
+        # where a node's edges come from: distinct before the join, however many there are
+        node_sources = _ends(edges).select(F.col("_name").alias("name"), "source_id").distinct()
+        origins.append(local[0].select("query_id", "name", "rank").join(node_sources, "name").select("query_id", "source_id", "rank"))
     if mode in ("global", "hybrid"):
-        found.append(global_search(queries, graph["edge_vectors"], nodes, edges, k))
-    if not found:
-        raise ValueError(f"unknown mode {mode!r}; naive, local, global or hybrid")
-    entities = found[0][0].select(*entity_columns)
-    relations = found[0][1].select(*relation_columns)
-    for more_entities, more_relations in found[1:]:
-        entities = entities.unionByName(more_entities.select(*entity_columns))
-        relations = relations.unionByName(more_relations.select(*relation_columns))
+        found = global_search(queries, graph["edge_vectors"], nodes, edges, k)
+        parts.append(found)
+        origins.append(found[1].select("query_id", "source_id", "rank"))
+    entities, relations = (p.select(*columns) for p, columns in zip(parts[0], (list(ENTITY_COLUMNS), list(RELATION_COLUMNS))))
+    for more in parts[1:]:
+        entities = entities.unionByName(more[0].select(*ENTITY_COLUMNS))
+        relations = relations.unionByName(more[1].select(*RELATION_COLUMNS))
     entities = first_per_key(entities, ["query_id", "name"], [F.col("rank")])
     relations = first_per_key(relations, ["query_id", "src", "tgt", "keywords"], [F.col("rank")])
     # provenance: the chunks the entities and relations came from
-    sources = (entities.select("query_id", "source_id", "rank")
-               .unionByName(relations.select("query_id", "source_id", "rank"))
-               .groupBy("query_id", "source_id").agg(F.min("rank").alias("rank")))
+    sources = entities.select("query_id", "source_id", "rank")
+    for origin in origins:
+        sources = sources.unionByName(origin)
+    sources = sources.groupBy("query_id", "source_id").agg(F.min("rank").alias("rank"))
     keyed = chunks.withColumn("source_id", source_id(F.col("source"), F.col("page")))
+    if shown is not None:
+        # all chunks of a source rank alike, so its first ones are all that can be shown
+        first = top_per_group(keyed.select("source_id", "chunk_id"), ["source_id"], [_chunk_order()], shown, "_n")
+        # written, so that its true size is known and chunk texts need no shuffle while it is small
+        first = written(first.select("source_id", "chunk_id"), "first-chunks")
+        keyed = keyed.join(first, ["source_id", "chunk_id"], "left_semi")
     back = sources.join(keyed, "source_id").select("query_id", "chunk_id", "source", "content", "rank")
     return entities, relations, back
 
 
+def _chunk_order():
+    """Chunk ids in an order that suits numbers as well as text."""
+    return F.lpad(F.col("chunk_id").cast("string"), 40, " ")
+
+
 def naive_chunks(queries: DataFrame, graph: dict[str, DataFrame], k: int = 5) -> DataFrame:
     hits = vector_search(queries, graph["chunk_vectors"], k).withColumnRenamed("item_id", "chunk_id")
     return hits.join(graph["chunks"], "chunk_id").select("query_id", "chunk_id", "source", "content", "rank")
@@ -182,7 +217,7 @@ def evidence_budget(entities: DataFrame, relations: DataFrame, chunks: DataFrame
                                                "name", F.lit(" — "), cut()))
     r = ranked(relations, 2, ["src", "tgt", "keywords"], F.concat(
         F.lit("(Relation:"), F.coalesce("keywords", F.lit("")), F.lit(") "), "src", F.lit(" → "), "tgt", F.lit(" — "), cut()))
-    d = ranked(chunks, 3, [F.lpad(F.col("chunk_id").cast("string"), 40, " ")], F.concat(
+    d = ranked(chunks, 3, [_chunk_order()], F.concat(
         F.lit("(Chunk:"), F.coalesce("source", F.lit("?")), F.lit(") "), cut("content")))
     rows = e.unionByName(r).unionByName(d)
     if queries is not None:
@@ -221,7 +256,7 @@ def query_with_evidence(queries: DataFrame, graph: dict[str, DataFrame], mode: s
                         **budget) -> DataFrame:
     """Evidence rows per question. A question for which the graph modes find no chunk gets
     the five nearest ones; a question without any evidence gets the line that says so."""
-    entities, relations, chunks = search(queries, graph, mode, k)
+    entities, relations, chunks = search(queries, graph, mode, k, max(budget.get("items", 20), budget.get("reserved", 5)))
     if mode != "naive":
         without = queries.join(chunks.select("query_id"), "query_id", "left_anti")
         chunks = chunks.unionByName(naive_chunks(without, graph, 5))

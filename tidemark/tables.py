@@ -49,12 +49,19 @@ def in_batches(df: DataFrame, keys: list[str], item: str, size: int, out: str) -
 
     A key with more than ``size`` items is hashed into several parts first, so no row
     grows with its key. Yields keys, part, parts, total and the array ``out``."""
-    counts = (df.groupBy(*keys).agg(F.count("*").alias("total"))
-              .withColumn("parts", F.ceil(F.col("total") / size).cast("int")))
-    return (df.select(*keys, item).join(counts, keys)
-            .withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
-            .groupBy(*keys, "part", "parts", "total")
-            .agg(F.sort_array(F.collect_list(item)).alias(out)))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("total"))
+    large = counts.where(F.col("total") > size).withColumn("parts", F.ceil(F.col("total") / size).cast("int"))
+    listed = F.sort_array(F.collect_list(item)).alias(out)
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(listed).select(
+            *keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), F.size(out).cast("long").alias("total"), out)
+    # at most rows / size keys; written, so that its true size decides how it is joined
+    large = written(large, "large-groups")
+    parts = F.coalesce("parts", F.lit(1))
+    grouped = (df.select(*keys, item).join(large, keys, "left")
+               .withColumn("part", F.pmod(F.xxhash64(item), parts).cast("int"))
+               .groupBy(*keys, "part", parts.alias("parts"), "total").agg(listed))
+    return grouped.withColumn("total", F.coalesce("total", F.size(out).cast("long")))
 
 
 class Ordered:
