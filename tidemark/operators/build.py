@@ -65,15 +65,13 @@ def event_nodes(events: DataFrame, detail: str = "full", names_in_text: int = 1_
 
 def adjacency_edges(membership: DataFrame, points: DataFrame, km: float = 5.0,
                     source: str = "gis_data") -> DataFrame:
-    members = membership.select("point_id").distinct().join(points, "point_id")
-    pairs = near_pairs(members, km)
-    names = members.select("point_id", F.coalesce("name", "point_id").alias("name"))
-    pairs = (pairs.join(names.select(F.col("point_id").alias("id_a"), F.col("name").alias("name_a")), "id_a")
-             .join(names.select(F.col("point_id").alias("id_b"), F.col("name").alias("name_b")), "id_b"))
-    text = F.concat(F.lit("点'"), "name_a", F.lit("'与点'"), "name_b",
+    members = membership.select("point_id").distinct().join(points, "point_id").withColumn(
+        "name", F.coalesce("name", "point_id"))
+    pairs = near_pairs(members, km, carry="name")
+    text = F.concat(F.lit("点'"), "label_a", F.lit("'与点'"), "label_b",
                     F.format_string("'地理相邻（距离 %.2f 公里）", "distance_km"))
-    both = F.array(F.struct(F.col("name_a").alias("src"), F.col("name_b").alias("tgt")),
-                   F.struct(F.col("name_b").alias("src"), F.col("name_a").alias("tgt")))
+    both = F.array(F.struct(F.col("label_a").alias("src"), F.col("label_b").alias("tgt")),
+                   F.struct(F.col("label_b").alias("src"), F.col("label_a").alias("tgt")))
     return _edges(pairs.select(F.inline(both), text.alias("description")), vocab.KEYWORDS_ADJACENT, source)
 
 

@@ -97,6 +97,12 @@ def chunk_evidence(hits: DataFrame, chunks: DataFrame, chars: int = 400) -> Data
             .select("query_id", "rank", text.alias("line")))
 
 
+def _hits(queries: DataFrame, vectors: DataFrame, k: int, item: str) -> DataFrame:
+    """The nearest items, k rows per question; several joins read them, so they are written."""
+    hits = vector_search(queries, vectors, k)
+    return written(hits.select("query_id", F.col("item_id").alias(item), "rank", "score"), "hits")
+
+
 def _ends(edges: DataFrame) -> DataFrame:
     """Every edge once per end, under ``_name``."""
     return edges.withColumn("_name", F.explode(F.array_distinct(F.array("src", "tgt"))))
@@ -109,7 +115,7 @@ def local_search(queries: DataFrame, node_vectors: DataFrame, nodes: DataFrame,
     ``edges_per_node`` keeps only a node's first edges by (src, tgt, keywords). For a reader of
     the first n relations by (rank, src, tgt, keywords) n of them are enough: whatever of
     the node comes before such a relation also ranks before it. So a hub ships n edges."""
-    hits = vector_search(queries, node_vectors, k).select("query_id", F.col("item_id").alias("name"), "rank", "score")
+    hits = _hits(queries, node_vectors, k, "name")
     entities = hits.join(nodes, "name")
     ends = _ends(edges)
     if edges_per_node is not None:
@@ -124,7 +130,7 @@ def global_search(queries: DataFrame, edge_vectors: DataFrame, nodes: DataFrame,
                   k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Edges nearest to the question (``edge_vectors`` and ``edges`` share ``edge_id``), and
     their end points."""
-    hits = vector_search(queries, edge_vectors, k).select("query_id", F.col("item_id").alias("edge_id"), "rank", "score")
+    hits = _hits(queries, edge_vectors, k, "edge_id")
     found = hits.join(edges, "edge_id")
     ends = found.select("query_id", "rank", "score", F.explode(F.array("src", "tgt")).alias("name"))
     ends = first_per_key(ends, ["query_id", "name"], [F.col("rank"), -F.col("score")])

@@ -51,8 +51,9 @@ def points_in_boundaries(points: DataFrame, boundaries: DataFrame) -> DataFrame:
             .select("year", "point_id"))
 
 
-def near_pairs(points: DataFrame, km: float = 5.0, rows_per_task: int = 4096) -> DataFrame:
-    """Pairs ``id_a < id_b`` closer than ``km`` (strict), with ``distance_km``.
+def near_pairs(points: DataFrame, km: float = 5.0, rows_per_task: int = 4096, carry: str = "point_id") -> DataFrame:
+    """Pairs ``id_a < id_b`` closer than ``km`` (strict), with ``distance_km`` and the column
+    ``carry`` of both as ``label_a`` and ``label_b``.
 
     Latitude bands are ``km`` high; each band has its own number of longitude cells at
     least ``km`` wide. A point looks into the cells its reach touches in the three bands
@@ -73,7 +74,7 @@ def near_pairs(points: DataFrame, km: float = 5.0, rows_per_task: int = 4096) ->
         return F.floor((lon + 180.0) / (F.lit(360.0) / count))
 
     base = (points.where("lon is not null and lat is not null")
-            .select(F.col("point_id"), F.col("lon"), F.col("lat"),
+            .select("point_id", F.col(carry).alias("label"), "lon", "lat",
                     F.floor(F.col("lat") / step).cast("int").alias("band"))
             .withColumn("cells", lon_cells(F.col("band")))
             .withColumn("cell", F.pmod(lon_cell(F.col("lon"), F.col("cells")), F.col("cells")).cast("int")))
@@ -92,7 +93,7 @@ def near_pairs(points: DataFrame, km: float = 5.0, rows_per_task: int = 4096) ->
 
     homes = (with_splits(base)
              .withColumn("salt", F.pmod(F.xxhash64("point_id"), F.col("splits")).cast("int"))
-             .select("band", "cell", "salt", F.col("point_id").alias("id_b"),
+             .select("band", "cell", "salt", F.col("point_id").alias("id_b"), F.col("label").alias("label_b"),
                      F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b")))
 
     # how far in longitude the circle of radius km reaches at this latitude
@@ -110,13 +111,13 @@ def near_pairs(points: DataFrame, km: float = 5.0, rows_per_task: int = 4096) ->
              .withColumn("cell", F.pmod("_at", F.col("cells")).cast("int")))
     looks = (with_splits(looks)
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-             .select("band", "cell", "salt", F.col("point_id").alias("id_a"),
+             .select("band", "cell", "salt", F.col("point_id").alias("id_a"), F.col("label").alias("label_a"),
                      F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a")))
     distance = haversine_km("lon_a", "lat_a", "lon_b", "lat_b")
     return (looks.join(homes, ["band", "cell", "salt"])
             # the cheap test on latitude spares the trigonometry for a third of the candidates
             .where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= reach * (1 + 1e-9)))
-            .select("id_a", "id_b", distance.alias("distance_km"))
+            .select("id_a", "id_b", "label_a", "label_b", distance.alias("distance_km"))
             .where(F.col("distance_km") < km))
 
 
