@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -22,13 +23,16 @@ def connect(folder: str):
     return con
 
 
+EXACT = bool(os.environ.get("ORACLE_EXACT"))  # to the last bit, and 1 is not 1.0
+
+
 def plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return "null"
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float):
-        return f"{value:.6g}"
+        return repr(value) if EXACT else f"{value:.6g}"
     if hasattr(value, "tolist"):
         value = value.tolist()
     return str(value)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import retrieve as r
 from tidemark.plans import inputs as i
 from tidemark.plans.texts import documents
+from tidemark.session import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,8 +56,10 @@ def centroids(spark, folder):
     dims = i.table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
     means = dims.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     # one entry per dimension
-    return means.groupBy(F.col("label").alias("query_id")).agg(
+    vectors = means.groupBy(F.col("label").alias("query_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s.x).alias("vector"))
+    # stands for a table of question vectors, which the searches read several times
+    return written(vectors, "question-vectors")
 
 
 @query(f"WITH {CENTROIDS_SQL} SELECT query_id, vec_id AS item_id, round(score, 6) AS score, rank FROM hits WHERE rank <= 10")
