@@ -215,6 +215,15 @@ def test_graphml(spark, tmp_path):
     assert {(row.src, row.tgt, row.predicate, row.weight) for row in edges.collect()} == {("a", "b", "NEAR", 2.5), ("b", "a", "related", 1.0)}
 
 
+def test_graphml_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([('a "<&>', "Point", "x\ny", "s"), ("b", "Boundary", "", "s")], "name string, entity_type string, description string, source_id string")
+    edges = spark.createDataFrame([('a "<&>', "b", "NEAR, z", "d", 0.5, "s")], "src string, tgt string, keywords string, description string, weight double, source_id string")
+    stores.write_graphml(nodes, edges, str(tmp_path / "g"))
+    got_nodes, got_edges = files.read_graphml(spark, str(tmp_path / "g"))
+    assert {tuple(row) for row in got_nodes.collect()} == {tuple(row) for row in nodes.collect()}
+    assert {tuple(row) for row in got_edges.drop("predicate").collect()} == {tuple(row) for row in edges.collect()}
+
+
 def test_sessions_are_settled_on_reading(spark, tmp_path):
     sub = {"agent_name": "G", "status": "running", "answer": "", "evidence": [{"id": "E1", "text": "t"}], "tool_calls": [{"name": "f", "input": {"q": 1}, "output": "o", "truncated": False}]}
     session = {"session_id": "s", "created_at": "2026", "current_task_id": "t2", "turns": [

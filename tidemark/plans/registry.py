@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes, graphs, logs, retrieval, streams, texts
+from tidemark.plans import changes, files, graphs, logs, retrieval, streams, texts
 
-MODULES = (changes, graphs, texts, retrieval, logs, streams)
+MODULES = (changes, graphs, texts, retrieval, logs, files, streams)
 
 
 def queries() -> dict:

@@ -126,7 +126,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     def number(column):
         return F.when(column != "", column.cast("double"))
-    keys = rows("key", "_id string, _for string, `_attr.name` string").collect()
+    keys = rows("key", "_id string, _for string, `_attr.name` string").distinct().collect()
     data = "data array<struct<_key:string,_VALUE:string>>"
 
     def attribute(kind, name):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +94,41 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "par
      .partitionBy("predicate").format(form).save(f"{path}/edges"))
 
 
+GRAPHML_KEYS = (("d0", "node", "entity_type"), ("d1", "node", "description"), ("d2", "node", "source_id"),
+                ("d3", "edge", "keywords"), ("d4", "edge", "description"), ("d5", "edge", "weight"), ("d6", "edge", "source_id"))
+
+
+def _as_documents(head: str, tail: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [head]})
+        yield from batches
+        yield pd.DataFrame({"value": [tail]})
+    return run
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as GraphML. Every part file is a whole document of its own, so the parts are
+    written and read in parallel."""
+    def escaped(column):
+        text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(raw), F.lit(entity))
+        return text
+
+    def element(df, kind, tag, *attributes):
+        opening = [piece for name, column in attributes for piece in (F.lit(f' {name}="'), escaped(column), F.lit('"'))]
+        data = [piece for key, owner, column in GRAPHML_KEYS if owner == kind and column in df.columns
+                for piece in (F.lit(f'<data key="{key}">'), escaped(column), F.lit("</data>"))]
+        return df.select(F.concat(F.lit(f"<{tag}"), *opening, F.lit(">"), *data, F.lit(f"</{tag}>")).alias("value"))
+    keys = "".join(f'<key id="{k}" for="{owner}" attr.name="{name}" attr.type="{"double" if name == "weight" else "string"}"/>'
+                   for k, owner, name in GRAPHML_KEYS)
+    head = ("<?xml version='1.0' encoding='utf-8'?>\n<graphml xmlns=\"http://graphml.graphdrawing.org/xmlns\">"
+            f'{keys}<graph edgedefault="directed">')
+    rows = element(nodes, "node", "node", ("id", "name")).unionByName(
+        element(edges, "edge", "edge", ("source", "src"), ("target", "tgt")))
+    rows.mapInPandas(_as_documents(head, "</graph></graphml>"), "value string").write.mode("overwrite").text(path)
+
+
 def import_summary(files: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(what, kind, n): files, chunks by type, entities, relations and distinct sources."""
     none = F.lit(None).cast("string").alias("kind")
