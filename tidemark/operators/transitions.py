@@ -108,10 +108,10 @@ def enrich_events(events: DataFrame, points: DataFrame) -> DataFrame:
         F.concat(F.lit("stte_"), F.substring(F.sha2(key, 256), 1, 16)).alias("event_id"),
         "event_type",
         F.make_date("year_after", F.lit(1), F.lit(1)).alias("event_date"),
-        F.format_string("%d年", "year_after").alias("label"),
+        F.concat(F.col("year_after").cast("string"), F.lit(vocab.YEAR_MARK)).alias("label"),
         "point_id", name.alias("point_name"),
-        F.format_string("boundary_%d", "year_before").alias("boundary_before"),
-        F.format_string("boundary_%d", "year_after").alias("boundary_after"),
+        F.concat(F.lit("boundary_"), F.col("year_before").cast("string")).alias("boundary_before"),
+        F.concat(F.lit("boundary_"), F.col("year_after").cast("string")).alias("boundary_after"),
         sides[0].alias("relation_before"), sides[1].alias("relation_after"),
         F.when(entry, "high").otherwise("medium").alias("significance"),
         F.concat(F.lit("点'"), name, F.lit("'在"), F.col("year_before").cast("string"), F.lit("年位于边界"), words[0],
@@ -130,11 +130,11 @@ def events_by_type(events: DataFrame, event_type: str) -> DataFrame:
 
 def event_name(year: Column, event_type: Column) -> Column:
     word = F.when(event_type == "entry", vocab.ENTER_WORD).otherwise(vocab.EXIT_WORD)
-    return F.format_string(vocab.EVENT_NAME, year, word)
+    return F.concat(year.cast("string"), F.lit(vocab.YEAR_MARK), word, F.lit(vocab.EVENT_WORD))
 
 
 def boundary_name(year: Column) -> Column:
-    return F.format_string(vocab.BOUNDARY_NAME, year)
+    return F.concat(year.cast("string"), F.lit(vocab.YEAR_MARK + vocab.BOUNDARY_WORD))
 
 
 def event_groups(events: DataFrame) -> DataFrame:

@@ -392,4 +392,4 @@ def link_infrastructure(spark, folder):
 @query(LINK_SQL + """ SELECT * FROM years_links UNION ALL SELECT * FROM district_links UNION ALL SELECT * FROM concept_links""")
 def link_graph(spark, folder):
     # the fixed vocabulary of the other rules does not occur in these tables
-    return link.link_graph(link_nodes(spark, folder)).select(*LINK_COLUMNS)
+    return link.link_graph(written(link_nodes(spark, folder), "link-nodes")).select(*LINK_COLUMNS)

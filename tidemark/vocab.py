@@ -4,8 +4,9 @@ Everything here is a default; every operator takes its vocabulary as a parameter
 """
 
 # ---- fixed values: names and relation keywords of the change graph -------------
-BOUNDARY_NAME = "%d年城市边界"
-EVENT_NAME = "%d年%s边界事件"
+YEAR_MARK = "年"
+BOUNDARY_WORD = "城市边界"
+EVENT_WORD = "边界事件"
 ENTER_WORD = "进入"
 EXIT_WORD = "退出"
 KEYWORDS_ADJACENT = "ADJACENT_TO, 地理相邻"
