@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, licences, packing, pii, quality, simhash, tokens, toxicity, voronoi
+from tidemark.llm import bpe, html_crf, licences, packing, pii, quality, simhash, tokens, toxicity, voronoi
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,11 @@ def held_out() -> Column:
     return F.expr("crc32(CAST(doc_id AS STRING)) % 3 = 1")
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_crf.extract(pages, html_crf.fit(pages))
+
+
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5)
 
@@ -64,11 +69,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: the k best exact integer products of every query, by plain SQL
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
@@ -77,6 +82,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES = {
+    "op1_html_crf": op1_html_crf,
     "op2_voronoi_knn": op2_voronoi_knn,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
