@@ -3,8 +3,8 @@
 Every document is tokenized where it lies; only documents longer than a sequence are cut. Pieces of exactly ``size`` tokens are
 sequences of their own. The others are dealt by hash to groups of bounded size. In each group, best fit in decreasing order
 fills the bins; then underfull bins move documents or exchange one for one or two for one, each time raising the sum of squared
-fills, until bins empty or no exchange helps. The underfull bins that remain in the groups are emptied into new groups, each
-time far fewer, until one group holds them all; what one task sees never grows with the input.
+fills, until bins empty or no exchange helps. The bins of the groups that are left less than fifteen sixteenths full are emptied into
+new groups, each time far fewer, until one group holds them all; what one task sees never grows with the input.
 
 A null text is an empty one: its document is the closing token alone. Null ids pass through; repeated rows are packed each.
 An empty table gives an empty result. Only the id and text columns are read, so others may have any name.
@@ -12,12 +12,15 @@ An empty table gives an empty result. Only the id and text columns are read, so
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.wordcache import Remembered
+from tidemark.llm.bpe import byte_characters
 from tidemark.session import written
 
 SIZE = 2048
@@ -35,33 +38,94 @@ GROUP = 20_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+#: letters, and then ASCII signs that never join them in one pre-token or begin a special string
+_ASCII_WORD = re.compile(rb"([A-Za-z]+)([!-&(-/:;=>?@\[-^`{-~]*)")
+#: more letters that have one lower-case form and no other composition
+_LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([!-&(-/:;=>?@\[-^`{-~]*)")
+#: stands for the end of a word; no UTF-8 text has this byte
+_END = b"\xff"
+
+
 class WordEncoder:
     """Ids of whole texts under a tokenizer that drops white space: as the library gives them, because none of its
-    normalizing, splitting or merging steps looks across white space. Ids are little-endian 32-bit numbers."""
+    normalizing, splitting or merging steps looks across white space. Ids are little-endian 32-bit numbers.
+
+    Each word is encoded once while it is remembered. A word of plain letters goes straight to the merges, which a rank table can
+    express if ids rise in the order of the merges and word ends are a suffix; other words, and other tokenizers, go to the library."""
 
     #: texts whose new words are encoded in one call
     together = 256
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = Remembered(self._encode, 1_000_000)
+        self.limit = limit
+        self.words: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {b"": b""}
+        self.merged = self._merges(json.loads(self.library.to_str()))
+
+    @staticmethod
+    def _merges(spec: dict):
+        model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+        steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+        special = {t["content"] for t in spec["added_tokens"]}
+        if model["type"] != "BPE" or not suffix or sorted(steps) != ["Lowercase", "NFC", "Replace"] or any(c.isalpha() for t in special for c in t[:1]):
+            return None
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if token not in special:
+                end = token.endswith(suffix)
+                ranks[bytes(byte_of[c] for c in (token[:-len(suffix)] if end else token)) + _END * end] = i
+        parts = [m if not isinstance(m, str) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in parts]
+        if sorted(ranks.values()) != list(range(len(ranks))) or made != list(range(2 * len(byte_of), len(ranks))):
+            return None
+        import tiktoken
+        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        out, left = [], []
+        for word in words:
+            found = self.merged and _ASCII_WORD.fullmatch(word)
+            if found:
+                letters, signs = found[1].lower(), found[2]
+            else:
+                text = word.decode("utf-8", "replace")
+                found = self.merged and _LATIN_WORD.fullmatch(text)
+                if not found:
+                    left.append((len(out), text))
+                    out.append(b"")
+                    continue
+                letters, signs = found[1].lower().encode(), found[2].encode()
+            if signs not in self.signs:
+                if len(self.signs) > 50_000:
+                    self.signs = {b"": b""}
+                self.signs[signs] = array("I", self.library.encode(signs.decode(), add_special_tokens=False).ids).tobytes()
+            out.append(array("I", self.merged(letters + _END)).tobytes() + self.signs[signs])
+        if left:
+            for (i, _), e in zip(left, self.library.encode_batch_fast([t for _, t in left], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Of each whole text in UTF-8."""
         for at in range(0, len(texts), self.together):
-            # ASCII white space alone
-            split = [(t or "").encode("utf-8", "replace").split() for t in texts[at:at + self.together]]
-            self.words.learn(split)
+            split = [t.split() for t in texts[at:at + self.together]]  # ASCII white space alone
+            found = [list(map(self.words.get, words)) for words in split]
+            new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+            if len(self.words) + len(new) > self.limit:  # forgetting costs time only
+                self.words.clear()
+                new = set(chain.from_iterable(split))
+            if new:
+                new = list(new)
+                self.words.update(zip(new, self._encode(new)))
             get = self.words.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+            for words, ids in zip(split, found):
+                yield b"".join(map(get, words) if None in ids else ids)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -85,17 +149,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc, held = [], [], [], [], [], []
-            texts = batch.column(1).to_pylist()
-            first: dict[str, int] = {}
-            kept: dict[str, list] = {}
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            first: dict[bytes, int] = {}
+            kept: dict[bytes, list] = {}
             for i, t in enumerate(texts):
-                first.setdefault(t or "", i)
+                first.setdefault(t, i)
             for t, ids in zip(first, encode.ids(list(first))):
                 ids += end
                 kept[t] = [(p, at // 4, ids[at:at + 4 * size]) for p, at in enumerate(range(0, len(ids), 4 * size))]
                 kept[t] = [(p, at, len(part) // 4, zlib.crc32(part), part if with_ids else b"") for p, at, part in kept[t]]
             for i, t in enumerate(texts):
-                for p, at, n, check, part in kept[t or ""]:
+                for p, at, n, check, part in kept[t]:
                     row.append(i)
                     piece.append(p)
                     start.append(at)
@@ -210,7 +274,7 @@ def pack(items: DataFrame, length_col: str = "length", size: int = SIZE, group:
                 n = lengths[members]
                 name[members] = f"{level}-{int(key[0])}-{b}"
                 offset[members] = np.cumsum(n) - n
-                open_[members] = not last and int(n.sum()) < size
+                open_[members] = not last and int(n.sum()) < size - size // 16
             return pd.DataFrame({"item": frame["item"], "n": frame["n"], "bin": name, "offset": offset, "open": open_})
         return run
 
