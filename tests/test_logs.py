@@ -78,6 +78,16 @@ def test_self_audit_threshold(spark):
     assert got["plain"].text == "text"
 
 
+def test_self_audit_appends_every_block(spark):
+    """Evidence without ids is appended too, and so is that of any number of calls."""
+    answers = spark.createDataFrame([("no ids", "[E1]"), ("many", "[E0]"), ("nothing", "[E1]")], "task_id string, text string")
+    calls = [("no ids", 0, "t", "[evidence]\nno ids here"), ("nothing", 0, "t", "plain")] + [("many", n, "t", f"[evidence]\n[E{n + 1}] x") for n in range(1001)]
+    got = {r.task_id: r for r in au.self_audit(answers, spark.createDataFrame(calls, "task_id string, call_no int, name string, output string")).collect()}
+    assert got["no ids"].rate == 1.0 and got["no ids"].text.endswith("--- 工具 `t` 的实际证据 ---\nno ids here")
+    assert got["nothing"].text == "[⚠E1-引用无效]"
+    assert got["many"].text.count("的实际证据") == 1001 and got["many"].text.endswith("[E1001] x")
+
+
 @pytest.mark.parametrize("hot_rows", [1000, 2])
 def test_renumber_evidence(spark, hot_rows):
     calls = [("s", 0, "[E1] a [E2] b [D1] d"), ("s", 1, "[E1] c [E2] d, again [E1]"), ("s", 2, "none"), ("s", 3, "[E3] x [E1] y [D1] z"), ("o", 0, "[E7]")]
@@ -265,6 +275,12 @@ def test_import_ledger_and_chunk_store(spark, tmp_path):
     for _ in range(2):
         stores.write_chunks(chunk_text(docs.select("source", "text")), store)
     assert stores.read_chunks(spark, store).count() == 2
+    # two chunks of one id but different content both stay
+    twins = stores.read_chunks(spark, store).limit(1)
+    twins = twins.unionByName(twins.withColumn("content", F.lit("other content")))
+    for _ in range(2):
+        stores.write_chunks(twins, store)
+    assert stores.read_chunks(spark, store).count() == 3
 
 
 def test_extraction_cache(spark, tmp_path):
@@ -281,6 +297,9 @@ def test_traces_and_graph_export(spark, tmp_path):
     df = spark.createDataFrame([("n", t, f"{t}{i}", None, i, i + 1, 1.0, {"a": "b"}, "OK") for t in "xy" for i in range(3)], files.SPANS)
     stores.write_traces(df, tc.trace_index(df), str(tmp_path / "traces"))
     assert spark.read.parquet(str(tmp_path / "traces" / "spans")).where("trace_id = 'x'").count() == 3
+    one = stores.read_trace(spark, str(tmp_path / "traces"), "y")
+    assert sorted(r.span_id for r in one.collect()) == ["y0", "y1", "y2"]
+    assert len(list((tmp_path / "traces" / "spans").glob("bucket=*"))) <= 2
     nodes = spark.createDataFrame([("a", "Point")], "name string, entity_type string")
     edges = spark.createDataFrame([("a", "a", "NEAR, z")], "src string, tgt string, keywords string")
     stores.export_graph(nodes, edges, str(tmp_path / "graph"))

@@ -221,6 +221,15 @@ def test_fenced_reply_with_aliases(spark):
     assert {r.source_id for r in rows} == {"policy.pdf#p1-c0"}
 
 
+@pytest.mark.parametrize("wrapped", ["```json\n{}\n```", "```json\n{}", "```\n{}\n  ```  ", "{}", "```json\n{}```x"])
+def test_fences_need_no_partner(spark, wrapped):
+    reply = json.dumps({"entities": [{"entity_name": "上城区", "entity_type": "District"}], "relationships": []}, ensure_ascii=False)
+    responses = spark.createDataFrame([("c0", wrapped.replace("{}", reply))], "chunk_id string, response string")
+    nodes, _ = ex.build_document_graph(chunk(spark, "上城区《城市更新条例》"), responses)
+    # a reply that still is no JSON sends the chunk to the rules, which find the policy as well
+    assert len(nodes.collect()) == (2 if wrapped.endswith("x") else 1)
+
+
 def test_rules_step_in_for_a_reply_without_json(spark):
     text = "《未来城市总体规划》提出建设滨江新区和轨道交通，优化工业用地。打造高品质的生态空间体系。"
     responses = spark.createDataFrame([("c0", "sorry")], "chunk_id string, response string")

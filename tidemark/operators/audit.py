@@ -105,13 +105,11 @@ def evidence_blocks(tool_calls: DataFrame, output_chars: int = 1500) -> DataFram
 
 
 def self_audit(answers: DataFrame, tool_calls: DataFrame, threshold: float = 0.3,
-               output_chars: int = 1500, inline_calls: int = 1000) -> DataFrame:
+               output_chars: int = 1500) -> DataFrame:
     """(task_id, cited_total, fabricated_count, fabricated_ids, rate, text).
 
-    Ids no tool returned are marked in the text; above the threshold (strict) the tools'
-    evidence is appended. A task without tool calls or citations is left as it is.
-    A task with more than ``inline_calls`` calls gets the warning, and its evidence stays in
-    the rows of ``evidence_blocks``. ``answers(task_id, text)``,
+    Ids no tool returned are marked in the text; above the threshold (strict) all evidence of the task's tools is
+    appended, whether it names ids or not. A task without tool calls or citations is left as it is. ``answers(task_id, text)``,
     ``tool_calls(task_id, call_no, name, output)``."""
     ids = output_ids("output")
     # ids are compared first; evidence text is gathered only for the tasks that need it
@@ -135,8 +133,7 @@ def self_audit(answers: DataFrame, tool_calls: DataFrame, threshold: float = 0.3
                     .otherwise(0.0)))
     over = rows.where(F.col("rate") > threshold).select("task_id")
     blocks = evidence_blocks(tool_calls, output_chars).join(over, "task_id", "left_semi")
-    small = blocks.groupBy("task_id").count().where(F.col("count") <= inline_calls)
-    blocks = blocks.join(small, "task_id", "left_semi").groupBy("task_id").agg(
+    blocks = blocks.groupBy("task_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("call_no", "block"))), lambda b: b.block), "\n\n")
         .alias("blocks"))
     first = top_per_group(legal.join(over, "task_id", "left_semi"), ["task_id"], [F.col("id")], 30)
@@ -147,10 +144,10 @@ def self_audit(answers: DataFrame, tool_calls: DataFrame, threshold: float = 0.3
         F.lit("\n\n---\n⚠ **SubAgent 自检（防幻觉）**：本次回答含 "), F.col("fabricated_count").cast("string"), F.lit("/"),
         F.col("cited_total").cast("string"), F.lit(" 处凭空引用 （"),
         F.array_join(F.slice("fabricated_ids", 1, 5), ", "), F.lit("），已被替换为 [⚠X-引用无效] 标记。\n工具实际可引用编号："),
-        F.coalesce("usable", F.lit("")), F.lit("\n以下是工具返回的完整原始证据：\n\n"), F.coalesce("blocks", F.lit("")))
+        F.coalesce("usable", F.lit("")), F.lit("\n以下是工具返回的完整原始证据：\n\n"), F.col("blocks"))
     return (rows.join(blocks, "task_id", "left").join(usable, "task_id", "left").select(
         "task_id", "cited_total", "fabricated_count", "fabricated_ids", "rate",
-        F.concat(marked, F.when(F.col("usable").isNotNull(), warning).otherwise("")).alias("text")))
+        F.concat(marked, F.when(F.col("blocks").isNotNull(), warning).otherwise("")).alias("text")))
 
 
 def renumber_evidence(tool_calls: DataFrame, key: str = "session_id", order: str = "call_no", **options) -> DataFrame:

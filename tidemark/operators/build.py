@@ -48,19 +48,25 @@ def boundary_nodes(years: DataFrame, membership: DataFrame, detail: str = "full"
                   "Boundary", source)
 
 
-def event_nodes(events: DataFrame, detail: str = "full", names_in_text: int = 1_000) -> DataFrame:
-    """A node per (year, direction) with its size and, up to ``names_in_text`` members,
-    their sorted names. A larger group has the size only; its members are all there as
-    INVOLVES_POINT edges and as ``event_member_parts``."""
-    parts = event_member_parts(events, names_in_text)
+def event_nodes(events: DataFrame) -> DataFrame:
+    """A node per (year, direction) with its size. Who its members are is in ``event_texts``, in the same layout
+    for groups of any size, and in the INVOLVES_POINT edges."""
+    groups = events.groupBy("year_after", "event_type").agg(F.count("*").alias("total"))
+    return _nodes(groups.select(event_name(F.col("year_after"), F.col("event_type")).alias("name"), _event_head().alias("description")),
+                  vocab.EVENT_TYPE, "stte_events")
+
+
+def _event_head():
     side = F.when(F.col("event_type") == "entry", "内").otherwise("外")
     word = F.when(F.col("event_type") == "entry", vocab.ENTER_WORD).otherwise(vocab.EXIT_WORD)
-    text = F.concat(F.format_string("%d年共有 %d 个点", "year_after", "total"), word, F.lit("边界"), side)
-    if detail != "brief":
-        text = F.when(F.col("parts") == 1, F.concat(text, F.lit("："), F.array_join("members", ", "))).otherwise(text)
-    first = parts.select("year_after", "event_type", text.alias("description")).distinct()
-    return _nodes(first.select(event_name(F.col("year_after"), F.col("event_type")).alias("name"), "description"),
-                  vocab.EVENT_TYPE, "stte_events")
+    return F.concat(F.format_string("%d年共有 %d 个点", "year_after", "total"), word, F.lit("边界"), side)
+
+
+def event_texts(events: DataFrame, names_per_part: int = 1_000) -> DataFrame:
+    """(name, part, parts, text): the event's size and all its members' sorted names, ``names_per_part`` to a row."""
+    parts = event_member_parts(events, names_per_part)
+    return parts.select(event_name(F.col("year_after"), F.col("event_type")).alias("name"), "part", "parts",
+                        F.concat(_event_head(), F.lit("："), F.array_join("members", ", ")).alias("text"))
 
 
 def adjacency_edges(membership: DataFrame, points: DataFrame, km: float = 5.0,
@@ -94,7 +100,7 @@ def build_gis_graph(years: DataFrame, membership: DataFrame, points: DataFrame,
     source = "year_points_data" if detail == "brief" else "gis_data"
     nodes = (point_nodes(membership, points, detail, source)
              .unionByName(boundary_nodes(years, membership, detail, source))
-             .unionByName(event_nodes(events, detail)))
+             .unionByName(event_nodes(events)))
     chain = transition_edges(years).select("src", "tgt", "keywords", "description",
                                            F.lit(1.0).alias("weight"), F.lit(source).alias("source_id"))
     edges = (adjacency_edges(membership, points, km, source).unionByName(chain).unionByName(event_edges(events)))

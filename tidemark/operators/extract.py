@@ -237,9 +237,12 @@ def build_document_graph(chunks: DataFrame, responses: DataFrame, priority: dict
     is missing, sends its chunk to the fallback extractor."""
     shape = ("entities array<struct<entity_name:string,entity_type:string,description:string>>, "
              "relationships array<struct<src:string,tgt:string,type:string,description:string,weight:double>>")
-    fenced = F.regexp_replace(strip("response"), r"(?s)\A```[^\n]*\n(.*?)\n?```\s*\z", "$1")
+    # an opening fence line goes, and then a last line that is a fence: either may be there without the other's end
+    reply = strip("response")
+    opened = F.regexp_replace(reply, r"\A```[^\n]*(?:\n|\z)", "")
+    fenced = F.when(reply.startswith("```"), F.regexp_replace(opened, r"(?:\A|\n)[^\S\n]*```[^\S\n]*\z", "")).otherwise(reply)
     rows = chunks.join(responses.withColumnRenamed("chunk_id", "id"), "id", "left").withColumn(
-        "json", F.when(F.try_parse_json(fenced).isNotNull() & F.ltrim(fenced).startswith("{"), fenced))
+        "json", F.when(F.try_parse_json(fenced).isNotNull() & F.ltrim(fenced).startswith("{") & strip(fenced).endswith("}"), fenced))
     read = rows.where("json is not null").select(F.col("id").alias("chunk_id"), "content", F.from_json("json", shape).alias("j"))
     raw_entities = read.select("chunk_id", F.posexplode("j.entities").alias("position", "e")).select("chunk_id", "position", "e.*")
     raw_relations = read.select("chunk_id", F.posexplode("j.relationships").alias("position", "r")).select("chunk_id", "position", "r.*")

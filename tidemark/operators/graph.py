@@ -15,9 +15,9 @@ from tidemark.tables import Ordered, first_per_key, in_batches
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """One row per unordered pair; later rows of the same pair collapse into it."""
-    return (edges.withColumn("_a", F.least("src", "tgt")).withColumn("_b", F.greatest("src", "tgt"))
-            .dropDuplicates(["_a", "_b"]).drop("_a", "_b"))
+    """One row per unordered pair: of its rows the first by all columns, so that every run keeps the same."""
+    paired = edges.withColumn("_a", F.least("src", "tgt")).withColumn("_b", F.greatest("src", "tgt"))
+    return first_per_key(paired, ["_a", "_b"], [F.col(c) for c in edges.columns]).drop("_a", "_b")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

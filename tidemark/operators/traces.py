@@ -92,14 +92,14 @@ def flat_spans(spans: DataFrame) -> DataFrame:
                         "trace_id", "span_id", "start_time").orderBy("start_time", "span_id")
 
 
-def span_tree(spans: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Spans with ``depth``, ``root_id`` and ``path`` (start times and ids from the root down;
     sorting by (trace_id, path) is tree order). A span whose parent is not in its trace is a root.
 
     Pointer doubling: after round n every span knows its ancestor 2^n levels up, so a tree of
     depth d takes log2(d) joins on the unique key (trace_id, span_id), however large a trace
-    is. Each round is written, which keeps the plan short. Spans in a cycle never meet a
-    root and come out with depth null."""
+    is. Each round is written, which keeps the plan short. It ends when no span climbs any more: spans in a cycle never meet
+    a root, so they alone stay open, and they come out with depth null."""
     step = F.concat(F.lpad(F.col("start_time").cast("string"), 20, "0"), F.lit(":"), F.col("span_id"))
     ids = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("known"))
     up = F.when(F.col("known"), F.col("parent_id"))
@@ -107,10 +107,12 @@ def span_tree(spans: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
         spans.select("trace_id", "span_id", "parent_id", step.alias("path")).join(ids, ["trace_id", "parent_id"], "left")
         .select("trace_id", "span_id", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).alias("hops"),
                 F.col("span_id").alias("top"), "path"), "span-links")
-    reach = 1
-    while reach < max_depth:
+    still = None
+    while True:
         open_links = links.where("up is not null")
-        if open_links.isEmpty():
+        before, still = still, open_links.count()
+        # a round closes at least one open span unless all of them lead into cycles
+        if not still or still == before:
             break
         # only spans that still climb are joined; the others are done
         above = links.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"),
@@ -119,7 +121,6 @@ def span_tree(spans: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
             "trace_id", "span_id", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"),
             F.col("_top").alias("top"), F.concat_ws("/", "_path", "path").alias("path"))
         links = written(links.where("up is null").unionByName(climbed), "span-links")
-        reach *= 2
     whole = F.col("up").isNull()
     tree = links.select("trace_id", "span_id", F.when(whole, F.col("hops")).alias("depth"),
                         F.when(whole, F.col("top")).alias("root_id"), F.when(whole, F.col("path")).alias("path"))

@@ -13,19 +13,11 @@ from tidemark import vocab
 from tidemark.functions.text import change_rate
 from tidemark.tables import Ordered, in_batches, split_hot_join
 
-MASK_YEARS = 62  # years that fit a long; more take the path over sets
-
-
-def calendar_year(year) -> Column:
-    """The year as an int; one outside 1-9999 is an error, so no table has more years."""
-    year = F.col(year).cast("int")
-    return F.when(year.between(1, 9999), year).otherwise(F.raise_error(F.lit("year outside 1-9999")).cast("int"))
-
 
 def neighbours(years: DataFrame) -> DataFrame:
-    """(year, year_before, year_after) over the years present: at most 9999 rows."""
+    """(year, year_before, year_after) over the distinct years present."""
     order = Window.orderBy("year")
-    return (years.select(calendar_year("year").alias("year")).distinct()
+    return (years.select(F.col("year").cast("int").alias("year")).dropna().distinct()
             .select("year", F.lag("year").over(order).alias("year_before"),
                     F.lead("year").over(order).alias("year_after")))
 
@@ -33,41 +25,11 @@ def neighbours(years: DataFrame) -> DataFrame:
 def transitions(years: DataFrame, membership: DataFrame) -> DataFrame:
     """(point_id, event_type, year_before, year_after), one shuffle on ``point_id``.
 
-    A point's years are one bit mask, so duplicate rows of a busy point fold together
-    map-side in a hash aggregate and each map task ships one number per point. A year
-    whose bit is set and whose predecessor's is not is an entry; the reverse is an exit."""
-    # at most 9999 integers
-    present = sorted(r.year for r in years.select(calendar_year("year").alias("year")).distinct().collect())
-    if len(present) > MASK_YEARS:
-        return _transitions_by_sets(years, membership)
-    list_of_years = F.lit(present).cast("array<int>")
-    place = F.array_position(list_of_years, F.col("year").cast("int")).cast("int")
-    seen = (membership.select("point_id", place.alias("place")).where("place > 0")
-            .groupBy("point_id").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")))
-
-    def changes(kind, missing, there):
-        # places 2..n are the years that have a predecessor
-        places = F.filter(F.sequence(F.lit(2), F.lit(len(present))), lambda p: (
-            (_bit("mask", p + there) == 1) & (_bit("mask", p + missing) == 0)))
-        return F.transform(places, lambda p: F.struct(
-            F.lit(kind).alias("event_type"), F.get(list_of_years, p - 2).alias("year_before"),
-            F.get(list_of_years, p - 1).alias("year_after")))
-
-    if len(present) < 2:
-        return seen.where(F.lit(False)).select("point_id", F.lit("").alias("event_type"), F.lit(0).alias("year_before"),
-                                               F.lit(0).alias("year_after"))
-    both = F.concat(changes("entry", -1, 0), changes("exit", 0, -1))
-    return seen.select("point_id", F.inline(both))
-
-
-def _bit(mask: str, place: Column) -> Column:
-    return F.getbit(F.col(mask), place)
-
-
-def _transitions_by_sets(years: DataFrame, membership: DataFrame) -> DataFrame:
-    """The same for more years than a mask has bits: the set of years per point."""
+    A point's years are gathered as a set, so duplicate rows of a busy point fold together map-side and its cell
+    holds each year once. A year of the set whose predecessor among all years is not in it is an entry; one whose
+    successor is not is an exit. Spark broadcasts the distinct years itself where they are few."""
     member = (membership.select(F.col("year").cast("int").alias("year"), "point_id")
-              .join(F.broadcast(neighbours(years)), "year"))
+              .join(neighbours(years), "year"))
     stay = F.struct("year", "year_before", "year_after")
     seen = member.groupBy("point_id").agg(F.collect_set(stay).alias("stays"))
     present = F.transform("stays", lambda s: s["year"])
@@ -139,14 +101,14 @@ def boundary_name(year: Column) -> Column:
 
 def event_groups(events: DataFrame) -> DataFrame:
     """Events of one year and direction as one row with a count; the names are in
-    ``event_member_parts``, which stays whole when a group is too large for one row."""
+    ``event_member_parts``."""
     return (events.groupBy("year_after", "event_type").agg(F.count("*").alias("member_count"))
             .withColumn("name", event_name(F.col("year_after"), F.col("event_type"))))
 
 
 def event_member_parts(events: DataFrame, part_size: int = 1_000) -> DataFrame:
-    """(year_after, event_type, part, parts, total, members): sorted names, one row per
-    group up to ``part_size`` names, more rows beyond it."""
+    """(year_after, event_type, part, parts, total, members): sorted names, ``part_size``
+    to a row, in order from part to part."""
     return in_batches(events, ["year_after", "event_type"], "point_name", part_size, "members")
 
 

@@ -61,11 +61,13 @@ def event_groups(spark, folder):
     return tr.event_groups(tr.transitions(i.years(spark, folder), i.membership(spark, folder)))
 
 
-@query(CHANGES_SQL + """ SELECT year_after, event_type, count(*) AS total, string_agg(point_name, ', ' ORDER BY point_name) AS names
-  FROM events_full GROUP BY year_after, event_type""")
+@query(CHANGES_SQL + """ SELECT year_after, event_type, CAST(n // 1000 AS INT) AS part, any_value(total) AS total,
+  string_agg(point_name, ', ' ORDER BY point_name) AS names
+  FROM (SELECT *, row_number() OVER (PARTITION BY year_after, event_type ORDER BY point_name) - 1 AS n,
+    count(*) OVER (PARTITION BY year_after, event_type) AS total FROM events_full) GROUP BY year_after, event_type, n // 1000""")
 def event_members(spark, folder):
-    parts = tr.event_member_parts(_all(spark, folder)[3], part_size=1_000_000)
-    return parts.select("year_after", "event_type", "total", F.array_join("members", ", ").alias("names"))
+    parts = tr.event_member_parts(_all(spark, folder)[3])
+    return parts.select("year_after", "event_type", "part", "total", F.array_join("members", ", ").alias("names"))
 
 
 @query(CHANGES_SQL + """ SELECT y.year, count(m.point_id) AS point_count FROM years y LEFT JOIN membership m ON m.year = y.year
@@ -177,17 +179,19 @@ def type_distribution(spark, folder):
 
 @query(CHANGES_SQL + f""", {YEAR_CHANGES_SQL}, {DISTRIBUTION_SQL}, slots AS (SELECT 1 AS slot, 1997 AS year UNION ALL SELECT 2, 2000),
   lines AS (
-    SELECT 1 AS block, slot, printf('(%d年) 进入=%d, 退出=%d, 净变化=', year, entries, exits)
+    SELECT 1 AS block, slot, 0 AS part, printf('(%d年) 进入=%d, 退出=%d, 净变化=', year, entries, exits)
       || CASE WHEN entries >= exits THEN '+' ELSE '' END || (entries - exits) || printf(', 边界内=%d个点', point_count) AS text
       FROM slots JOIN year_changes USING (year)
-    UNION ALL SELECT 2, slot, '(' || s.year || '年进入点位) ' || coalesce((SELECT string_agg(point_name, ', ' ORDER BY point_name)
-      FROM events_full e WHERE e.year_after = s.year AND event_type = 'entry'), '无') FROM slots s
-    UNION ALL SELECT 3, slot, '(' || s.year || '年进入类型) ' || coalesce((SELECT text FROM dist_text d WHERE d.year = s.year), '无') FROM slots s)
-  SELECT CAST(row_number() OVER (ORDER BY block, slot) AS INT) AS line_no,
-    '[E' || row_number() OVER (ORDER BY block, slot) || '] ' || text AS line FROM lines""")
+    UNION ALL SELECT 2, slot, coalesce(part, 0), '(' || s.year || '年进入点位) ' || coalesce(names, '无') FROM slots s LEFT JOIN
+      (SELECT year_after AS year, n // 1000 AS part, string_agg(point_name, ', ' ORDER BY point_name) AS names FROM
+        (SELECT *, row_number() OVER (PARTITION BY year_after ORDER BY point_name) - 1 AS n FROM events_full WHERE event_type = 'entry')
+        GROUP BY year_after, n // 1000) e ON e.year = s.year
+    UNION ALL SELECT 3, slot, 0, '(' || s.year || '年进入类型) ' || coalesce((SELECT text FROM dist_text d WHERE d.year = s.year), '无') FROM slots s)
+  SELECT CAST(row_number() OVER (ORDER BY block, slot, part) AS INT) AS line_no,
+    '[E' || row_number() OVER (ORDER BY block, slot, part) || '] ' || text AS line FROM lines""")
 def compare_periods(spark, folder):
     years, membership, points, events = _all(spark, folder)
-    return series.compare_periods(years, membership, points, events, 1997, 2000, names_per_line=1_000_000)
+    return series.compare_periods(years, membership, points, events, 1997, 2000)
 
 
 @query("SELECT 1 AS line_no, '(缺少年份数据: 1900, 2100)' AS line")

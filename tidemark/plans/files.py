@@ -47,12 +47,12 @@ def trace_store(spark, folder):
     return kept.join(index, "trace_id", "left_semi").groupBy("trace_id").agg(F.count("*").alias("n"))
 
 
-@query(graphs.TRADE_SQL + " SELECT src, tgt, description, weight FROM edges WHERE keywords LIKE 'PART_OF%' OR keywords LIKE 'LOCATED_IN%'")
+@query(graphs.TRADE_SQL + " SELECT src, tgt, description, weight FROM edges UNION ALL SELECT name, entity_type, description, -1e0 FROM nodes")
 def graph_store(spark, folder):
     path = _folder(spark, "graph")
     stores.export_graph(*graphs.trade_graph(spark, folder), path)
-    # two partitions of the three are read
-    return spark.read.parquet(f"{path}/edges").where("predicate in ('PART_OF', 'LOCATED_IN')").select("src", "tgt", "description", "weight")
+    nodes = spark.read.parquet(f"{path}/nodes").select(F.col("name").alias("src"), F.col("entity_type").alias("tgt"), "description", F.lit(-1.0).alias("weight"))
+    return spark.read.parquet(f"{path}/edges").select("src", "tgt", "description", "weight").unionByName(nodes)
 
 
 @query(graphs.TRADE_SQL + " SELECT src, tgt, split_part(keywords, ',', 1) AS predicate, weight, n.entity_type FROM edges JOIN nodes n ON n.name = tgt")

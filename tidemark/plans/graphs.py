@@ -46,8 +46,7 @@ gis_nodes AS (
   UNION ALL SELECT y.year || '年城市边界', 'Boundary', y.year || '年的城市边界状态，边界内共 '
     || (SELECT count(*) FROM membership m WHERE m.year = y.year) || ' 个点位', 'gis_data' FROM years y
   UNION ALL SELECT {EVENT_NAME_SQL}, 'STTE_Event', year_after || '年共有 ' || count(*) || ' 个点'
-    || CASE event_type WHEN 'entry' THEN '进入边界内' ELSE '退出边界外' END
-    || CASE WHEN count(*) <= 1000 THEN '：' || string_agg(point_name, ', ' ORDER BY point_name) ELSE '' END,
+    || CASE event_type WHEN 'entry' THEN '进入边界内' ELSE '退出边界外' END,
     'stte_events' FROM events_full GROUP BY year_after, event_type),
 gis_edges AS (
   SELECT unnest([name_a, name_b]) AS src, unnest([name_b, name_a]) AS tgt, 'ADJACENT_TO, 地理相邻' AS keywords,
@@ -63,6 +62,16 @@ def gis_nodes(spark, folder):
     return gis_graph(spark, folder)[0]
 
 
+@query(GIS_SQL + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY year_after, event_type ORDER BY point_name) - 1 AS n,
+    count(*) OVER (PARTITION BY year_after, event_type) AS total FROM events_full)
+  SELECT {EVENT_NAME_SQL} AS name, CAST(n // 1000 AS INT) AS part, CAST((any_value(total) + 999) // 1000 AS INT) AS parts,
+    year_after || '年共有 ' || any_value(total) || ' 个点' || CASE event_type WHEN 'entry' THEN '进入边界内' ELSE '退出边界外' END
+    || '：' || string_agg(point_name, ', ' ORDER BY point_name) AS text FROM numbered GROUP BY year_after, event_type, n // 1000""")
+def event_texts(spark, folder):
+    years, membership, points = i.years(spark, folder), i.membership(spark, folder), i.points(spark, folder)
+    return build.event_texts(tr.enrich_events(tr.transitions(years, membership), points))
+
+
 @query(GIS_SQL + " SELECT * FROM gis_edges")
 def gis_edges(spark, folder):
     return gis_graph(spark, folder)[1]
@@ -84,8 +93,9 @@ def points_of_event(spark, folder):
 CARDS_SQL = GIS_SQL + f""", own AS (SELECT name AS point, 0 AS kind, '' AS key, '(Entity:Point) ' || name || ' — ' || description AS text FROM gis_nodes WHERE entity_type = 'Point'),
  involved AS (SELECT e.tgt AS point, 1 AS kind, e.src AS key, '(STTE_Event) ' || e.src || ' — ' || n.description AS text
    FROM gis_edges e JOIN gis_nodes n ON n.name = e.src WHERE e.keywords LIKE 'INVOLVES_POINT%'),
- adjacent AS (SELECT src AS point, 2 AS kind, '' AS key, '(Adjacent:' || count(DISTINCT tgt) || '个邻居) ' || string_agg(DISTINCT tgt, ', ' ORDER BY tgt) AS text
-   FROM gis_edges WHERE keywords LIKE 'ADJACENT_TO%' GROUP BY src),
+ adjacent AS (SELECT src AS point, 2 AS kind, lpad(CAST(min(n) AS VARCHAR), 12, '0') AS key, '(Adjacent:' || any_value(total) || '个邻居) ' || string_agg(tgt, ', ' ORDER BY tgt) AS text
+   FROM (SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY tgt) - 1 AS n, count(*) OVER (PARTITION BY src) AS total
+     FROM (SELECT DISTINCT src, tgt FROM gis_edges WHERE keywords LIKE 'ADJACENT_TO%')) GROUP BY src, n // 1000),
  cards AS (SELECT *, CAST(row_number() OVER (PARTITION BY point ORDER BY kind, key) AS INT) AS line_no
    FROM (SELECT * FROM own UNION ALL SELECT * FROM involved UNION ALL SELECT * FROM adjacent))"""
 

@@ -85,7 +85,18 @@ def stream_transitions(spark, folder):
     snapshots = i.membership(spark, folder).distinct()
     path = f"{scratch_dir(spark)}/tidemark/transitions-{uuid.uuid4().hex}"
     jobs.stream_transitions(replay(snapshots, F.col("year")), path, f"{path}/checkpoint", availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{path}/events").drop("batch")
+    return jobs.transition_events(spark, path)
+
+
+@query(ORACLES["stream_transitions"])
+def stream_split_years(spark, folder):
+    """As above, but the rows of a year arrive in several batches."""
+    snapshots = i.membership(spark, folder).distinct()
+    path = f"{scratch_dir(spark)}/tidemark/transitions-{uuid.uuid4().hex}"
+    # by year and, within it, by a hash of the point: batches are cut in the middle of years
+    place = F.col("year") + F.pmod(F.xxhash64("point_id"), F.lit(1000)) / 1000
+    jobs.stream_transitions(replay(snapshots, place, slices=9), path, f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return jobs.transition_events(spark, path)
 
 
 @query(texts.CHUNKS_SQL.replace("FROM documents)", "FROM (SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, text FROM documents GROUP BY text))", 1)

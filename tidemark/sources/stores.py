@@ -36,10 +36,12 @@ def mark_imported(files: DataFrame, ledger_path: str) -> None:
 
 
 def write_chunks(chunks: DataFrame, path: str, keep_keywords: int = 10) -> None:
-    """Append the chunks whose id the table does not have yet."""
-    rows = chunks.withColumn("keywords", F.slice("keywords", 1, keep_keywords)).dropDuplicates(["id"])
-    have = read_or_empty(chunks.sparkSession, path, rows.schema).select("id")
-    rows.join(have, "id", "left_anti").select(*rows.columns).write.mode("append").parquet(path)
+    """Append the chunks that the table does not have yet. A chunk is known by its id and the hash of its whole content: the id
+    alone has eight digits of it, which different chunks of one place may share."""
+    rows = chunks.withColumn("keywords", F.slice("keywords", 1, keep_keywords)).withColumn("_hash", F.sha2("content", 256))
+    rows = rows.dropDuplicates(["id", "_hash"])
+    have = read_or_empty(chunks.sparkSession, path, chunks.schema).select("id", F.sha2("content", 256).alias("_hash"))
+    rows.join(have, ["id", "_hash"], "left_anti").select(*chunks.columns).write.mode("append").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -76,13 +78,21 @@ def cache_stats(cache: DataFrame) -> DataFrame:
                      F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("size_bytes"))
 
 
-def write_traces(spans: DataFrame, index: DataFrame, path: str) -> None:
-    """Spans in one folder per trace, and the index. Range partitioning keeps a trace's spans
-    together but spreads a huge trace over several files."""
-    (spans.repartitionByRange("trace_id", "start_time").write.mode("append").partitionBy("trace_id").parquet(f"{path}/spans"))
+def write_traces(spans: DataFrame, index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Spans in a fixed number of hash buckets, sorted by trace, and the index. A reader of one trace prunes to its
+    bucket and, by the files' statistics, to its row groups; a huge trace is spread over several files."""
+    bucket = F.pmod(F.xxhash64("trace_id"), F.lit(buckets)).cast("int")
+    (spans.withColumn("bucket", bucket).repartitionByRange("bucket", "trace_id", "start_time")
+     .sortWithinPartitions("bucket", "trace_id", "start_time").write.mode("append").partitionBy("bucket").parquet(f"{path}/spans"))
     index.write.mode("append").parquet(f"{path}/index")
 
 
+def read_trace(spark: SparkSession, path: str, trace_id: str, buckets: int = 64) -> DataFrame:
+    """The spans of one trace: one bucket is read, with the id pushed to its files."""
+    bucket = F.pmod(F.xxhash64(F.lit(trace_id)), F.lit(buckets)).cast("int")
+    return spark.read.parquet(f"{path}/spans").where((F.col("bucket") == bucket) & (F.col("trace_id") == trace_id)).drop("bucket")
+
+
 def write_events_json(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").json(path)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -178,34 +178,48 @@ def stream_usage(turns: DataFrame, prices: dict[str, float] = vocab.TOKEN_PRICES
 
 def stream_transitions(snapshots: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Change events from yearly snapshots (year, point_id) as they arrive; a row without
-    point_id announces an empty year. Below ``path``: ``events`` in one folder per batch,
-    ``late`` for rows of years that are not newer than the last one, and ``state``, the last
-    year's members after each batch. A batch that is run again overwrites its own folders."""
+    point_id announces an empty year.
+
+    The newest year stays open: when more of its rows come, its events are found anew. Below ``path``, per batch: ``events``, ``years``
+    (those whose events the batch found), ``late`` (rows of years older than the newest before the batch), and in two
+    folders that take turns ``state``, the rows of the two newest years. ``transition_events`` reads what holds. A batch
+    that is run again overwrites its own folders."""
     schema = snapshots.schema
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = f"{path}/state"
-        before = _state_before(spark, state, number, schema)
+        before, slot = _state_before(batch.sparkSession, f"{path}/state", number, schema)
         last = before.agg(F.max("year").alias("y")).head()["y"]
-        fresh = batch if last is None else batch.where(F.col("year") > last)
+        fresh = batch if last is None else batch.where(F.col("year") >= last)
         if last is not None:
-            batch.where(F.col("year") <= last).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+            batch.where(F.col("year") < last).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
         rows = before.unionByName(fresh.select(*schema.names)).distinct().persist()
         try:
-            members = rows.where("point_id is not null")
-            transitions(rows.select("year"), members).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
-            newest = rows.agg(F.max("year").alias("year"))
-            rows.join(F.broadcast(newest), "year", "left_semi").select(*schema.names).write.mode("overwrite").parquet(
-                f"{state}/batch={number}")
+            found = transitions(rows.select("year"), rows.where("point_id is not null"))
+            years = rows.select("year").distinct()
+            newest = [r.year for r in years.orderBy(F.desc("year")).limit(2).collect()]
+            if last is not None:
+                # of the two kept years the older one is closed
+                years, found = years.where(F.col("year") >= last), found.where(F.col("year_after") >= last)
+            found.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+            years.write.mode("overwrite").parquet(f"{path}/years/batch={number}")
+            (rows.where(F.col("year").isin(newest)).select(*schema.names, F.lit(number).alias("batch"))
+             .write.mode("overwrite").parquet(f"{path}/state/slot={slot}"))
         finally:
             rows.unpersist()
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _state_before(spark, state: str, number: int, schema) -> DataFrame:
-    """The members kept by the latest batch before ``number``; empty batches leave none."""
-    numbered = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+def transition_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events that hold: each year's from the last batch that found them."""
+    holds = spark.read.parquet(f"{path}/years").groupBy(F.col("year").alias("year_after")).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/events").join(holds, ["year_after", "batch"], "left_semi").drop("batch")
+
+
+def _state_before(spark: SparkSession, state: str, number: int, schema) -> tuple[DataFrame, int]:
+    """The rows kept by the latest batch before ``number``, and the folder that this batch may overwrite."""
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("slot", T.IntegerType())])
     kept = read_or_empty(spark, state, numbered).where(F.col("batch") < number)
-    newest = kept.agg(F.max("batch").alias("batch"))
-    return kept.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
+    newest = kept.groupBy("batch", "slot").count().orderBy(F.desc("batch")).limit(1).collect()
+    if not newest:
+        return kept.where(F.lit(False)).drop("batch", "slot"), number % 2
+    return kept.where(F.col("slot") == newest[0].slot).drop("batch", "slot"), 1 - newest[0].slot

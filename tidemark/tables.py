@@ -44,26 +44,6 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], salt_by: list[st
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
-def in_batches(df: DataFrame, keys: list[str], item: str, size: int, out: str) -> DataFrame:
-    """Sorted arrays of at most about ``size`` items per key, numbered by ``part``.
-
-    A key with more than ``size`` items is hashed into several parts first, so no row
-    grows with its key. Yields keys, part, parts, total and the array ``out``."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("total"))
-    large = counts.where(F.col("total") > size).withColumn("parts", F.ceil(F.col("total") / size).cast("int"))
-    listed = F.sort_array(F.collect_list(item)).alias(out)
-    if large.isEmpty():
-        return df.groupBy(*keys).agg(listed).select(
-            *keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), F.size(out).cast("long").alias("total"), out)
-    # at most rows / size keys; written, so that its true size decides how it is joined
-    large = written(large, "large-groups")
-    parts = F.coalesce("parts", F.lit(1))
-    grouped = (df.select(*keys, item).join(large, keys, "left")
-               .withColumn("part", F.pmod(F.xxhash64(item), parts).cast("int"))
-               .groupBy(*keys, "part", parts.alias("parts"), "total").agg(listed))
-    return grouped.withColumn("total", F.coalesce("total", F.size(out).cast("long")))
-
-
 class Ordered:
     """Ordered window functions over ``keys`` that survive a hot key.
 
@@ -131,6 +111,18 @@ class Ordered:
         return self.df.drop("_block")
 
 
+def in_batches(df: DataFrame, keys: list[str], item: str, size: int, out: str) -> DataFrame:
+    """Arrays of at most ``size`` items per key in the order of the items: part 0 holds the first ``size``, and so on.
+
+    Yields keys, part, parts, total and the array ``out``, in the same layout for groups of any size; read part by
+    part the items are sorted. No row grows with its key."""
+    numbered = Ordered(df.select(*keys, item), keys, [item]).row_number("_n").result()
+    parts = (numbered.groupBy(*keys, F.floor((F.col("_n") - 1) / size).cast("int").alias("part"))
+             .agg(F.sort_array(F.collect_list(item)).alias(out)))
+    totals = df.groupBy(*keys).agg(F.count("*").alias("total"))
+    # a handful of part rows per key meet one row of totals
+    return parts.join(totals, keys).select(*keys, "part", F.ceil(F.col("total") / size).cast("int").alias("parts"), "total", out)
+
 
 def split_hot_join(many: DataFrame, few: DataFrame, on: list[str], salt_by: list[str],
                    rows_per_task: int = 100_000) -> DataFrame:
