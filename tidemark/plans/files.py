@@ -125,3 +125,154 @@ def rebuild_graph(spark, folder):
                                                   F.lit(0).alias("position"), F.lit("").alias("description"), F.lit("parts").alias("source_id"))
     documents = ex.merge_entities(found).drop("chunk_no", "position")
     return g.rebuild(base, (documents, base[1].where("false")))[0].select("name", "entity_type")
+
+
+# -- the input formats: one document per nation (or conversation, or text), written and read back ----------------------
+
+def _documents(df, name, key):
+    """Each row of ``df`` as a JSON file of its own."""
+    path = _folder(df.sparkSession, name)
+    df.repartition(key).write.partitionBy(key).json(path)
+    return path
+
+
+def _city(spark, folder):
+    """(nation, points): the points of each nation with all their attributes."""
+    points = i.points(spark, folder).join(i.table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), "c_custkey")
+    return points.withColumn("id", F.col("point_id"))
+
+
+def _square(edge):
+    """A square ring from the far west up to ``edge``."""
+    corners = ((F.lit(-181.0), F.lit(0.0)), (edge, F.lit(0.0)), (edge, F.lit(80.0)), (F.lit(-181.0), F.lit(80.0)), (F.lit(-181.0), F.lit(0.0)))
+    return F.array(*[F.array(lon, lat) for lon, lat in corners])
+
+
+def _geometry(year, kind):
+    ring = F.array(_square(F.lit(-180.0) + (year - 1994) * 1.0013))
+    return F.struct(F.lit(kind).alias("type"), (ring if kind == "Polygon" else F.array(ring)).alias("coordinates"))
+
+
+def _year_points(spark, folder):
+    customers = i.table(spark, folder, "customer").select(F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("point_id"), F.col("c_nationkey").alias("nation"))
+    years = (i.membership(spark, folder).distinct().join(customers, "point_id").groupBy("nation", F.col("year").cast("string").alias("year"))
+             .agg(F.collect_list("point_id").alias("ids")).groupBy("nation").agg(F.map_from_entries(F.collect_list(F.struct("year", "ids"))).alias("year_points")))
+    fields = [c.split()[0] for c in files.POINT_FIELDS.split(", ")]
+    info = _city(spark, folder).groupBy("nation").agg(F.map_from_entries(F.collect_list(F.struct("point_id", F.struct(*fields)))).alias("point_info"))
+    return _documents(years.join(info, "nation"), "year-points", "nation")
+
+
+def _feature_collections(spark, folder):
+    features = _city(spark, folder).groupBy("nation").agg(F.collect_list(F.struct(
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+        F.struct("id", "name", F.col("point_type").alias("type")).alias("properties"))).alias("features"))
+    years = i.years(spark, folder).groupBy().agg(F.array_sort(F.collect_list("year")).alias("years"))
+    shapes = F.map_from_entries(F.transform("years", lambda y: F.struct(y.cast("string"), _geometry(y, "Polygon"))))
+    # the distinct years are one row
+    return _documents(features.join(years, F.lit(True)).withColumn("type", F.lit("FeatureCollection")).withColumn("year_boundaries", shapes), "features", "nation")
+
+
+def _separated(spark, folder):
+    points = _city(spark, folder).groupBy("nation").agg(F.collect_list(F.struct("id", "name", "lon", "lat", F.col("point_type").alias("type"))).alias("points"))
+    years = i.years(spark, folder).groupBy().agg(F.array_sort(F.collect_list("year")).alias("years"))
+    # an older boundary of the same year comes first and doesn't count
+    newer = F.transform("years", lambda y: F.struct(y.alias("year"), _geometry(y, "MultiPolygon").alias("geometry")))
+    older = F.transform("years", lambda y: F.struct(y.alias("year"), _geometry(F.lit(1994), "MultiPolygon").alias("geometry")))
+    return _documents(points.join(years, F.lit(True)).withColumn("boundaries", F.concat(older, newer)).drop("years"), "separated", "nation")
+
+
+INSIDE_SQL = "SELECT DISTINCT y.year, p.point_id FROM years y JOIN points p ON p.lon < -180e0 + (y.year - 1994) * 10013e-4"
+
+
+@query(CHANGES_SQL + """ SELECT m.year, m.point_id, p.name, p.lon, p.lat, p.point_type, p.district, p.planning_zone, p.land_use_code, p.population_served
+  FROM members m JOIN points p USING (point_id)""")
+def year_points_files(spark, folder):
+    _, membership, points = files.read_year_points(spark, _year_points(spark, folder))
+    return membership.join(points, "point_id").select("year", "point_id", "name", "lon", "lat", "point_type", "district", "planning_zone", "land_use_code",
+                                                      "population_served")
+
+
+@query(CHANGES_SQL + """ SELECT point_id, name, lon, lat, point_type, CAST(NULL AS INT) AS year, 0 AS corners FROM points
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, year, 5 FROM years, (SELECT DISTINCT c_nationkey FROM customer)""")
+def geojson_files(spark, folder):
+    points, boundaries = files.read_geojson(spark, _feature_collections(spark, folder))
+    return points.withColumn("corners", F.lit(0)).unionByName(boundaries.select("year", F.size(F.flatten("rings")).alias("corners")), allowMissingColumns=True)
+
+
+@query(CHANGES_SQL + """ SELECT point_id, name, lon, lat, point_type, CAST(NULL AS INT) AS year, 0e0 AS east FROM points
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, year, round(-180e0 + (year - 1994) * 10013e-4, 6) FROM years""")
+def separated_files(spark, folder):
+    points, boundaries = files.read_separated(spark, _separated(spark, folder))
+    east = F.array_max(F.transform(F.flatten("rings"), lambda p: p[0]))
+    return points.withColumn("east", F.lit(0.0)).unionByName(boundaries.select("year", F.round(east, 6).alias("east")), allowMissingColumns=True)
+
+
+@query(CHANGES_SQL + f""", inside AS ({INSIDE_SQL}) SELECT 'year_points' AS form, year, point_id FROM members UNION ALL
+  SELECT 'geojson', year, point_id FROM inside UNION ALL SELECT 'separated', year, point_id FROM inside""")
+def membership_files(spark, folder):
+    """The three formats through the one reader that tells them apart."""
+    paths = {"year_points": _year_points(spark, folder), "geojson": _feature_collections(spark, folder), "separated": _separated(spark, folder)}
+    found = None
+    for form, path in paths.items():
+        rows = files.read_membership(spark, path)[1].select(F.lit(form).alias("form"), "year", "point_id").distinct()
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("""WITH parts AS (SELECT p_name AS name, p_partkey % 25 AS nation, p_partkey % 3 AS kind FROM part)
+  SELECT 'policy' AS kind, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'Nation ' || n_nationkey ELSE '' END AS description FROM nation
+  UNION ALL SELECT CASE kind WHEN 0 THEN 'goal' ELSE 'measure' END, n_name, name FROM parts JOIN nation ON nation = n_nationkey WHERE kind < 2""")
+def policy_files(spark, folder):
+    part, nation = i.table(spark, folder, "part"), i.table(spark, folder, "nation")
+    rows = part.select((F.col("p_partkey") % 25).cast("int").alias("n_nationkey"), (F.col("p_partkey") % 3).alias("kind"), F.struct(
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("id"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_name")).alias("description")).alias("item"))
+    lists = rows.groupBy("n_nationkey").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("item"))).alias("goals"),
+                                            F.collect_list(F.when(F.col("kind") == 1, F.col("item"))).alias("measures"))
+    docs = nation.join(lists, "n_nationkey", "left").select("n_regionkey", F.struct(
+        F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string"))).alias("abstract"),
+        "goals", "measures").alias("doc"))
+    path = _folder(spark, "policies")
+    # one array of policies per file
+    arrays = docs.groupBy("n_regionkey").agg(F.to_json(F.collect_list("doc")).alias("value"))
+    arrays.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
+    policies, goals, measures = files.read_policies(spark, path)
+    return (policies.select(F.lit("policy").alias("kind"), "title", F.col("abstract").alias("description"))
+            .unionByName(goals.select(F.lit("goal").alias("kind"), "title", "description"))
+            .unionByName(measures.select(F.lit("measure").alias("kind"), "title", "description")))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\\n+$', '')) AS text FROM documents")
+def text_files(spark, folder):
+    docs = i.table(spark, folder, "documents").select("doc_id", "text")
+    path = _folder(spark, "texts")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    rows = files.read_documents(spark, path)
+    return rows.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), F.md5(F.encode(F.regexp_replace("text", r"\n+\z", ""), "UTF-8")).alias("text"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+  SELECT 'S' || conv_id AS session_id, 'T' || turn AS task_id, 'turn' AS kind, CASE WHEN last THEN 'failed' ELSE 'done' END AS status,
+    CASE WHEN turn % 2 = 0 THEN md5(text) END AS answer, CASE WHEN last THEN '进程重启时任务未完成' END AS error FROM t
+  UNION ALL SELECT 'S' || conv_id, 'T' || turn, role, CASE WHEN last THEN 'failed' ELSE 'done' END, md5(text), NULL FROM t
+  UNION ALL SELECT 'S' || conv_id, 'T' || turn, 'call', CAST(n AS VARCHAR), md5(role || n), NULL FROM t, (SELECT unnest([0, 1]) AS n)
+  UNION ALL SELECT 'S' || conv_id, 'T' || turn, 'evidence', 'E1', md5(text), NULL FROM t""")
+def session_files(spark, folder):
+    turns = i.table(spark, folder, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    status = F.when(F.col("turn") == F.col("last"), F.when(F.col("turn") % 2 == 0, "pending").otherwise("running")).otherwise("done")
+    calls = F.array(*[F.struct(F.lit("tool").alias("name"), F.concat("role", F.lit(str(n))).alias("output")) for n in (0, 1)])
+    sub = F.struct(status.alias("status"), F.col("text").alias("answer"), F.array(F.struct(F.lit("E1").alias("id"), "text")).alias("evidence"), calls.alias("tool_calls"))
+    turn = F.struct("turn", F.concat(F.lit("T"), F.col("turn").cast("string")).alias("task_id"), status.alias("status"),
+                    F.when(F.col("turn") % 4 == 0, F.col("text")).alias("aggregated"), F.when(F.col("turn") % 4 == 2, F.col("text")).alias("result"),
+                    F.create_map("role", sub).alias("sub_results"))
+    sessions = (turns.join(last, "conv_id").groupBy("conv_id").agg(F.collect_list(turn).alias("turns"))
+                .withColumn("session_id", F.concat(F.lit("S"), F.col("conv_id").cast("string"))))
+    rows, subs, calls, evidence = files.read_sessions(spark, _documents(sessions, "sessions", "conv_id"))
+
+    def md5(column):
+        return F.md5(F.encode(F.col(column), "UTF-8")).alias("answer")
+    none = F.lit(None).cast("string").alias("error")
+    return (rows.select("session_id", "task_id", F.lit("turn").alias("kind"), "status", md5("aggregated"), "error")
+            .unionByName(subs.select("session_id", "task_id", F.col("agent").alias("kind"), "status", md5("answer"), none))
+            .unionByName(calls.select("session_id", "task_id", F.lit("call").alias("kind"), F.col("call_no").cast("string").alias("status"), md5("output"), none))
+            .unionByName(evidence.select("session_id", "task_id", F.lit("evidence").alias("kind"), F.col("id").alias("status"), md5("text"), none)))

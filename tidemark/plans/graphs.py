@@ -145,7 +145,7 @@ nodes AS (
   UNION ALL SELECT s_name, 'Infrastructure', 'Supplier with balance ' || CAST(floor(s_acctbal) AS BIGINT), 'supplier_p1' FROM supplier
   UNION ALL SELECT n_name, 'District', 'Nation ' || n_name || ' of ' || r_name, 'nation_p1' FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT r_name, 'Region', '', 'region_p1' FROM region),
-edges AS (
+edges AS MATERIALIZED (
   SELECT c_name AS src, n_name AS tgt, 'LOCATED_IN, place' AS keywords, c_name || ' is in ' || n_name AS description, 1e0 AS weight, 'customer_p1' AS source_id
     FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT n_name, r_name, 'PART_OF, place', n_name || ' belongs to ' || r_name, 1e0, 'nation_p1' FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -184,8 +184,8 @@ def trade_graph(spark, folder):
 
 
 SEARCH_SQL = TRADE_SQL + """, hits AS (SELECT name FROM nodes WHERE contains(lower(name), 'nation_1') OR contains(lower(description), 'of asia')),
-  selected AS (SELECT name FROM hits UNION SELECT src FROM edges WHERE src IN (SELECT name FROM hits) OR tgt IN (SELECT name FROM hits)
-    UNION SELECT tgt FROM edges WHERE src IN (SELECT name FROM hits) OR tgt IN (SELECT name FROM hits))"""
+  ends AS (SELECT src, tgt FROM edges JOIN hits ON src = name UNION SELECT src, tgt FROM edges JOIN hits ON tgt = name),
+  selected AS (SELECT name FROM hits UNION SELECT src FROM ends UNION SELECT tgt FROM ends)"""
 
 
 @query(SEARCH_SQL.replace("OR contains(lower(description), 'of asia')", "OR contains(lower(description), 'nation_1')") + " SELECT name, entity_type FROM nodes WHERE name IN (SELECT name FROM selected)")
@@ -193,7 +193,7 @@ def search_nodes(spark, folder):
     return g.search_subgraph(*trade_graph(spark, folder), "Nation_1")[0].select("name", "entity_type")
 
 
-@query(SEARCH_SQL.replace("contains(lower(name), 'nation_1')", "contains(lower(name), 'of asia')") + " SELECT * FROM edges WHERE src IN (SELECT name FROM selected) AND tgt IN (SELECT name FROM selected)")
+@query(SEARCH_SQL.replace("contains(lower(name), 'nation_1')", "contains(lower(name), 'of asia')") + " SELECT e.* FROM edges e JOIN selected a ON e.src = a.name JOIN selected b ON e.tgt = b.name")
 def search_edges(spark, folder):
     return g.search_subgraph(*trade_graph(spark, folder), "of Asia")[1]
 

@@ -329,7 +329,7 @@ def _raw_entities(spark, folder):
 
 
 VALIDATED_SQL = f"""{WORDS_SQL}, checked AS (SELECT *, CASE WHEN entity_type IN ('PolicyGoal', 'PolicyMeasure') THEN substr(entity_name, 1, 40) ELSE entity_name END AS name FROM raw),
-  validated AS (SELECT chunk_id, position, name, entity_type, entity_type || ': ' || name AS description, {REASON_SQL} AS reason FROM checked)"""
+  validated AS MATERIALIZED (SELECT chunk_id, position, name, entity_type, entity_type || ': ' || name AS description, {REASON_SQL} AS reason FROM checked)"""
 
 
 @query(f"WITH {VALIDATED_SQL} SELECT * FROM validated")
@@ -340,9 +340,8 @@ def validate_entities(spark, folder):
 @query(f"""WITH {VALIDATED_SQL}, accepted AS (SELECT DISTINCT chunk_id, name FROM validated WHERE reason = ''),
   rels AS (SELECT chunk_id, position, name AS src, lead(name) OVER (PARTITION BY chunk_id ORDER BY position) AS tgt,
     CASE position % 3 WHEN 0 THEN 'PART_OF' WHEN 1 THEN 'TARGETS' ELSE 'UNKNOWN' END AS type FROM validated)
-  SELECT chunk_id, position, src, tgt, type AS predicate, src || ' ' || type || ' ' || tgt AS description, 1e0 AS weight FROM rels r
-  WHERE type <> 'UNKNOWN' AND tgt IS NOT NULL AND EXISTS (SELECT 1 FROM accepted a WHERE a.chunk_id = r.chunk_id AND a.name = src)
-    AND EXISTS (SELECT 1 FROM accepted a WHERE a.chunk_id = r.chunk_id AND a.name = tgt)""")
+  SELECT r.chunk_id, position, src, tgt, type AS predicate, src || ' ' || type || ' ' || tgt AS description, 1e0 AS weight FROM rels r
+  JOIN accepted a ON a.chunk_id = r.chunk_id AND a.name = src JOIN accepted b ON b.chunk_id = r.chunk_id AND b.name = tgt WHERE type <> 'UNKNOWN'""")
 def validate_relations(spark, folder):
     checked = written(ex.validate_entities(*_raw_entities(spark, folder), verbs=("Th", "ver"), connectives=("sh",)), "checked")
     following = checked.select("chunk_id", (F.col("position") - 1).alias("position"), F.col("name").alias("tgt"))
