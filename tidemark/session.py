@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,23 +31,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-_own_scratch: str | None = None
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``. Only where that is unset (local tests) a fresh
-    temporary folder stands in, because a machine-local path is useless to other
-    executors."""
+    """This application's folder for intermediate tables, below the one that ``spark.checkpoint.dir`` names and all
+    executors share. Where the session runs in one process and names none, below its warehouse; that folder is removed
+    when the process ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    global _own_scratch
-    if _own_scratch is None:
-        _own_scratch = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_scratch
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+        atexit.register(shutil.rmtree, urlparse(shared).path, ignore_errors=True)
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application: results that still read them can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
