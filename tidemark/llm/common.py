@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Documents can be long: let the session hand Python workers at most ``BATCH_ROWS`` of them at once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def per_text(rows: DataFrame, id_col: str, text_col: str, fields: str,
              make: Callable[[list], list[pa.Array]]) -> DataFrame:
     """One output row per input row, in Arrow batches and without a shuffle: the id as it came
@@ -27,6 +38,7 @@ def per_text(rows: DataFrame, id_col: str, text_col: str, fields: str,
                 columns = make(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
+    bounded_batches(rows.sparkSession)
     return rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

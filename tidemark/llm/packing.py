@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import byte_characters
+from tidemark.llm.common import bounded_batches
 from tidemark.session import written
 
 SIZE = 2048
@@ -173,6 +174,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 columns.append(pa.array(held, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
