@@ -143,7 +143,7 @@ class Model:
         by_letter: dict[str, list[str]] = {}
         for gram in self.strong:
             by_letter.setdefault(gram[0], []).append(r"[^\p{L}\p{N}_]+".join(map(re.escape, gram[1:].split(" "))))
-        return r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + ")"
+        return r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + r")(?![\p{L}\p{N}_])"
 
 
 def strong_grams(weights: dict[str, np.ndarray], bias: np.ndarray, ordinary: list[str]) -> list[str]:
