@@ -20,12 +20,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return first_per_key(paired, ["_a", "_b"], [F.col(c) for c in edges.columns]).drop("_a", "_b")
 
 
+def of_predicate(edges: DataFrame, *predicates: str) -> DataFrame:
+    """Edges of these predicates. Stored edges have them as partition column, so that the others are not read."""
+    kind = F.col("predicate") if "predicate" in edges.columns else predicate_of("keywords")
+    return edges.where(kind.isin(*predicates))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, predicate): every edge seen from both ends; a loop once."""
     ends = F.array(F.struct(F.col("src").alias("node"), F.col("tgt").alias("other")),
                    F.struct(F.col("tgt").alias("node"), F.col("src").alias("other")))
     ends = F.when(F.col("src") == F.col("tgt"), F.slice(ends, 1, 1)).otherwise(ends)
-    return edges.select(F.inline(ends), predicate_of("keywords").alias("predicate"))
+    kind = F.col("predicate") if "predicate" in edges.columns else predicate_of("keywords")
+    return edges.select(F.inline(ends), kind.alias("predicate"))
 
 
 def induced(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def limit_by_degree(nodes: DataFrame, edges: DataFrame, n: int,
     scored = nodes.join(degrees(edges), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     kept = scored.orderBy(F.desc("degree"), position).limit(n)
     names = kept.select("name")
-    return kept, induced(edges, F.broadcast(names) if n <= 100_000 else names)
+    return kept, induced(edges, names)
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def relation_info(edges: DataFrame, a: str, b: str) -> DataFrame:
 def points_of_event(nodes: DataFrame, edges: DataFrame, event: str | None = None) -> DataFrame:
     """(event, point) along INVOLVES_POINT, for one event or for all."""
     kinds = nodes.select("name", "entity_type")
-    links = both_ways(edges).where("predicate = 'INVOLVES_POINT'")
+    links = both_ways(of_predicate(edges, "INVOLVES_POINT"))
     if event is not None:
         links = links.where(F.col("node") == event)
     else:
@@ -149,7 +156,8 @@ def point_cards(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, neighbour
                        F.lit(0).alias("part"),
                        F.concat(F.lit("(Entity:Point) "), "name", F.lit(" — "),
                                 F.coalesce("description", F.lit(vocab.NO_DESCRIPTION))).alias("text"))
-    links = both_ways(edges).join(found.select(F.col("name").alias("node")), "node", "left_semi")
+    links = both_ways(of_predicate(edges, "INVOLVES_POINT", "ADJACENT_TO"))
+    links = links.join(found.select(F.col("name").alias("node")), "node", "left_semi")
     events = (links.where("predicate = 'INVOLVES_POINT'").select("node", "other").distinct()
               .join(nodes.where(F.col("entity_type") == vocab.EVENT_TYPE)
                     .select(F.col("name").alias("other"), "description"), "other")
@@ -187,7 +195,7 @@ def path(nodes: DataFrame, edges: DataFrame, steps: list[tuple[str, str]], types
 
     found = None
     for at, (predicate, direction) in enumerate(steps):
-        step = edges.where(predicate_of("keywords") == predicate)
+        step = of_predicate(edges, predicate)
         pairs = {"out": step.select("src", "tgt"),
                  "in": step.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")),
                  "any": both_ways(step).select(F.col("node").alias("src"), F.col("other").alias("tgt"))}[direction]

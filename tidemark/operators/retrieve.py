@@ -3,35 +3,88 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark import vocab
 from tidemark.functions.text import keywords
 from tidemark.operators.graph import source_id
 from tidemark.session import written
-from tidemark.tables import Ordered, first_per_key, split_hot_join, top_per_group
-
-VECTORS_PER_PART = 20_000
-QUERIES_PER_BLOCK = 256
+from tidemark.tables import Ordered, first_per_key, top_per_group
+
+#: questions that meet the whole table in one pass
+QUESTIONS_PER_PASS = 1024
+
+
+def _passes(queries: DataFrame, size: int):
+    """``queries`` (one row per query_id) in blocks of about ``size`` rows by a hash, as lists of rows. Each block is
+    bounded, so it may travel to every task; the table that is searched stays where it is."""
+    kept = written(queries, "questions")
+    blocks = max(1, -(-kept.count() // size))
+    for block in range(blocks):
+        yield kept.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _shared_words(asked: dict[str, list[int]], ids: list, k: int, min_score: int):
+    """The k best chunks of the task for each question, by distinct shared words and then by position."""
+    def run(batches):
+        best: dict[int, list] = {}
+        for batch in batches:
+            chunk, place, words = batch.columns
+            for row, found in enumerate(words.to_pylist()):
+                scores: dict[int, int] = {}
+                for word in found or ():
+                    for q in asked.get(word, ()):
+                        scores[q] = scores.get(q, 0) + 1
+                for q, score in scores.items():
+                    if score >= min_score:
+                        kept = best.setdefault(q, [])
+                        kept.append((-score, place[row].as_py(), chunk[row].as_py()))
+                        if len(kept) > 8 * k:
+                            best[q] = sorted(kept)[:k]
+        rows = [(ids[q], c, -s, p) for q, kept in best.items() for s, p, c in sorted(kept)[:k]]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        yield columns
+    return run
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, position: str = "position",
-                   min_score: int = 1) -> DataFrame:
+                   min_score: int = 1, per_pass: int = QUESTIONS_PER_PASS) -> DataFrame:
     """(query_id, chunk_id, score, rank): score = distinct shared words, ties in input order.
 
-    ``queries(query_id, text)`` and ``chunks(chunk_id, content, position)``. Words meet in an
-    equi-join; a word that very many chunks share is cut up over tasks."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(keywords("text"))).alias("word"))
-    words = chunks.select("chunk_id", position, F.explode(F.array_distinct(keywords("content"))).alias("word"))
-    # chunk words no question has cannot score; the rest is counted and then joined
-    words = written(words.join(asked.select("word").distinct(), "word", "left_semi"), "shared-words")
-    shared = split_hot_join(words, asked, ["word"], ["chunk_id"])
-    scores = (shared.groupBy("query_id", "chunk_id", position).agg(F.count("*").alias("score"))
-              .where(F.col("score") >= min_score))
-    return top_per_group(scores, ["query_id"], [F.desc("score"), F.col(position)], k).drop(position)
+    ``queries(query_id, text)``, one row per question, and ``chunks(chunk_id, content, position)``. Blocks of questions of
+    bounded size are looked up in the chunks where they lie; each task sends its k best per question."""
+    words = F.array_distinct(keywords("content"))
+    asked = queries.select("query_id", F.array_distinct(keywords("text")).alias("words"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.LongType()),
+                           T.StructField("_position", chunks.schema[position].dataType)])
+    kinds = to_arrow_schema(schema)
+
+    def found(rows):
+        index: dict[str, list[int]] = {}
+        for n, row in enumerate(rows):
+            for word in row.words or ():
+                index.setdefault(word, []).append(n)
+        search = _shared_words(index, [row.query_id for row in rows], k, min_score)
+
+        def run(batches):
+            for columns in search(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+        return chunks.select("chunk_id", position, words.alias("words")).mapInArrow(run, schema)
+
+    best = _union([found(rows) for rows in _passes(asked, per_pass)])
+    return top_per_group(best, ["query_id"], [F.desc("score"), F.col("_position")], k).drop("_position")
 
 
 def document_lines(hits: DataFrame, chunks: DataFrame, chars: int = 300) -> DataFrame:
@@ -42,50 +95,51 @@ def document_lines(hits: DataFrame, chunks: DataFrame, chars: int = 300) -> Data
             .select("query_id", "rank", "chunk_id", text.alias("line")))
 
 
-def _best_in_part(k: int):
-    """Exact top-k of one block of questions over one part of the vectors."""
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        if not len(vectors) or not len(queries):
-            return empty
-        items = np.vstack(vectors["vector"].to_numpy()).astype(np.float64)
-        asks = np.vstack(queries["vector"].to_numpy()).astype(np.float64)
-        lengths = np.linalg.norm(asks, axis=1)[:, None] * np.linalg.norm(items, axis=1)[None, :]
-        scores = np.divide(asks @ items.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
-        ids = vectors["item_id"].to_numpy()
-        found = []
-        for row, query in enumerate(queries["query_id"]):
-            mine = scores[row]
-            # everything that reaches the k-th best score, ties included
-            floor = np.partition(mine, -k)[-k] if len(mine) > k else -np.inf
-            at = np.flatnonzero(mine >= floor)
-            at = at[np.lexsort((ids[at], -mine[at]))][:k]
-            found.append(pd.DataFrame({"query_id": query, "item_id": ids[at], "score": mine[at]}))
-        return pd.concat(found)
+def _best_of_task(asks: np.ndarray, ids: list, k: int):
+    """Exact top-k per question over the vectors of one task."""
+    length = np.linalg.norm(asks, axis=1)
+
+    def run(batches):
+        best = [(np.zeros(0), np.zeros(0, dtype=object)) for _ in ids]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            items = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            lengths = length[:, None] * np.linalg.norm(items, axis=1)[None, :]
+            scores = np.divide(asks @ items.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+            for row, mine in enumerate(scores):
+                # everything that reaches the k-th best score, ties included
+                floor = np.partition(mine, -k)[-k] if len(mine) > k else -np.inf
+                at = np.flatnonzero(mine >= floor)
+                value, name = np.concatenate([best[row][0], mine[at]]), np.concatenate([best[row][1], names[at]])
+                order = sorted(range(len(value)), key=lambda i: (-value[i], name[i]))[:k]
+                best[row] = value[order], name[order]
+        yield [(ids[row], name, float(value)) for row, (values, found) in enumerate(best) for value, name in zip(values, found)]
     return run
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5,
-                  vectors_per_part: int = VECTORS_PER_PART) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, per_pass: int = QUESTIONS_PER_PASS) -> DataFrame:
     """(query_id, item_id, score, rank) by cosine similarity, ties by item id.
 
-    ``queries(query_id, vector)``, ``vectors(item_id, vector)``. Both sides are cut into blocks
-    of bounded size that meet pairwise in Arrow tasks, each giving its own top-k; a window
-    merges those. Nothing is broadcast and no block grows with the data."""
-    parts = max(1, -(-vectors.count() // vectors_per_part))
-    blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
-
-    def spread(name, count):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    items = vectors.select("item_id", "vector", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("part"),
-                           spread("block", blocks))
-    asks = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-                          spread("part", parts))
+    ``queries(query_id, vector)``, one row per question, ``vectors(item_id, vector)``. Blocks of questions of bounded size meet the
+    vectors where these lie; each task sends its k best per question and no vector moves."""
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
-                           T.StructField("item_id", vectors.schema["item_id"].dataType),
-                           T.StructField("score", T.DoubleType())])
-    best = (items.groupBy("part", "block").cogroup(asks.groupBy("part", "block"))
-            .applyInPandas(_best_in_part(k), schema))
+                           T.StructField("item_id", vectors.schema["item_id"].dataType), T.StructField("score", T.DoubleType())])
+    kinds = to_arrow_schema(schema)
+
+    def found(rows):
+        if not rows:
+            return vectors.select("item_id", "vector").where("false").mapInArrow(lambda batches: iter(()), schema)
+        search = _best_of_task(np.array([row.vector for row in rows], dtype=np.float64), [row.query_id for row in rows], k)
+
+        def run(batches):
+            for best in search(batches):
+                columns = list(zip(*best)) if best else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+        return vectors.select("item_id", "vector").mapInArrow(run, schema)
+
+    best = _union([found(rows) for rows in _passes(queries.select("query_id", "vector"), per_pass)])
     return top_per_group(best, ["query_id"], [F.desc("score"), F.col("item_id")], k)
 
 

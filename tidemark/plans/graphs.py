@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import build, graph as g, link, transitions as tr
 from tidemark.plans import inputs as i
 
 from tidemark.plans.inputs import CHANGES_SQL, DESCRIPTION_SQL, EVENT_NAME_SQL
-from tidemark.session import written
+from tidemark.session import scratch_dir, written
+from tidemark.sources.stores import export_graph
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,8 +34,14 @@ def gis_graph(spark, folder, detail="full"):
 
 
 def stored_graph(spark, folder):
-    """The change graph as its readers find it: built once and written."""
-    return tuple(written(part, "graph") for part in gis_graph(spark, folder))
+    """The change graph as its readers find it: nodes by entity type, edges by predicate. What both are made
+    of is written before, so that it is worked out once."""
+    years, membership, points = i.years(spark, folder), i.membership(spark, folder).distinct(), i.points(spark, folder)
+    points = written(points, "points")
+    events = written(tr.enrich_events(tr.transitions(years, membership), points), "events")
+    path = f"{scratch_dir(spark)}/graph-{uuid.uuid4().hex}"
+    export_graph(*build.build_gis_graph(years, i.membership(spark, folder), points, events), path)
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges"))
 
 
 HAVERSINE_SQL = """2 * 6371e0 * asin(sqrt(least(1e0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2)
@@ -128,7 +137,7 @@ def path_query(spark, folder):
 
 @query(GIS_SQL + " SELECT src, tgt, keywords, description, weight, source_id FROM gis_edges WHERE keywords LIKE 'ADJACENT_TO%'")
 def filter_by_type(spark, folder):
-    return g.filter_by_type(*stored_graph(spark, folder), "Point")[1]
+    return g.filter_by_type(*stored_graph(spark, folder), "Point")[1].drop("predicate")
 
 
 @query(GIS_SQL + """ SELECT min(a) AS a, max(b) AS b, count(*) AS n FROM (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM gis_edges) GROUP BY a, b""")
