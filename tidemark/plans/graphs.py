@@ -408,7 +408,12 @@ def link_infrastructure(spark, folder):
     return link.link_infrastructure(link_nodes(spark, folder), ("7",), ("用地:H1",)).select(*LINK_COLUMNS)
 
 
-@query(LINK_SQL + """ SELECT * FROM years_links UNION ALL SELECT * FROM district_links UNION ALL SELECT * FROM concept_links""")
+@query(LINK_SQL + """ SELECT * FROM years_links UNION ALL SELECT * FROM goal_links UNION ALL SELECT * FROM district_links
+  UNION ALL SELECT * FROM measure_links UNION ALL SELECT * FROM concept_links UNION ALL SELECT * FROM infra_links""")
 def link_graph(spark, folder):
-    # the fixed vocabulary of the other rules does not occur in these tables
-    return link.link_graph(written(link_nodes(spark, folder), "link-nodes")).select(*LINK_COLUMNS)
+    # by type, because every rule reads one or two of the eight
+    path = f"{scratch_dir(spark)}/link-nodes-{uuid.uuid4().hex}"
+    link_nodes(spark, folder).write.partitionBy("entity_type").parquet(path)
+    found = link.link_graph(spark.read.parquet(path), growth_words=("bolt", "gear"), measure_rules=RULES, transport_names=("7",),
+                            transport_points=("用地:H1",))
+    return found.select(*LINK_COLUMNS)

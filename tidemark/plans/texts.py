@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import scan, text as tx
+from tidemark.functions import scan, sql as sql_functions, text as tx
 from tidemark.operators import chunking as ch, extract as ex
 from tidemark.plans import inputs as i
 from tidemark.session import written
@@ -409,3 +409,12 @@ def import_extract(spark, folder):
     reply = F.when(F.size(_names("content")) == 0, F.lit("nothing")).otherwise(reply)
     responses = chunks.where("id % 2 = 0").select(F.col("id").alias("chunk_id"), reply.alias("response"))
     return ex.import_extract(chunks, responses, RULES)[0].select("chunk_id", "name", "entity_type")
+
+
+@query("""SELECT doc_id, substr(md5(text), 1, 12) AS hash, source || '_1_0_' || substr(md5(text), 1, 8) AS id,
+  CAST(length(lower(regexp_replace(text, '[ \n]+', '', 'g'))) AS INT) AS letters, split_part(source || ', x', ',', 1) AS predicate FROM documents""")
+def sql_names(spark, folder):
+    """The scalar functions under their SQL names."""
+    sql_functions.register(spark)
+    return spark.sql("""SELECT doc_id, question_hash(text) AS hash, chunk_id(source, 1, 0, text) AS id, length(normalize_question(text)) AS letters,
+      predicate_of(concat(source, ', x')) AS predicate FROM {docs}""", docs=i.table(spark, folder, "documents"))
