@@ -257,7 +257,7 @@ class Encoder:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         parts = [self.split.pretokens(c) for c in chunks]
         self.words.learn(parts)
-        get = self.words.__getitem__
+        get = self.words.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
     def encode(self, texts: list[str | None]):
@@ -265,7 +265,7 @@ class Encoder:
         for at in range(0, len(texts), TOGETHER):
             split = [self.split.chunks(t or "") for t in texts[at:at + TOGETHER]]
             self.chunks.learn(split)
-            get = self.chunks.__getitem__
+            get = self.chunks.known.__getitem__
             for chunks in split:
                 yield b"".join(map(get, chunks))
 

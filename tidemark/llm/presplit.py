@@ -28,7 +28,7 @@ class Splitter:
         self.own = tokenizer.pre_tokenizer
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self._any = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known = Remembered(lambda chunks: [self.pretokens(c) for c in chunks], limit)
+        self.pieces = Remembered(lambda chunks: [self.pretokens(c) for c in chunks], limit)
 
     def pretokens(self, chunk: str) -> tuple[str, ...]:
         if chunk in self.special:

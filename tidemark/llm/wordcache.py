@@ -1,27 +1,26 @@
-"""Token ids of whole texts from the ids of their pieces, each piece encoded once per worker while it is remembered."""
+"""Values of repeating pieces of text, made once per worker while they are remembered."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import chain
 
-LIMIT = 300_000
 
+class Remembered:
+    """``known``: piece -> value of ``make``. When it would hold more than ``limit`` pieces it forgets them all, which costs
+    time only."""
 
-class Remembered(dict):
-    """piece -> value of ``make``; it forgets everything when it holds ``limit`` pieces, which costs time only."""
-
-    def __init__(self, make: Callable[[list], list], limit: int = LIMIT):
-        super().__init__()
+    def __init__(self, make: Callable[[list], list], limit: int = 300_000):
+        self.known: dict = {}
         self.make, self.limit = make, limit
 
-    def learn(self, lists: list[list]) -> None:
-        """Add all pieces of ``lists`` that are missing, in one call; if they don't fit, begin anew with them."""
+    def learn(self, lists: Iterable[Iterable]) -> None:
+        """Add all pieces of ``lists`` that are missing, in one call."""
         seen = set(chain.from_iterable(lists))
-        new = seen.difference(self)
-        if len(self) + len(new) > self.limit:
-            self.clear()
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
             new = seen
         if new:
             new = list(new)
-            self.update(zip(new, self.make(new)))
+            self.known.update(zip(new, self.make(new)))
