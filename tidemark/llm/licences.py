@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 # The wording of common licence notices, by family.
 TEMPLATES = {
     "MIT": (
@@ -244,7 +246,8 @@ def _classified(rows: DataFrame, model: Model, spark, least_chance: float, least
     anchored = F.lower("text").rlike(model.anchor_pattern())
     lines = (rows.where(anchored).select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
              .where(anchored))
-    lines = lines.withColumn("grams", gram_column(F.col("text")))
+    # read twice below, so that whole texts are searched once
+    lines = written(lines, "licence-lines").withColumn("grams", gram_column(F.col("text")))
     weights = F.broadcast(_values(spark, [f"('{g}', {_numbers(v)})" for g, v in model.weights.items()], "gram, w"))
     places = range(len(FAMILIES) + 1)
     met = lines.select("row", "doc_id", "paragraph", F.explode("grams").alias("gram")).join(weights, "gram")
