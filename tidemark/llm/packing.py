@@ -265,7 +265,7 @@ def pack(items: DataFrame, length_col: str = "length", size: int = SIZE, group:
     schema = T.StructType([items.schema["item"], *T.StructType.fromDDL("n int, bin string, offset int, open boolean").fields])
 
     def packed(level: int, last: bool):
-        def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["n", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
             lengths = frame["n"].to_numpy()
             bins = pack_group(lengths, size)
