@@ -276,3 +276,19 @@ def session_files(spark, folder):
             .unionByName(subs.select("session_id", "task_id", F.col("agent").alias("kind"), "status", md5("answer"), none))
             .unionByName(calls.select("session_id", "task_id", F.lit("call").alias("kind"), F.col("call_no").cast("string").alias("status"), md5("output"), none))
             .unionByName(evidence.select("session_id", "task_id", F.lit("evidence").alias("kind"), F.col("id").alias("status"), md5("text"), none)))
+
+
+@query(graphs.TRADE_SQL + """, names AS (SELECT p_name, min(p_partkey) AS part FROM part GROUP BY p_name),
+  mentions AS (SELECT p_name AS src, n_name AS tgt, 'MENTIONS, place' AS keywords, p_name || ' names ' || n_name AS description, 1e0 AS weight, 'parts' AS source_id
+    FROM names JOIN nation ON part % 25 = n_nationkey),
+  renewed AS (SELECT src, tgt, keywords, 'renewed' AS description, weight, 'parts' AS source_id FROM edges WHERE keywords LIKE 'PART_OF%')
+  SELECT * FROM edges WHERE keywords NOT LIKE 'PART_OF%' UNION ALL SELECT * FROM renewed UNION ALL SELECT * FROM mentions""")
+def rebuild_edges(spark, folder):
+    """The edges of a rebuilt graph: those of the documents come last and win over equal ones."""
+    nodes, edges = graphs.trade_graph(spark, folder)
+    names = i.table(spark, folder, "part").groupBy(F.col("p_name").alias("src")).agg(F.min("p_partkey").alias("part"))
+    mentions = names.join(i.table(spark, folder, "nation"), F.col("part") % 25 == F.col("n_nationkey")).select(
+        "src", F.col("n_name").alias("tgt"), F.lit("MENTIONS, place").alias("keywords"), F.concat("src", F.lit(" names "), "n_name").alias("description"),
+        F.lit(1.0).alias("weight"), F.lit("parts").alias("source_id"))
+    renewed = edges.where("keywords LIKE 'PART_OF%'").withColumn("description", F.lit("renewed")).withColumn("source_id", F.lit("parts"))
+    return g.rebuild((nodes, edges), (nodes.limit(0), mentions.unionByName(renewed.select(*mentions.columns))))[1]
