@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -144,3 +145,22 @@ def test_odd_pages(spark, model):
     assert len(found) == len(odd) and all(r.n_chars == len(r.text) for r in found)
     assert max(r.n_chars for r in found) == 20_000 * len("some words here, yes.") + 19_999
     assert html_crf.extract(pages.where("false"), html_crf.fit(pages.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("size", [900, 1_100, 10_000, 1_000_000])
+def test_tags_of_any_length(size):
+    code = "QUJD" * (size // 4)
+    page = (f'<!doctype html SYSTEM "{code}"><body><section class="comments" data-props=\'{{"html": "<p>{code}</p>"}}\'><p style="{code}">Said</p></section>'
+            f'<p title=it\'s>One <img src="data:image/png;base64,{code}"> two</p><script data-c="{code}">var code = 1;</script>'
+            f'<div {"a " * (size // 2)}id="x">Three</div><x-{code}>Four</x-{code}></body>')
+    blocks = html_crf.leaf_blocks(page)
+    assert [b.text for b in blocks] == ["Said", "One two", "Three", "Four"]
+    assert blocks[0].path[1] == ("section", "comments") and blocks[2].path[-1] == ("div", "x")
+
+
+def test_quotes_without_an_end():
+    assert [b.text for b in html_crf.leaf_blocks('<p>One</p><p class="x>Two</p><div>Three</div><')] == ["One", "Two", "Three", "<"]
+    start = time.perf_counter()
+    for page in ('<a x= "<b>" ' * 20_000 + '"', "<!" * 200_000, "<a" * 200_000, '<a b="' * 100_000, "<p " + "x" * 400_000 + ">y"):
+        html_crf.leaf_blocks(page)
+    assert time.perf_counter() - start < 10

@@ -41,8 +41,11 @@ WALLS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table
 #: innermost ancestors that a block keeps
 DEPTH = 64
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]{0,1000}>|<(/?)([a-zA-Z][^\s/>]{0,60})((?:[^>"']|"[^"]{0,1000}"|'[^']{0,1000}'){0,1000})>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_OPENING = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+#: a tag of any length; only a quote after an equals sign opens a value, and its closing quote ends it
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=>/"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
 _WORDS = re.compile(r"[a-z]+")
 
 #: class and id words by what they say; part of a word is enough from four letters on
@@ -73,6 +76,43 @@ class Block:
     linked: int                        # characters inside links
 
 
+def _named(attributes: str) -> str:
+    """The values of class, id and role."""
+    return " ".join(a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")).lower()
+
+
+class _Tags:
+    """The comments, declarations and tags of a page, asked for in order.
+
+    A tag whose quotes don't close before the page ends reaches up to the next angle bracket, and so do those after it,
+    so no part of a page is searched again and again."""
+
+    def __init__(self, source: str):
+        self.source, self.pattern, self.ends = source, _TAG, True
+
+    def after(self, at: int) -> tuple[int, int, re.Match | None] | None:
+        """Start and end of the first from ``at`` on, with the match if it is a tag."""
+        source = self.source
+        while m := _OPENING.search(source, at):
+            start, at = m.span()
+            if m[0] == "<!--":
+                end = source.find("-->", at)
+                return start, end + 3 if end >= 0 else len(source), None
+            if self.ends and m[0] in ("<!", "<?"):
+                end = source.find(">", at)
+                if end >= 0:
+                    return start, end + 1, None
+            elif self.ends:
+                tag = self.pattern.match(source, start)
+                if not tag:
+                    self.pattern = _PLAIN_TAG
+                    tag = self.pattern.match(source, start)
+                if tag:
+                    return start, tag.end(), tag
+            self.ends = False  # no bracket is left
+        return None
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order, by a tolerant walk over its tags."""
     blocks: list[Block] = []
@@ -91,20 +131,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at = 0
+    at, tags = 0, _Tags(source)
     while at < len(source):
-        m = _TOKEN.search(source, at)
-        piece = source[at:m.start()] if m else source[at:]
+        found = tags.after(at)
+        piece = source[at:found[0]] if found else source[at:]
         if piece:
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        _, at, m = found
+        if not m:
             continue
+        tag = m[2].lower()
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
@@ -131,9 +171,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
         elif tag == "br":
             parts.append(" ")
-        if tag not in VOID_TAGS and not (m[3] or "").endswith("/"):
+        if tag not in VOID_TAGS and not m[3].endswith("/"):
             if tag != "a":
-                words = " ".join(next(filter(None, a), "") for a in _ATTRIBUTE.findall(m[3] or "")).lower()
+                words = _named(m[3])
             else:
                 words, links = "", links + 1
             stack.append((tag, words))
