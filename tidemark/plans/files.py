@@ -10,8 +10,9 @@ from tidemark.functions.text import duration_years
 from tidemark.operators import chunking as ch, extract as ex, graph as g, traces as tc, transitions as tr
 from tidemark.plans import graphs, inputs as i, logs, texts
 from tidemark.plans.inputs import CHANGES_SQL
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, written
 from tidemark.sources import files, stores
+from tidemark.tables import Ordered
 
 QUERIES, ORACLES = {}, {}
 
@@ -127,7 +128,26 @@ def rebuild_graph(spark, folder):
     return g.rebuild(base, (documents, base[1].where("false")))[0].select("name", "entity_type")
 
 
-# -- the input formats: one document per nation (or conversation, or text), written and read back ----------------------
+# -- the input formats: documents of bounded size per nation (or one per conversation or text), written and read back ----
+
+#: points of a nation, or goals and measures of a policy, that one document holds at most
+ITEMS = 1_000
+#: folders that the texts are hashed to
+FOLDERS = 128
+
+
+def _dealt(df, key, item):
+    """``df`` with ``part``: at most ``ITEMS`` rows of a key have the same."""
+    numbered = Ordered(df, [key], [item]).row_number("_n").result()
+    return numbered.withColumn("part", F.floor((F.col("_n") - 1) / ITEMS).cast("int")).drop("_n")
+
+
+def _parts(df, name):
+    """Each row of ``df`` (nation, part, …) as a JSON file of its own, in a folder per nation."""
+    path = _folder(df.sparkSession, name)
+    df.repartition("nation", "part").drop("part").write.option("maxRecordsPerFile", 1).partitionBy("nation").json(path)
+    return path
+
 
 def _documents(df, name, key):
     """Each row of ``df`` as a JSON file of its own."""
@@ -154,31 +174,35 @@ def _geometry(year, kind):
 
 
 def _year_points(spark, folder):
-    customers = i.table(spark, folder, "customer").select(F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("point_id"), F.col("c_nationkey").alias("nation"))
-    years = (i.membership(spark, folder).distinct().join(customers, "point_id").groupBy("nation", F.col("year").cast("string").alias("year"))
-             .agg(F.collect_list("point_id").alias("ids")).groupBy("nation").agg(F.map_from_entries(F.collect_list(F.struct("year", "ids"))).alias("year_points")))
     fields = [c.split()[0] for c in files.POINT_FIELDS.split(", ")]
-    info = _city(spark, folder).groupBy("nation").agg(F.map_from_entries(F.collect_list(F.struct("point_id", F.struct(*fields)))).alias("point_info"))
-    return _documents(years.join(info, "nation"), "year-points", "nation")
+    city = written(_dealt(_city(spark, folder), "nation", "point_id"), "city")
+    years = (i.membership(spark, folder).distinct().join(city.select("point_id", "nation", "part"), "point_id")
+             .groupBy("nation", "part", F.col("year").cast("string").alias("year")).agg(F.collect_list("point_id").alias("ids"))
+             .groupBy("nation", "part").agg(F.map_from_entries(F.collect_list(F.struct("year", "ids"))).alias("year_points")))
+    info = city.groupBy("nation", "part").agg(F.map_from_entries(F.collect_list(F.struct("point_id", F.struct(*fields)))).alias("point_info"))
+    return _parts(years.join(info, ["nation", "part"]), "year-points")
 
 
 def _feature_collections(spark, folder):
-    features = _city(spark, folder).groupBy("nation").agg(F.collect_list(F.struct(
+    features = _dealt(_city(spark, folder), "nation", "point_id").groupBy("nation", "part").agg(F.collect_list(F.struct(
         F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
         F.struct("id", "name", F.col("point_type").alias("type")).alias("properties"))).alias("features"))
     years = i.years(spark, folder).groupBy().agg(F.array_sort(F.collect_list("year")).alias("years"))
     shapes = F.map_from_entries(F.transform("years", lambda y: F.struct(y.cast("string"), _geometry(y, "Polygon"))))
-    # the distinct years are one row
-    return _documents(features.join(years, F.lit(True)).withColumn("type", F.lit("FeatureCollection")).withColumn("year_boundaries", shapes), "features", "nation")
+    # the distinct years are one row; a nation's first document has them
+    docs = features.join(years, F.lit(True)).withColumn("years", F.when(F.col("part") == 0, F.col("years")).otherwise(F.slice("years", 1, 0)))
+    return _parts(docs.withColumn("type", F.lit("FeatureCollection")).withColumn("year_boundaries", shapes), "features")
 
 
 def _separated(spark, folder):
-    points = _city(spark, folder).groupBy("nation").agg(F.collect_list(F.struct("id", "name", "lon", "lat", F.col("point_type").alias("type"))).alias("points"))
+    points = (_dealt(_city(spark, folder), "nation", "point_id").groupBy("nation", "part")
+              .agg(F.collect_list(F.struct("id", "name", "lon", "lat", F.col("point_type").alias("type"))).alias("points")))
     years = i.years(spark, folder).groupBy().agg(F.array_sort(F.collect_list("year")).alias("years"))
     # an older boundary of the same year comes first and doesn't count
     newer = F.transform("years", lambda y: F.struct(y.alias("year"), _geometry(y, "MultiPolygon").alias("geometry")))
     older = F.transform("years", lambda y: F.struct(y.alias("year"), _geometry(F.lit(1994), "MultiPolygon").alias("geometry")))
-    return _documents(points.join(years, F.lit(True)).withColumn("boundaries", F.concat(older, newer)).drop("years"), "separated", "nation")
+    docs = points.join(years, F.lit(True)).withColumn("years", F.when(F.col("part") == 0, F.col("years")).otherwise(F.slice("years", 1, 0)))
+    return _parts(docs.withColumn("boundaries", F.concat(older, newer)).drop("years"), "separated")
 
 
 INSIDE_SQL = "SELECT DISTINCT y.year, p.point_id FROM years y JOIN points p ON p.lon < -180e0 + (y.year - 1994) * 10013e-4"
@@ -224,18 +248,20 @@ def membership_files(spark, folder):
   UNION ALL SELECT CASE kind WHEN 0 THEN 'goal' ELSE 'measure' END, n_name, name FROM parts JOIN nation ON nation = n_nationkey WHERE kind < 2""")
 def policy_files(spark, folder):
     part, nation = i.table(spark, folder, "part"), i.table(spark, folder, "nation")
-    rows = part.select((F.col("p_partkey") % 25).cast("int").alias("n_nationkey"), (F.col("p_partkey") % 3).alias("kind"), F.struct(
+    rows = part.select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("n_nationkey"), (F.col("p_partkey") % 3).alias("kind"), F.struct(
         F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("id"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_name")).alias("description")).alias("item"))
-    lists = rows.groupBy("n_nationkey").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("item"))).alias("goals"),
-                                            F.collect_list(F.when(F.col("kind") == 1, F.col("item"))).alias("measures"))
-    docs = nation.join(lists, "n_nationkey", "left").select("n_regionkey", F.struct(
+    lists = (_dealt(rows.where("kind < 2"), "n_nationkey", "p_partkey").groupBy("n_nationkey", "part")
+             .agg(F.collect_list(F.when(F.col("kind") == 0, F.col("item"))).alias("goals"), F.collect_list(F.when(F.col("kind") == 1, F.col("item"))).alias("measures")))
+    docs = nation.join(lists, "n_nationkey", "left").select("n_regionkey", F.coalesce("part", F.lit(0)).alias("part"), F.floor(F.col("n_nationkey") / 10).alias("ten"), F.struct(
         F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string"))).alias("abstract"),
         "goals", "measures").alias("doc"))
     path = _folder(spark, "policies")
-    # one array of policies per file
-    arrays = docs.groupBy("n_regionkey").agg(F.to_json(F.collect_list("doc")).alias("value"))
-    arrays.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
-    policies, goals, measures = files.read_policies(spark, path)
+    # one array of at most ten policies per file; what goes on in later parts of a policy is no policy of its own
+    arrays = docs.groupBy("n_regionkey", "part", "ten").agg(F.to_json(F.collect_list("doc")).alias("value")).withColumn("first", F.col("part") == 0)
+    (arrays.repartition("n_regionkey", "part", "ten").select("value", "first", "n_regionkey")
+     .write.option("maxRecordsPerFile", 1).partitionBy("first", "n_regionkey").text(path))
+    policies = files.read_policies(spark, f"{path}/first=true")[0]
+    _, goals, measures = files.read_policies(spark, path)
     return (policies.select(F.lit("policy").alias("kind"), "title", F.col("abstract").alias("description"))
             .unionByName(goals.select(F.lit("goal").alias("kind"), "title", "description"))
             .unionByName(measures.select(F.lit("measure").alias("kind"), "title", "description")))
@@ -245,8 +271,10 @@ def policy_files(spark, folder):
 def text_files(spark, folder):
     docs = i.table(spark, folder, "documents").select("doc_id", "text")
     path = _folder(spark, "texts")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
-    rows = files.read_documents(spark, path)
+    hashed = docs.withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)))
+    hashed.repartition("doc_id").write.partitionBy("folder", "doc_id").text(path)
+    # with so many folders it's the executors that list them
+    rows = files.read_documents(spark, f"{path}/folder=*")
     return rows.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), F.md5(F.encode(F.regexp_replace("text", r"\n+\z", ""), "UTF-8")).alias("text"))
 
 
