@@ -142,3 +142,43 @@ def split_hot_join(many: DataFrame, few: DataFrame, on: list[str], salt_by: list
     right = (few.join(crowded, on, "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_splits"))
     return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def heavy_keys(df: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> DataFrame:
+    """(keys, n) of the keys with more than 1/``shares`` of the rows of ``df``, and more than ``least`` rows.
+
+    At most ``shares`` keys can have that many, whatever the table's size, so the result may be broadcast. Counted
+    map-side; null keys, which join nothing, are left out. ``df`` is read twice: pass a written table."""
+    bound = max(df.count() // shares, least)
+    sizes = df.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("n"))
+    return written(sizes.where(F.col("n") > bound).withColumn("bound", F.lit(bound)), "heavy-keys")
+
+
+def heavy_join(many: DataFrame, few: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """Inner equi-join with ``few``, which has at most one row per key: rows of the ``heavy`` keys of ``many`` stay in
+    their map tasks and meet the few rows of these keys there, the others are shuffled."""
+    keys = F.broadcast(heavy.select(*on))
+    bright = F.broadcast(few.join(keys, on, "left_semi"))
+    return many.join(bright, on).unionByName(many.join(keys, on, "left_anti").join(few.join(keys, on, "left_anti"), on))
+
+
+def matrix_join(left: DataFrame, right: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> DataFrame:
+    """Inner equi-join for keys that are crowded on both sides.
+
+    A key with more than 1/``shares`` of the rows of a side is cut there into parts of at most that size (by a hash of
+    the rows), and the product of the parts of both sides is dealt out cell by cell: a left row goes to the cells of its
+    row, a right row to those of its column. Other keys have one cell. At most ``shares`` keys per side are cut, so what
+    is broadcast is bounded. Both tables are read three times: pass written tables."""
+    cuts = []
+    for df, name in ((left, "_rows"), (right, "_cols")):
+        heavy = heavy_keys(df, on, shares, least)
+        cuts.append(heavy.select(*on, F.ceil(F.col("n") / F.col("bound")).cast("int").alias(name)))
+    grid = F.broadcast(written(cuts[0].join(cuts[1], on, "full"), "join-grid"))
+
+    def placed(df: DataFrame, own: str, own_cut: str, other: str, other_cut: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*df.columns), F.coalesce(own_cut, F.lit(1))).cast("int")
+        return (df.join(grid, on, "left").withColumn(own, part)
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_cut, F.lit(1)) - 1))).drop("_rows", "_cols"))
+
+    at = placed(left, "_r", "_rows", "_c", "_cols")
+    return at.join(placed(right, "_c", "_cols", "_r", "_rows"), [*on, "_r", "_c"]).drop("_r", "_c")
