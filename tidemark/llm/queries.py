@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, html_crf, licences, packing, pii, quality, simhash, tokens, toxicity, voronoi
+from tidemark.llm import (bpe, html_crf, licences, line_index, packing, pii, quality, simhash, strata, tokens, toxicity, turn_trie,
+                          voronoi)
 from tidemark.llm.common import table
 
 
@@ -66,6 +67,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_index.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.forked_trie(table(spark, sf_dir, "conversations"))
+
+
 #: the k best exact integer products of every query, by plain SQL
 OP2_SQL = """
 WITH v AS (
@@ -81,6 +94,82 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: first holders of line keys, by plain grouping
+OP11_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key),
+d AS (SELECT k.*, coalesce(f.first_doc < k.doc_id, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+#: scores of all documents that share a term with an item
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), w AS (
+  SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM q JOIN df USING (term) CROSS JOIN s
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM w JOIN tf USING (term) JOIN n USING (doc_id) CROSS JOIN s GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: nodes as lists of turns; crc32 bit by bit
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS origin,
+         CAST(xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda crc, d: list_reduce(
+             list_concat([xor(crc, d)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+             lambda v, z: xor(v // 2, (v % 2) * 3988292384))), 4294967295) % 6 AS BIGINT) AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS side, o.pos, o.role, o.text FROM c JOIN own o ON o.conv_id = c.origin AND o.pos < c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, pos) AS depth, role, text FROM rebuilt
+), paths AS (
+  SELECT conv_id, depth, length(text) AS chars,
+         list(md5(md5(role) || md5(text))) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, CAST([] AS VARCHAR[]) FROM c
+), ends AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, p.depth AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (e.depth = p.depth), '')) AS ends_sha256
+  FROM paths p JOIN ends e USING (conv_id) GROUP BY path, p.depth
+), kids AS (SELECT path[:-2] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+sums AS (
+  SELECT p.path, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM full_nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.path
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s USING (path) LEFT JOIN nodes u ON n.depth > 0 AND u.path = n.path[:-2]
+"""
+
 QUERIES = {
     "op1_html_crf": op1_html_crf,
     "op2_voronoi_knn": op2_voronoi_knn,
@@ -92,8 +181,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_licences": op10_licences,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op2_voronoi_knn": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_voronoi_knn": OP2_SQL, "op11_line_dedup": OP11_SQL, "op12_ranked_search": OP12_SQL,
+                           "op13_prefix_trie": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
