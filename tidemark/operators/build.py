@@ -81,30 +81,46 @@ def adjacency_edges(membership: DataFrame, points: DataFrame, km: float = 5.0,
     return _edges(pairs.select(F.inline(both), text.alias("description")), vocab.KEYWORDS_ADJACENT, source)
 
 
-def event_edges(events: DataFrame) -> DataFrame:
-    """ON_BOUNDARY per event group and INVOLVES_POINT per event."""
-    group = event_name(F.col("year_after"), F.col("event_type"))
+def boundary_edges(events: DataFrame) -> DataFrame:
+    """ON_BOUNDARY per event group."""
     boundary = events.select("year_after", "event_type").distinct().select(
-        group.alias("src"), boundary_name(F.col("year_after")).alias("tgt"),
+        event_name(F.col("year_after"), F.col("event_type")).alias("src"), boundary_name(F.col("year_after")).alias("tgt"),
         F.format_string("该事件发生在%d年城市边界上", "year_after").alias("description"))
-    members = events.select(group.alias("src"), F.col("point_name").alias("tgt"),
+    return _edges(boundary, vocab.KEYWORDS_ON_BOUNDARY, "stte_events")
+
+
+def member_edges(events: DataFrame) -> DataFrame:
+    """INVOLVES_POINT per event."""
+    members = events.select(event_name(F.col("year_after"), F.col("event_type")).alias("src"), F.col("point_name").alias("tgt"),
                             F.concat(F.lit("事件涉及点'"), "point_name", F.lit("'")).alias("description"))
-    return (_edges(boundary, vocab.KEYWORDS_ON_BOUNDARY, "stte_events")
-            .unionByName(_edges(members, vocab.KEYWORDS_INVOLVES, "stte_events")))
+    return _edges(members, vocab.KEYWORDS_INVOLVES, "stte_events")
+
+
+def gis_edges(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame, km: float = 5.0,
+              source: str = "gis_data", predicates: tuple[str, ...] | None = None) -> DataFrame:
+    """The edges of the change graph, or only those of some predicates: what the others need isn't worked out."""
+    kinds = {
+        "ADJACENT_TO": lambda: adjacency_edges(membership, points, km, source),
+        "TRANSITION_FROM": lambda: transition_edges(years).select(*EDGE_COLUMNS[:4], F.lit(1.0).alias("weight"), F.lit(source).alias("source_id")),
+        "ON_BOUNDARY": lambda: boundary_edges(events),
+        "INVOLVES_POINT": lambda: member_edges(events),
+    }
+    edges = None
+    for kind in kinds if predicates is None else predicates:
+        part = kinds[kind]()
+        edges = part if edges is None else edges.unionByName(part)
+    return edges
 
 
-def build_gis_graph(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame,
-                    km: float = 5.0, detail: str = "full") -> tuple[DataFrame, DataFrame]:
-    """The change graph: Point, Boundary and event nodes with their four kinds of edges.
+def build_gis_graph(years: DataFrame, membership: DataFrame, points: DataFrame, events: DataFrame, km: float = 5.0,
+                    detail: str = "full", predicates: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The change graph: Point, Boundary and event nodes with their four kinds of edges, or with some kinds only.
     ``events`` are enriched events; ``detail="brief"`` gives short descriptions."""
     source = "year_points_data" if detail == "brief" else "gis_data"
     nodes = (point_nodes(membership, points, detail, source)
              .unionByName(boundary_nodes(years, membership, detail, source))
              .unionByName(event_nodes(events)))
-    chain = transition_edges(years).select("src", "tgt", "keywords", "description",
-                                           F.lit(1.0).alias("weight"), F.lit(source).alias("source_id"))
-    edges = (adjacency_edges(membership, points, km, source).unionByName(chain).unionByName(event_edges(events)))
-    return nodes, edges
+    return nodes, gis_edges(years, membership, points, events, km, source, predicates)
 
 
 def build_policy_graph(policies: DataFrame, goals: DataFrame, measures: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions.text import predicate_of
-from tidemark.tables import Ordered, first_per_key, in_batches
+from tidemark.session import written
+from tidemark.tables import Ordered, first_per_key, in_batches, matrix_join, semi_join
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -130,10 +131,9 @@ def points_of_event(nodes: DataFrame, edges: DataFrame, event: str | None = None
         links = links.where(F.col("node") == event)
     else:
         events = kinds.where(F.col("entity_type") == vocab.EVENT_TYPE).select(F.col("name").alias("node"))
-        links = links.join(events, "node", "left_semi")
+        links = semi_join(links, events, ["node"])
     points = kinds.where("entity_type = 'Point'").select(F.col("name").alias("other"))
-    return (links.join(points, "other", "left_semi")
-            .select(F.col("node").alias("event"), F.col("other").alias("point")))
+    return semi_join(links, points, ["other"]).select(F.col("node").alias("event"), F.col("other").alias("point"))
 
 
 def point_cards(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, neighbours_per_line: int = 1000) -> DataFrame:
@@ -183,25 +183,42 @@ def point_detail(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 
 def path(nodes: DataFrame, edges: DataFrame, steps: list[tuple[str, str]], types: list[str] | None = None) -> DataFrame:
-    """Chains n0..nk along ``steps`` of (predicate, 'out' | 'in' | 'any'); ``types`` may
-    fix the entity type at every position."""
+    """Distinct chains n0..nk along ``steps`` of (predicate, 'out' | 'in' | 'any'); ``types`` may
+    fix the entity type at every position.
+
+    The steps are reduced before they are joined: forward to the edges that a chain from the start reaches, then backward to
+    those that go on to the end. Only edges of whole chains are left; they alone are made distinct and meet in joins, which
+    spread the edges of a hub over tasks."""
     kinds = nodes.select("name", "entity_type")
 
-    def typed(df, column, at):
+    def typed(at: int) -> DataFrame | None:
         if types is None or types[at] is None:
-            return df
-        ok = kinds.where(F.col("entity_type") == types[at]).select(F.col("name").alias(column))
-        return df.join(ok, column, "left_semi")
+            return None
+        return kinds.where(F.col("entity_type") == types[at]).select(F.col("name").alias(f"n{at}"))
+
+    def reduced(pairs: DataFrame, at: int, *names: DataFrame | None) -> DataFrame:
+        for keys in names:
+            pairs = pairs if keys is None else semi_join(pairs, keys, [f"n{at}"])
+        return pairs
 
-    found = None
+    chain = []
     for at, (predicate, direction) in enumerate(steps):
         step = of_predicate(edges, predicate)
         pairs = {"out": step.select("src", "tgt"),
                  "in": step.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")),
                  "any": both_ways(step).select(F.col("node").alias("src"), F.col("other").alias("tgt"))}[direction]
-        pairs = pairs.select(F.col("src").alias(f"n{at}"), F.col("tgt").alias(f"n{at + 1}")).distinct()
-        pairs = typed(pairs, f"n{at + 1}", at + 1)
-        found = typed(pairs, "n0", 0) if found is None else found.join(pairs, f"n{at}")
+        pairs = pairs.select(F.col("src").alias(f"n{at}"), F.col("tgt").alias(f"n{at + 1}"))
+        reached = chain[-1].select(f"n{at}") if chain else typed(0)
+        pairs = reduced(reduced(pairs, at, reached), at + 1, typed(at + 1))
+        # of an untyped first step nothing is known yet: it waits for the way back
+        chain.append(written(pairs.distinct(), "chain-step") if at or types else pairs)
+    if len(chain) == 1:
+        return chain[0].distinct()
+    for at in range(len(chain) - 2, -1, -1):
+        chain[at] = written(reduced(chain[at], at + 1, chain[at + 1].select(f"n{at + 1}")).distinct(), "chain-step")
+    found = chain[0]
+    for at, pairs in enumerate(chain[1:], 1):
+        found = matrix_join(found if at == 1 else written(found, "chains"), pairs, [f"n{at}"])
     return found.select(*[f"n{i}" for i in range(len(steps) + 1)])
 
 
@@ -222,9 +239,9 @@ def import_source_id(source: Column, page: Column, index: Column) -> Column:
 
 
 def chunks_of(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Entity or edge rows with the chunks they came from."""
+    """Entity or edge rows with the chunks they came from. A place with very many rows and chunks is joined in parts of both."""
     keyed = chunks.withColumn("source_id", source_id(F.col("source"), F.col("page")))
-    return rows.join(keyed.select("source_id", F.col("id").alias("chunk_id"), "content"), "source_id")
+    return matrix_join(rows, keyed.select("source_id", F.col("id").alias("chunk_id"), "content"), ["source_id"])
 
 
 def merge_nodes(base: DataFrame, new: DataFrame, on_conflict: str = "last",

@@ -33,14 +33,14 @@ def gis_graph(spark, folder, detail="full"):
     return build.build_gis_graph(years, membership, points, events, 5.0, detail)
 
 
-def stored_graph(spark, folder):
-    """The change graph as its readers find it: nodes by entity type, edges by predicate. What both are made
-    of is written before, so that it is worked out once."""
+def stored_graph(spark, folder, *predicates):
+    """The change graph as its readers find it: nodes by entity type, edges by predicate, of all or of some predicates. What
+    both are made of is written before, so that it is worked out once."""
     years, membership, points = i.years(spark, folder), i.membership(spark, folder).distinct(), i.points(spark, folder)
     points = written(points, "points")
     events = written(tr.enrich_events(tr.transitions(years, membership), points), "events")
     path = f"{scratch_dir(spark)}/graph-{uuid.uuid4().hex}"
-    export_graph(*build.build_gis_graph(years, i.membership(spark, folder), points, events), path)
+    export_graph(*build.build_gis_graph(years, i.membership(spark, folder), points, events, predicates=predicates or None), path)
     return tuple(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges"))
 
 
@@ -96,7 +96,7 @@ def gis_nodes_brief(spark, folder):
 
 @query(GIS_SQL + f" SELECT {EVENT_NAME_SQL} AS event, point_name AS point FROM events_full")
 def points_of_event(spark, folder):
-    return g.points_of_event(*stored_graph(spark, folder))
+    return g.points_of_event(*stored_graph(spark, folder, "INVOLVES_POINT"))
 
 
 CARDS_SQL = GIS_SQL + f""", own AS (SELECT name AS point, 0 AS kind, '' AS key, '(Entity:Point) ' || name || ' — ' || description AS text FROM gis_nodes WHERE entity_type = 'Point'),
@@ -127,12 +127,12 @@ def point_detail_missing(spark, folder):
 
 @query(GIS_SQL + f" SELECT point_name AS n0, {EVENT_NAME_SQL} AS n1, year_after || '年城市边界' AS n2 FROM events_full")
 def two_hop(spark, folder):
-    return g.two_hop(*stored_graph(spark, folder), "INVOLVES_POINT", "ON_BOUNDARY")
+    return g.two_hop(*stored_graph(spark, folder, "INVOLVES_POINT", "ON_BOUNDARY"), "INVOLVES_POINT", "ON_BOUNDARY")
 
 
 @query(GIS_SQL + f""" SELECT DISTINCT {EVENT_NAME_SQL} AS n0, year_after || '年城市边界' AS n1, year_before || '年城市边界' AS n2 FROM events_full""")
 def path_query(spark, folder):
-    return g.path(*stored_graph(spark, folder), [("ON_BOUNDARY", "out"), ("TRANSITION_FROM", "out")], ["STTE_Event", "Boundary", "Boundary"])
+    return g.path(*stored_graph(spark, folder, "ON_BOUNDARY", "TRANSITION_FROM"), [("ON_BOUNDARY", "out"), ("TRANSITION_FROM", "out")], ["STTE_Event", "Boundary", "Boundary"])
 
 
 @query(GIS_SQL + " SELECT src, tgt, keywords, description, weight, source_id FROM gis_edges WHERE keywords LIKE 'ADJACENT_TO%'")
@@ -197,6 +197,15 @@ SEARCH_SQL = TRADE_SQL + """, hits AS (SELECT name FROM nodes WHERE contains(low
   selected AS (SELECT name FROM hits UNION SELECT src FROM ends UNION SELECT tgt FROM ends)"""
 
 
+@query(TRADE_SQL + """ SELECT DISTINCT p.tgt AS n0, p.src AS n1, l.src AS n2, t.tgt AS n3 FROM edges p JOIN edges l ON l.tgt = p.src JOIN edges t ON t.src = l.src
+  WHERE p.keywords LIKE 'PART_OF%' AND l.keywords LIKE 'LOCATED_IN%' AND t.keywords LIKE 'TRADES_WITH%'""")
+def path_through_hubs(spark, folder):
+    """From regions down to the suppliers that their customers buy from: every nation is a hub of both of its steps."""
+    nodes, edges = trade_graph(spark, folder)
+    return g.path(nodes, written(edges, "edges"), [("PART_OF", "in"), ("LOCATED_IN", "in"), ("TRADES_WITH", "out")],
+                  ["Region", "District", "Point", "Infrastructure"])
+
+
 @query(SEARCH_SQL.replace("OR contains(lower(description), 'of asia')", "OR contains(lower(description), 'nation_1')") + " SELECT name, entity_type FROM nodes WHERE name IN (SELECT name FROM selected)")
 def search_nodes(spark, folder):
     return g.search_subgraph(*trade_graph(spark, folder), "Nation_1")[0].select("name", "entity_type")

@@ -162,13 +162,13 @@ def heavy_join(many: DataFrame, few: DataFrame, on: list[str], heavy: DataFrame)
     return many.join(bright, on).unionByName(many.join(keys, on, "left_anti").join(few.join(keys, on, "left_anti"), on))
 
 
-def matrix_join(left: DataFrame, right: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> DataFrame:
-    """Inner equi-join for keys that are crowded on both sides.
+def semi_join(many: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``many`` whose key is in ``keys``. Rows of heavy keys are looked up in their map tasks."""
+    return heavy_join(many, keys.select(*on).distinct(), on, heavy_keys(many, on))
 
-    A key with more than 1/``shares`` of the rows of a side is cut there into parts of at most that size (by a hash of
-    the rows), and the product of the parts of both sides is dealt out cell by cell: a left row goes to the cells of its
-    row, a right row to those of its column. Other keys have one cell. At most ``shares`` keys per side are cut, so what
-    is broadcast is bounded. Both tables are read three times: pass written tables."""
+
+def dealt_sides(left: DataFrame, right: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the cell (``_r``, ``_c``) of their key's grid that each row goes to, for ``matrix_join``."""
     cuts = []
     for df, name in ((left, "_rows"), (right, "_cols")):
         heavy = heavy_keys(df, on, shares, least)
@@ -177,8 +177,18 @@ def matrix_join(left: DataFrame, right: DataFrame, on: list[str], shares: int =
 
     def placed(df: DataFrame, own: str, own_cut: str, other: str, other_cut: str) -> DataFrame:
         part = F.pmod(F.xxhash64(*df.columns), F.coalesce(own_cut, F.lit(1))).cast("int")
-        return (df.join(grid, on, "left").withColumn(own, part)
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_cut, F.lit(1)) - 1))).drop("_rows", "_cols"))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other_cut, F.lit(1)) - 1))
+        return df.join(grid, on, "left").withColumn(own, part).withColumn(other, every).drop("_rows", "_cols")
+
+    return placed(left, "_r", "_rows", "_c", "_cols"), placed(right, "_c", "_cols", "_r", "_rows")
 
-    at = placed(left, "_r", "_rows", "_c", "_cols")
-    return at.join(placed(right, "_c", "_cols", "_r", "_rows"), [*on, "_r", "_c"]).drop("_r", "_c")
+
+def matrix_join(left: DataFrame, right: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> DataFrame:
+    """Inner equi-join for keys that are crowded on both sides.
+
+    A key with more than 1/``shares`` of the rows of a side is cut there into parts of about that size (by a hash of the
+    whole row), and the product of the parts of both sides is dealt out cell by cell: a left row goes to the cells of its
+    row, a right row to those of its column. Other keys have one cell. At most ``shares`` keys per side are cut, so what
+    is broadcast is bounded. Each table is read three times, twice for its keys only."""
+    ours, theirs = dealt_sides(left, right, on, shares, least)
+    return ours.join(theirs, [*on, "_r", "_c"]).drop("_r", "_c")
