@@ -145,13 +145,20 @@ def split_hot_join(many: DataFrame, few: DataFrame, on: list[str], salt_by: list
 
 
 def heavy_keys(df: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> DataFrame:
-    """(keys, n) of the keys with more than 1/``shares`` of the rows of ``df``, and more than ``least`` rows.
+    """(keys, n, bound) of the keys with more than ``bound`` rows: 1/``shares`` of the rows of ``df``, and at least ``least``.
 
-    At most ``shares`` keys can have that many, whatever the table's size, so the result may be broadcast. Counted
-    map-side; null keys, which join nothing, are left out. ``df`` is read twice: pass a written table."""
-    bound = max(df.count() // shares, least)
+    At most ``shares`` keys can have that many, whatever the table's size, so they may go through the driver and be
+    broadcast. Counted map-side; null keys, which join nothing, are left out. Without heavy keys the table is known to be
+    empty, and the optimizer drops what a join does for them."""
     sizes = df.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("n"))
-    return written(sizes.where(F.col("n") > bound).withColumn("bound", F.lit(bound)), "heavy-keys")
+    # whatever has more than 1/shares of the rows is among the first ``shares`` keys by size
+    first = sizes.where(F.col("n") > least).orderBy(F.desc("n"), *on).limit(shares)
+    rows = first.collect()
+    bound = max(least, df.count() // shares) if rows else least
+    rows = [(*r, bound) for r in rows if r["n"] > bound]
+    if not rows:
+        return first.withColumn("bound", F.lit(bound)).where(F.lit(False))
+    return df.sparkSession.createDataFrame(rows, first.withColumn("bound", F.lit(0).cast("long")).schema)
 
 
 def heavy_join(many: DataFrame, few: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
@@ -169,11 +176,9 @@ def semi_join(many: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def dealt_sides(left: DataFrame, right: DataFrame, on: list[str], shares: int = 4096, least: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Both tables with the cell (``_r``, ``_c``) of their key's grid that each row goes to, for ``matrix_join``."""
-    cuts = []
-    for df, name in ((left, "_rows"), (right, "_cols")):
-        heavy = heavy_keys(df, on, shares, least)
-        cuts.append(heavy.select(*on, F.ceil(F.col("n") / F.col("bound")).cast("int").alias(name)))
-    grid = F.broadcast(written(cuts[0].join(cuts[1], on, "full"), "join-grid"))
+    cuts = [heavy_keys(df, on, shares, least).select(*on, F.ceil(F.col("n") / F.col("bound")).cast("int").alias(name))
+            for df, name in ((left, "_rows"), (right, "_cols"))]
+    grid = F.broadcast(cuts[0].join(cuts[1], on, "full"))
 
     def placed(df: DataFrame, own: str, own_cut: str, other: str, other_cut: str) -> DataFrame:
         part = F.pmod(F.xxhash64(*df.columns), F.coalesce(own_cut, F.lit(1))).cast("int")
