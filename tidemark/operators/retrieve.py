@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark import vocab
-from tidemark.functions.text import keywords
 from tidemark.operators.graph import source_id
 from tidemark.session import written
 from tidemark.tables import Ordered, first_per_key, top_per_group
@@ -35,58 +34,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _shared_words(asked: dict[str, list[int]], ids: list, k: int, min_score: int):
-    """The k best chunks of the task for each question, by distinct shared words and then by position."""
-    def run(batches):
-        best: dict[int, list] = {}
-        for batch in batches:
-            chunk, place, words = batch.columns
-            for row, found in enumerate(words.to_pylist()):
-                scores: dict[int, int] = {}
-                for word in found or ():
-                    for q in asked.get(word, ()):
-                        scores[q] = scores.get(q, 0) + 1
-                for q, score in scores.items():
-                    if score >= min_score:
-                        kept = best.setdefault(q, [])
-                        kept.append((-score, place[row].as_py(), chunk[row].as_py()))
-                        if len(kept) > 8 * k:
-                            best[q] = sorted(kept)[:k]
-        rows = [(ids[q], c, -s, p) for q, kept in best.items() for s, p, c in sorted(kept)[:k]]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        yield columns
-    return run
-
-
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, position: str = "position",
-                   min_score: int = 1, per_pass: int = QUESTIONS_PER_PASS) -> DataFrame:
-    """(query_id, chunk_id, score, rank): score = distinct shared words, ties in input order.
-
-    ``queries(query_id, text)``, one row per question, and ``chunks(chunk_id, content, position)``. Blocks of questions of
-    bounded size are looked up in the chunks where they lie; each task sends its k best per question."""
-    words = F.array_distinct(keywords("content"))
-    asked = queries.select("query_id", F.array_distinct(keywords("text")).alias("words"))
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
-                           T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.LongType()),
-                           T.StructField("_position", chunks.schema[position].dataType)])
-    kinds = to_arrow_schema(schema)
-
-    def found(rows):
-        index: dict[str, list[int]] = {}
-        for n, row in enumerate(rows):
-            for word in row.words or ():
-                index.setdefault(word, []).append(n)
-        search = _shared_words(index, [row.query_id for row in rows], k, min_score)
-
-        def run(batches):
-            for columns in search(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
-        return chunks.select("chunk_id", position, words.alias("words")).mapInArrow(run, schema)
-
-    best = _union([found(rows) for rows in _passes(asked, per_pass)])
-    return top_per_group(best, ["query_id"], [F.desc("score"), F.col("_position")], k).drop("_position")
-
-
 def document_lines(hits: DataFrame, chunks: DataFrame, chars: int = 300) -> DataFrame:
     """Keyword hits as text: source, page and the beginning of the chunk."""
     text = F.concat(F.lit("["), "source", F.lit(" 第"), F.col("page").cast("string"), F.lit("页]\n"),
@@ -139,8 +86,9 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, per_pass:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
         return vectors.select("item_id", "vector").mapInArrow(run, schema)
 
-    best = _union([found(rows) for rows in _passes(queries.select("query_id", "vector"), per_pass)])
-    return top_per_group(best, ["query_id"], [F.desc("score"), F.col("item_id")], k)
+    # a block's best are written before the next block is collected
+    return _union([written(top_per_group(found(rows), ["query_id"], [F.desc("score"), F.col("item_id")], k), "vector-hits")
+                   for rows in _passes(queries.select("query_id", "vector"), per_pass)])
 
 
 def chunk_evidence(hits: DataFrame, chunks: DataFrame, chars: int = 400) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import retrieve as r
+from tidemark.operators import lexical, retrieve as r
 from tidemark.plans import inputs as i
 from tidemark.plans.texts import documents
-from tidemark.session import written
+from tidemark.session import scratch_path, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,22 +27,31 @@ KEYWORD_SQL = f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS
   hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s)"""
 
 
-def _keyword_hits(spark, folder):
+def _questions_and_chunks(spark, folder):
     questions = i.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     chunks = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
-    return r.keyword_search(questions, chunks, 5)
+    return questions, chunks
 
 
 @query(KEYWORD_SQL + " SELECT query_id, chunk_id, score, rank FROM hits WHERE rank <= 5")
 def keyword_search(spark, folder):
-    return _keyword_hits(spark, folder)
+    return lexical.keyword_search(*_questions_and_chunks(spark, folder), 5)
+
+
+@query(KEYWORD_SQL + " SELECT query_id, chunk_id, score, rank FROM hits WHERE rank <= 3")
+def stored_keyword_search(spark, folder):
+    """The index of all words is built once and read again for the questions."""
+    questions, chunks = _questions_and_chunks(spark, folder)
+    path = scratch_path(spark, "stored-index")
+    lexical.build_keyword_index(chunks, path)
+    return lexical.search_index(questions, lexical.read_keyword_index(spark, path), 3)
 
 
 @query(KEYWORD_SQL + """ SELECT query_id, rank, chunk_id, '[' || source || ' 第1页]' || chr(10) || substr(text, 1, 300) || '...' AS line
   FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 5""")
 def document_lines(spark, folder):
     chunks = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), "source", F.lit(1).alias("page"), F.col("text").alias("content"))
-    return r.document_lines(_keyword_hits(spark, folder), chunks)
+    return r.document_lines(lexical.keyword_search(*_questions_and_chunks(spark, folder), 5), chunks)
 
 
 # the questions of the vector queries are the mean vectors of the labels

@@ -51,11 +51,16 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in this application's folder."""
+    return f"{scratch_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and later readers get column pruning."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

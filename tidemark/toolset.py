@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import vocab
-from tidemark.operators import graph, retrieve, series
+from tidemark.operators import graph, lexical, retrieve, series
 
 
 def search_document_chunks(queries: DataFrame, knowledge: dict[str, DataFrame], top_k: int = 5) -> DataFrame:
@@ -21,7 +21,7 @@ def search_document_chunks(queries: DataFrame, knowledge: dict[str, DataFrame],
 
 
 def retrieve_document_content(queries: DataFrame, chunks: DataFrame, top_k: int = 3) -> DataFrame:
-    return retrieve.document_lines(retrieve.keyword_search(queries, chunks, top_k), chunks)
+    return retrieve.document_lines(lexical.keyword_search(queries, chunks, top_k), chunks)
 
 
 TOOLS = {
