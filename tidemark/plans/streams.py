@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import inputs as i, logs, texts
 from tidemark.plans.inputs import CHANGES_SQL
 from tidemark.session import scratch_dir
+from tidemark.sources import stores
 from tidemark.streaming import jobs
 from tidemark.streaming.runs import finish, latest, replay
 
@@ -105,5 +106,5 @@ def stream_import(spark, folder):
     files = i.table(spark, folder, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "source", "text", "doc_id")
     path = f"{scratch_dir(spark)}/tidemark/import-{uuid.uuid4().hex}"
     stream = replay(files, F.col("doc_id")).drop("doc_id")
-    jobs.stream_import(stream, f"{path}/ledger", f"{path}/chunks", f"{path}/checkpoint", availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{path}/chunks").select("id", F.md5(F.encode("content", "UTF-8")).alias("content"))
+    jobs.stream_import(stream, f"{path}/store", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return stores.read_chunks(spark, f"{path}/store").select("id", F.md5(F.encode("content", "UTF-8")).alias("content"))

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import predicate_of
+from tidemark.session import written
+from tidemark.sources import manifest
 
 LEDGER = "hash string, path string, imported_at timestamp"
+CHUNKS = "id string, content string, keywords array<string>, source string, page int, chunk_index int, chunk_type string"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -35,17 +38,42 @@ def mark_imported(files: DataFrame, ledger_path: str) -> None:
     files.select("hash", "path", F.current_timestamp().alias("imported_at")).write.mode("append").parquet(ledger_path)
 
 
-def write_chunks(chunks: DataFrame, path: str, keep_keywords: int = 10) -> None:
-    """Append the chunks that the table does not have yet. A chunk is known by its id and the hash of its whole content: the id
-    alone has eight digits of it, which different chunks of one place may share."""
-    rows = chunks.withColumn("keywords", F.slice("keywords", 1, keep_keywords)).withColumn("_hash", F.sha2("content", 256))
-    rows = rows.dropDuplicates(["id", "_hash"])
-    have = read_or_empty(chunks.sparkSession, path, chunks.schema).select("id", F.sha2("content", 256).alias("_hash"))
-    rows.join(have, ["id", "_hash"], "left_anti").select(*chunks.columns).write.mode("append").parquet(path)
+BUCKETS = 64
+
+
+def _stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return manifest.read(spark, path, "chunks", f"{CHUNKS}, hash string, bucket int")
+
+
+def write_chunks(chunks: DataFrame, path: str, keep_keywords: int = 10, files: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Add the chunks that the store does not have yet and, in the same commit, the ``files`` (hash, path) they come from.
+
+    A chunk is known by its id and the hash of its whole content: the id alone has eight digits of it, which different chunks
+    of one place may share. Rows lie in buckets of their id with their hash, so that only the names in the buckets that the
+    new chunks fall into are read. Returns the version; a store that another writer has changed meanwhile raises
+    ``manifest.Conflict`` and is as it was."""
+    spark = chunks.sparkSession
+    base = manifest.current(spark, path)[0]
+    rows = chunks.withColumn("keywords", F.slice("keywords", 1, keep_keywords)).withColumn("hash", F.sha2("content", 256))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).dropDuplicates(["id", "hash"])
+    rows = written(rows, "new-chunks")
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    have = _stored_chunks(spark, path).where(F.col("bucket").isin(touched))
+    new = rows.join(have.select("id", "hash"), ["id", "hash"], "left_anti")
+    added = {"chunks": manifest.stage(new.select(*chunks.columns, "hash", "bucket").repartition("bucket"), path, "chunks", "bucket")}
+    if files is not None:
+        imported = files.select("hash", "path", F.current_timestamp().alias("imported_at"))
+        added["ledger"] = manifest.stage(imported, path, "ledger")
+    return manifest.publish(spark, path, base, added)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return _stored_chunks(spark, path).drop("hash", "bucket")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The imported files of a chunk store."""
+    return manifest.read(spark, path, "ledger", LEDGER)
 
 
 CACHE = "chunk_id string, schema_version int, source string, payload string"

@@ -20,7 +20,7 @@ from tidemark.operators.chunking import chunk_text
 from tidemark.operators.sessions import estimate_cost
 from tidemark.operators.traces import _attribute, is_error, is_root
 from tidemark.operators.transitions import transitions
-from tidemark.sources.stores import LEDGER, mark_imported, new_files, read_or_empty, write_chunks
+from tidemark.sources.stores import new_files, read_ledger, read_or_empty, write_chunks
 
 
 def _stateful(df: DataFrame, key: str, fn, output: str, state: str, mode: str,
@@ -33,18 +33,16 @@ def _in_order(batches, *order: str) -> pd.DataFrame:
     return pd.concat(frames).sort_values(list(order)) if frames else pd.DataFrame()
 
 
-def stream_import(files: DataFrame, ledger_path: str, chunks_path: str, checkpoint: str,
-                  size: int = 700, overlap: int = 80, **trigger) -> StreamingQuery:
-    """Import (path, source, text) rows: a content hash is processed once. Chunks are written
-    before the ledger and de-duplicate by id, so a batch that is run again does no harm."""
+def stream_import(files: DataFrame, store: str, checkpoint: str, size: int = 700, overlap: int = 80, **trigger) -> StreamingQuery:
+    """Import (path, source, text) rows into a chunk store: a content hash is processed once. Chunks and ledger are published
+    by one commit, so a batch that is run again finds its files in the ledger, or nothing of itself."""
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("hash", F.md5(F.encode("text", "UTF-8")))
         hashed = hashed.groupBy("hash").agg(F.min_by(F.struct("path", "source", "text"), "path").alias("f")).select("hash", "f.*")
-        fresh = new_files(hashed, read_or_empty(spark, ledger_path, LEDGER)).persist()
+        fresh = new_files(hashed, read_ledger(spark, store)).persist()
         try:
-            write_chunks(chunk_text(fresh.select("source", "text"), size, overlap), chunks_path)
-            mark_imported(fresh, ledger_path)
+            write_chunks(chunk_text(fresh.select("source", "text"), size, overlap), store, files=fresh)
         finally:
             fresh.unpersist()
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
