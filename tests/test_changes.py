@@ -135,6 +135,46 @@ def test_points_in_boundaries(spark):
     assert got == {(2020, "in"), (2020, "rim"), (2021, "rim")}
 
 
+def _inside(rings, x, y):
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+            if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return False
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def test_cells_of_many_shapes_decide_as_whole_rings_do(spark):
+    """Stars of few and many corners, with holes, spikes and grid-aligned edges; points in, out, on corners and on cell lines."""
+    rng = random.Random(3)
+
+    def star(x, y, r, n):
+        return [[x + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * i / n), y + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * i / n)]
+                for i in range(n)]
+
+    shapes = {2000 + n: [star(rng.uniform(-170, 170), rng.uniform(-80, 80), 10 ** rng.uniform(-3, 1.5), rng.choice((3, 7, 40, 400)))] for n in range(12)}
+    shapes[2050] = [star(10, 10, 5, 60), star(10, 10, 1, 9)]
+    shapes[2051] = [[[0.0, 0.0], [45.0, 0.0], [45.0, 45.0], [22.5, 5.625], [0.0, 45.0]]]
+    shapes[2052] = [[[-5.625, -5.625], [5.625, -5.625], [5.625, 5.625], [-5.625, 5.625]], [[-1.0, -1.0], [1.0, -1.0], [1.0, 1.0], [-1.0, 1.0]]]
+    places = [(0.0, 0.0), (22.5, 5.625), (5.625, 0.0), (1.0, 0.5), (0.5, 1.0), (2.8125, 2.8125)]
+    for rings in shapes.values():
+        x0, y0 = rings[0][0]
+        r = max(math.dist((x0, y0), c) for c in rings[0]) * 1.2
+        places += [(x0 + rng.uniform(-r, r), y0 + rng.uniform(-r, r)) for _ in range(60)] + [tuple(rings[0][1])]
+    points = spark.createDataFrame([(n, *p) for n, p in enumerate(places)] + [(-1, float("nan"), 1.0), (-2, None, 1.0)], "point_id long, lon double, lat double")
+    boundaries = spark.createDataFrame(list(shapes.items()), "year int, rings array<array<array<double>>>")
+    got = {(r.year, r.point_id) for r in spatial.points_in_boundaries(points, boundaries).collect()}
+    want = {(year, n) for year, rings in shapes.items() for n, p in enumerate(places) if _inside(rings, *p)}
+    assert got == want and len(want) > 200
+    cells = spatial.boundary_cells(boundaries).selectExpr("year", "size(edges) AS n", "level").toPandas()
+    assert (cells.groupby("year").size() >= 12).all()
+    assert (cells.n == 0).sum() > 100  # inner cells need no test
+    assert cells.n.max() < 100  # of 400 edges
+
+
 # -- graph and series ------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -7,47 +7,98 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, haversine_km, inside_edges, ring_edges
+from tidemark.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, crossings, haversine_km, inside_edges, ring_edges
 from tidemark.session import written
+from tidemark.tables import matrix_join
 
 FINEST_LEVEL = 24
 
 
-def points_in_boundaries(points: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """(year, point_id) for points strictly inside the boundary ``rings`` of a year.
+#: rounds in which every border cell is cut into four, and further rounds for cells that still have many edges
+SURE_ROUNDS, MORE_ROUNDS, FEW_EDGES = 2, 4, 32
+SLACK = 1e-9
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value * F.pow(F.lit(2.0), level) / 360.0)
+
+
+def _clipped(cells: DataFrame) -> DataFrame:
+    """Keep in every cell the edges that its points need: those of its latitudes that aren't west of it. An edge east of the
+    cell that spans all its latitudes is crossed by every ray and only counted (``passed``). If no edge comes near, the whole
+    cell is inside or outside: inner cells lose their edges, outer cells go."""
+    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
+    west, south = F.col("cx") * size - SLACK, F.col("cy") * size - SLACK
+    east, north = (F.col("cx") + 1) * size + SLACK, (F.col("cy") + 1) * size + SLACK
+
+    def low(e, axis):
+        return F.least(e[f"{axis}1"], e[f"{axis}2"])
+
+    def high(e, axis):
+        return F.greatest(e[f"{axis}1"], e[f"{axis}2"])
+
+    needed = F.filter("edges", lambda e: (high(e, "y") >= south) & (low(e, "y") <= north) & (high(e, "x") >= west))
 
-    Each boundary picks the quadtree level at which its bounding box meets at most 3x3
-    cells; a point has one cell per level in use. So the join is an equi-join on
-    (level, cell) that Spark may broadcast if the boundaries are small or shuffle and
-    split if not, and the ring test only runs inside a matching cell."""
+    def spans(e):
+        return (low(e, "x") > east) & (low(e, "y") < south) & (high(e, "y") > north)
+
+    cells = cells.withColumn("edges", needed)
+    cells = cells.withColumn("passed", F.col("passed") + F.size(F.filter("edges", spans))).withColumn("edges", F.filter("edges", lambda e: ~spans(e)))
+    near = F.exists("edges", lambda e: low(e, "x") <= east)
+    middle_x, middle_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+    cells = (cells.withColumn("near", near)
+             .withColumn("passed", F.when(F.col("near"), F.col("passed")).otherwise(F.col("passed") + crossings(F.col("edges"), middle_x, middle_y)))
+             .withColumn("edges", F.when(F.col("near"), F.col("edges")).otherwise(F.slice("edges", 1, 0))))
+    return cells.where(F.col("near") | (F.col("passed") % 2 == 1)).drop("near")
+
+
+def boundary_cells(boundaries: DataFrame) -> DataFrame:
+    """(year, level, cx, cy, edges, passed): each boundary as cells of a quadtree. Inner cells have no edges and are as large
+    as they can be, border cells have the few edges that decide for their points.
+
+    A boundary begins with at most 3x3 cells over its bounding box; border cells are cut into four, again where many edges
+    are left."""
     edges = ring_edges(F.col("rings"))
-    shapes = (boundaries.select("year", edges.alias("edges"))
-              .select("year", "edges",
-                      F.array_min(F.transform("edges", lambda e: e.x1)).alias("x0"),
-                      F.array_max(F.transform("edges", lambda e: e.x1)).alias("x1"),
-                      F.array_min(F.transform("edges", lambda e: e.y1)).alias("y0"),
-                      F.array_max(F.transform("edges", lambda e: e.y1)).alias("y1")))
+    shapes = boundaries.select("year", edges.alias("edges"))
+    # rings are closed, so the first ends of the edges are all corners
+    shapes = shapes.select("year", "edges", *[f(F.transform("edges", lambda e: e[f"{axis}1"])).alias(f"{axis}{n}")
+                                              for axis in "xy" for n, f in enumerate((F.array_min, F.array_max))])
     span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     level = F.greatest(F.lit(0), F.least(F.lit(FINEST_LEVEL), F.floor(F.log2(F.lit(720.0) / F.nullif(span, F.lit(0.0))))))
     shapes = shapes.withColumn("level", F.coalesce(level, F.lit(FINEST_LEVEL)).cast("int"))
 
-    def cell(value: Column, level: Column) -> Column:
-        return F.floor(value * F.pow(F.lit(2.0), level) / 360.0)
+    def every(low, high):
+        return F.explode(F.sequence(_cell(F.col(low), F.col("level")), _cell(F.col(high), F.col("level"))))
 
-    def cells(low, high):
-        return F.explode(F.sequence(cell(F.col(low), F.col("level")), cell(F.col(high), F.col("level"))))
+    cells = (shapes.withColumn("cx", every("x0", "x1")).withColumn("cy", every("y0", "y1"))
+             .select("year", "level", "cx", "cy", "edges", F.lit(0).alias("passed")))
+    cells = _clipped(cells)
+    for cut in range(SURE_ROUNDS + MORE_ROUNDS):
+        enough = 0 if cut < SURE_ROUNDS else FEW_EDGES
+        again = (F.size("edges") > enough) & (F.col("level") < FINEST_LEVEL)
+        quarters = F.array(*[F.struct((F.col("level") + 1).alias("level"), (F.col("cx") * 2 + x).alias("cx"), (F.col("cy") * 2 + y).alias("cy"))
+                             for x in (0, 1) for y in (0, 1)])
+        itself = F.array(F.struct("level", "cx", "cy"))
+        cells = _clipped(cells.select("year", "edges", "passed", F.inline(F.when(again, quarters).otherwise(itself))))
+    return cells.select("year", "level", "cx", "cy", "edges", "passed")
+
+
+def points_in_boundaries(points: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(year, point_id) for points strictly inside the boundary ``rings`` of a year.
 
-    covered = shapes.withColumn("cx", cells("x0", "x1")).withColumn("cy", cells("y0", "y1"))
+    An equi-join on quadtree cells: a point has one cell per level in use. In inner cells of a boundary it needs no further
+    test, in border cells the edges nearby decide. A cell with very many points is cut over several tasks."""
+    covered = written(boundary_cells(boundaries), "boundary-cells")
     # the levels in use are at most FINEST_LEVEL + 1 integers
-    levels = sorted(row.level for row in shapes.select("level").distinct().collect())
-    located = (points.select("point_id", "lon", "lat").where("lon is not null and lat is not null")
+    levels = sorted(row.level for row in covered.select("level").distinct().collect())
+    located = (points.select("point_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+               .where("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)")
                .withColumn("level", F.explode(F.lit(levels).cast("array<int>")))
-               .withColumn("cx", cell(F.col("lon"), F.col("level")))
-               .withColumn("cy", cell(F.col("lat"), F.col("level"))))
-    return (located.join(covered, ["level", "cx", "cy"])
-            .where(F.col("lon").between(F.col("x0"), F.col("x1"))
-                   & F.col("lat").between(F.col("y0"), F.col("y1"))
-                   & inside_edges(F.col("edges"), F.col("lon"), F.col("lat")))
+               .withColumn("cx", _cell(F.col("lon"), F.col("level")))
+               .withColumn("cy", _cell(F.col("lat"), F.col("level"))))
+    inner = (F.size("edges") == 0)
+    return (matrix_join(located, covered, ["level", "cx", "cy"])
+            .where(inner | inside_edges(F.col("edges"), F.col("lon"), F.col("lat"), F.col("passed")))
             .select("year", "point_id"))
 
 
