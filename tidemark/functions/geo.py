@@ -29,16 +29,6 @@ def ring_edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, edges))
 
 
-def crossings(edges: Column, lon: Column, lat: Column) -> Column:
-    """How many edges a ray from the point to the east crosses."""
-    def crossed(e):
-        straddles = (e.y1 > lat) != (e.y2 > lat)
-        return straddles & (lon < (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1)
-
-    # a horizontal edge never straddles, so its zero denominator must not be evaluated
-    return F.size(F.filter(edges, lambda e: F.when(e.y1 == e.y2, F.lit(False)).otherwise(crossed(e))))
-
-
 def inside_edges(edges: Column, lon: Column, lat: Column, others: Column | int = 0) -> Column:
     """Even-odd test, strict: a point lying on an edge is outside. ``others``: crossings of edges that were left out."""
     def on_edge(e):
@@ -47,5 +37,13 @@ def inside_edges(edges: Column, lon: Column, lat: Column, others: Column | int =
                 & lon.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
                 & lat.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)))
 
-    odd = (crossings(edges, lon, lat) + others) % 2 == 1
+    def crossed(e):
+        straddles = (e.y1 > lat) != (e.y2 > lat)
+        return straddles & (lon < (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1)
+
+    # a horizontal edge never straddles, so its zero denominator must not be evaluated
+    def safe_crossed(e):
+        return F.when(e.y1 == e.y2, F.lit(False)).otherwise(crossed(e))
+
+    odd = (F.size(F.filter(edges, safe_crossed)) + others) % 2 == 1
     return odd & ~F.exists(edges, on_edge)

@@ -89,10 +89,14 @@ def build_keyword_index(chunks: DataFrame, path: str, position: str = "position"
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("block", T.LongType()),
                            T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(rows.schema["chunk_id"].dataType)),
                            T.StructField("positions", T.ArrayType(rows.schema["position"].dataType))])
-    blocks = written(rows.mapInArrow(_inverted(schema), schema), "keyword-blocks")
-    postings = blocks.where("word IS NOT NULL").select("word", "block", "at")
+    blocks = rows.mapInArrow(_inverted(schema), schema)
     if words is not None:
-        postings = postings.join(words.select("word").distinct(), "word", "left_semi")
+        # rows that name a block's chunks have no word: a key of their own spreads them
+        key = F.coalesce("word", F.concat(F.lit("\0"), F.col("block").cast("string")))
+        wanted = words.select(F.col("word").alias("key")).distinct().withColumn("wanted", F.lit(True))
+        blocks = blocks.withColumn("key", key).join(wanted, "key", "left").where("word IS NULL OR wanted").drop("key", "wanted")
+    blocks = written(blocks, "keyword-blocks")
+    postings = blocks.where("word IS NOT NULL").select("word", "block", "at")
     # a common word has a row per block: its folder is written by several tasks
     (postings.withColumn("part", part_of("word", parts)).repartition("part", F.col("block") % 4)
      .write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings"))
@@ -232,5 +236,5 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, position:
     if index is None:
         queries = written(queries.select("query_id", "text"), "question-texts")
         words = queries.select(F.explode(keywords("text")).alias("word"))
-        index = build_keyword_index(chunks, scratch_path(chunks.sparkSession, "keyword-index"), position, words)
+        index = build_keyword_index(chunks, scratch_path(chunks.sparkSession, "keyword-index"), position, words, parts=8)
     return search_index(queries, index, k, min_score, per_pass)

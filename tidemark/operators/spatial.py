@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, crossings, haversine_km, inside_edges, ring_edges
+from tidemark.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, haversine_km, inside_edges, ring_edges
 from tidemark.session import written
 from tidemark.tables import matrix_join
 
@@ -23,33 +26,67 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value * F.pow(F.lit(2.0), level) / 360.0)
 
 
-def _clipped(cells: DataFrame) -> DataFrame:
-    """Keep in every cell the edges that its points need: those of its latitudes that aren't west of it. An edge east of the
-    cell that spans all its latitudes is crossed by every ray and only counted (``passed``). If no edge comes near, the whole
-    cell is inside or outside: inner cells lose their edges, outer cells go."""
-    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
-    west, south = F.col("cx") * size - SLACK, F.col("cy") * size - SLACK
-    east, north = (F.col("cx") + 1) * size + SLACK, (F.col("cy") + 1) * size + SLACK
-
-    def low(e, axis):
-        return F.least(e[f"{axis}1"], e[f"{axis}2"])
-
-    def high(e, axis):
-        return F.greatest(e[f"{axis}1"], e[f"{axis}2"])
-
-    needed = F.filter("edges", lambda e: (high(e, "y") >= south) & (low(e, "y") <= north) & (high(e, "x") >= west))
-
-    def spans(e):
-        return (low(e, "x") > east) & (low(e, "y") < south) & (high(e, "y") > north)
-
-    cells = cells.withColumn("edges", needed)
-    cells = cells.withColumn("passed", F.col("passed") + F.size(F.filter("edges", spans))).withColumn("edges", F.filter("edges", lambda e: ~spans(e)))
-    near = F.exists("edges", lambda e: low(e, "x") <= east)
-    middle_x, middle_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    cells = (cells.withColumn("near", near)
-             .withColumn("passed", F.when(F.col("near"), F.col("passed")).otherwise(F.col("passed") + crossings(F.col("edges"), middle_x, middle_y)))
-             .withColumn("edges", F.when(F.col("near"), F.col("edges")).otherwise(F.slice("edges", 1, 0))))
-    return cells.where(F.col("near") | (F.col("passed") % 2 == 1)).drop("near")
+def _clip(level: int, cx: int, cy: int, edges: np.ndarray, passed: int) -> tuple | None:
+    """The cell with the edges (x1, y1, x2, y2) that its points need: those of its latitudes that aren't west of it. An edge east
+    of the cell that spans all its latitudes is crossed by every ray and only counted (``passed``). If no edge comes near, the
+    whole cell is inside or outside: an inner cell loses its edges, an outer cell is None."""
+    size = 360.0 / 2.0 ** level
+    west, south, east, north = cx * size - SLACK, cy * size - SLACK, (cx + 1) * size + SLACK, (cy + 1) * size + SLACK
+    x_low, x_high = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+    y_low, y_high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    needed = (y_high >= south) & (y_low <= north) & (x_high >= west)
+    spans = needed & (x_low > east) & (y_low < south) & (y_high > north)
+    passed += int(spans.sum())
+    near = bool((needed & (x_low <= east)).any())
+    edges = edges[needed & ~spans]
+    if not near:
+        y = (cy + 0.5) * size  # all of them are east of the cell
+        passed += int(((edges[:, 1] > y) != (edges[:, 3] > y)).sum())
+        return (level, cx, cy, edges[:0], passed) if passed % 2 else None
+    return level, cx, cy, edges, passed
+
+
+def _cover(edges: np.ndarray) -> list[tuple]:
+    """Cells of one boundary."""
+    if not len(edges):
+        return []
+    (x0, y0), (x1, y1) = edges[:, :2].min(axis=0), edges[:, :2].max(axis=0)
+    span = max(x1 - x0, y1 - y0)
+    level = max(0, min(FINEST_LEVEL, math.floor(math.log2(720.0 / span)))) if span > 0 else FINEST_LEVEL
+    size = 360.0 / 2.0 ** level
+    cells = [(level, cx, cy, edges, 0) for cx in range(math.floor(x0 / size), math.floor(x1 / size) + 1)
+             for cy in range(math.floor(y0 / size), math.floor(y1 / size) + 1)]
+    cells = [c for c in (_clip(*c) for c in cells) if c]
+    for cut in range(SURE_ROUNDS + MORE_ROUNDS):
+        few, after = 0 if cut < SURE_ROUNDS else FEW_EDGES, []
+        for cell in cells:
+            level, cx, cy, mine, passed = cell
+            if len(mine) <= few or level >= FINEST_LEVEL:
+                after.append(cell)
+            else:
+                quarters = (_clip(level + 1, 2 * cx + x, 2 * cy + y, mine, passed) for x in (0, 1) for y in (0, 1))
+                after += [q for q in quarters if q]
+        cells = after
+    return cells
+
+
+def _covers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edge = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        corners = np.stack([np.asarray(c, dtype=np.float64) for c in flat.flatten()], axis=1) if len(flat) else np.zeros((0, 4))
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        for row, end in enumerate(ends):
+            cells = _cover(corners[ends[row - 1] if row else 0:end])
+            for at in range(0, len(cells), 1000):
+                level, cx, cy, edges, passed = zip(*cells[at:at + 1000])
+                kept = np.concatenate(edges)
+                offsets = pa.array(np.cumsum([0] + [len(e) for e in edges]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([row] * len(level))), pa.array(level, pa.int32()), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()),
+                     pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(kept[:, c]) for c in range(4)], fields=list(edge))),
+                     pa.array(passed, pa.int32())], names=["year", "level", "cx", "cy", "edges", "passed"])
 
 
 def boundary_cells(boundaries: DataFrame) -> DataFrame:
@@ -58,29 +95,11 @@ def boundary_cells(boundaries: DataFrame) -> DataFrame:
 
     A boundary begins with at most 3x3 cells over its bounding box; border cells are cut into four, again where many edges
     are left."""
-    edges = ring_edges(F.col("rings"))
-    shapes = boundaries.select("year", edges.alias("edges"))
-    # rings are closed, so the first ends of the edges are all corners
-    shapes = shapes.select("year", "edges", *[f(F.transform("edges", lambda e: e[f"{axis}1"])).alias(f"{axis}{n}")
-                                              for axis in "xy" for n, f in enumerate((F.array_min, F.array_max))])
-    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    level = F.greatest(F.lit(0), F.least(F.lit(FINEST_LEVEL), F.floor(F.log2(F.lit(720.0) / F.nullif(span, F.lit(0.0))))))
-    shapes = shapes.withColumn("level", F.coalesce(level, F.lit(FINEST_LEVEL)).cast("int"))
-
-    def every(low, high):
-        return F.explode(F.sequence(_cell(F.col(low), F.col("level")), _cell(F.col(high), F.col("level"))))
-
-    cells = (shapes.withColumn("cx", every("x0", "x1")).withColumn("cy", every("y0", "y1"))
-             .select("year", "level", "cx", "cy", "edges", F.lit(0).alias("passed")))
-    cells = _clipped(cells)
-    for cut in range(SURE_ROUNDS + MORE_ROUNDS):
-        enough = 0 if cut < SURE_ROUNDS else FEW_EDGES
-        again = (F.size("edges") > enough) & (F.col("level") < FINEST_LEVEL)
-        quarters = F.array(*[F.struct((F.col("level") + 1).alias("level"), (F.col("cx") * 2 + x).alias("cx"), (F.col("cy") * 2 + y).alias("cy"))
-                             for x in (0, 1) for y in (0, 1)])
-        itself = F.array(F.struct("level", "cx", "cy"))
-        cells = _clipped(cells.select("year", "edges", "passed", F.inline(F.when(again, quarters).otherwise(itself))))
-    return cells.select("year", "level", "cx", "cy", "edges", "passed")
+    shapes = boundaries.select("year", ring_edges(F.col("rings")).alias("edges"))
+    edge = "struct<x1: double, y1: double, x2: double, y2: double>"
+    shapes = shapes.select("year", F.col("edges").cast(f"array<{edge}>").alias("edges"))
+    return shapes.mapInArrow(_covers, f"year {boundaries.schema['year'].dataType.simpleString()}, level int, cx bigint, cy bigint, "
+                                      f"edges array<{edge}>, passed int")
 
 
 def points_in_boundaries(points: DataFrame, boundaries: DataFrame) -> DataFrame:
