@@ -95,11 +95,12 @@ def _prefixes(rebuilt: DataFrame) -> DataFrame:
 class Batch:
     """Prefix rows of conversations, each from its deepest row to its first: conversation, depth, key, parent, two values."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
-        self.conv, self.depth, key, parent, one, two = (np.concatenate(x) for x in zip(*parts))
-        self.values = [one, two]
-        self.names, code = np.unique(np.concatenate([key, parent]), return_inverse=True)
-        self.code, self.parent = np.split(code.ravel(), 2)
+    def __init__(self, parts: list[tuple]):
+        conv, depth, key, parent, one, two = zip(*parts)
+        self.conv, self.depth, *self.values = (np.concatenate(x) for x in (conv, depth, one, two))
+        known = pa.concat_arrays([*key, *parent]).dictionary_encode()
+        self.names = known.dictionary
+        self.code, self.parent = np.split(np.asarray(known.indices).astype(np.int64), 2)
         self.enters = np.r_[True, self.conv[1:] != self.conv[:-1]]
 
 
@@ -135,27 +136,29 @@ def _peeled(rows: DataFrame, give: Callable, fields: str, most: int) -> DataFram
     """Cut prefix rows into batches of whole conversations and hand each to ``give(batch, carried)``, which returns rows and
     what to carry on. A conversation of more than ``most`` rows comes alone, in pieces from its end."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, ...]] = []
-        conv, own, carried = None, 0, None  # the last conversation, where it starts in ``waiting``, and what its end left
+        waiting: list[tuple] = []
+        # the last conversation, its rows and where they start in ``waiting``, the rows before, and what its end left
+        conv, own, start, before, carried = None, 0, 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="V16") for c in (2, 3)]
-            columns = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), *keys, np.asarray(batch.column(4)), np.asarray(batch.column(5))]
+            columns = [batch.column(c) if c in (2, 3) else np.asarray(batch.column(c)) for c in range(6)]
             starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
                 if columns[0][a] != conv:
-                    if waiting and (carried is not None or sum(len(p[0]) for p in waiting) >= most):
+                    before += own
+                    if waiting and (carried is not None or before >= most):
                         yield give(Batch(waiting), carried)[0]
-                        waiting = []
-                    conv, own, carried = columns[0][a], len(waiting), None
+                        waiting, before = [], 0
+                    conv, own, start, carried = columns[0][a], 0, len(waiting), None
                 waiting.append(tuple(c[a:b] for c in columns))
-                if sum(len(p[0]) for p in waiting[own:]) > most:
-                    if own:
-                        yield give(Batch(waiting[:own]), None)[0]
-                    out, carried = give(Batch(waiting[own:]), carried)
+                own += int(b - a)
+                if own > most:
+                    if start:
+                        yield give(Batch(waiting[:start]), None)[0]
+                    out, carried = give(Batch(waiting[start:]), carried)
                     yield out
-                    waiting, own = [], 0
+                    waiting, own, start, before = [], 0, 0, 0
         if waiting:
             yield give(Batch(waiting), carried)[0]
 
@@ -163,27 +166,23 @@ def _peeled(rows: DataFrame, give: Callable, fields: str, most: int) -> DataFram
     return ordered.select("conv_id", "depth", "key", "parent", "one", "two").mapInArrow(run, fields)
 
 
-def _keys(names: np.ndarray) -> pa.Array:
-    return pa.array([n.tobytes() for n in names], pa.binary())
-
-
 def _found(batch: Batch, carried) -> tuple[pa.RecordBatch, bool]:
     """The nodes of a batch: how many of its conversations are members, and the smallest."""
     none = np.zeros(len(batch.conv), dtype=np.int64)
-    parts = [(batch.names[code], batch.depth[row], batch.names[batch.parent[row]], sums[0], conv, batch.values[0][row])
+    parts = [(code, batch.depth[row], batch.parent[row], sums[0], conv, batch.values[0][row])
              for row, code, sums, conv in peel(batch, [none + 1], [none])]
     key, depth, parent, n, conv, chars = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_arrays([_keys(key), pa.array(depth), _keys(parent), pa.array(n), pa.array(conv), pa.array(chars)],
+    return pa.RecordBatch.from_arrays([batch.names.take(pa.array(key)), pa.array(depth), batch.names.take(pa.array(parent)), pa.array(n), pa.array(conv), pa.array(chars)],
                                       names=["key", "depth", "parent", "n_convs", "conv_id", "chars"]), True
 
 
 def _summed(batch: Batch, carried) -> tuple[pa.RecordBatch, list[int]]:
     """Per node of a batch the sums of both values over the rows below it and its own."""
     none = np.zeros(len(batch.conv), dtype=np.int64)
-    parts = [(batch.names[code], *sums) for _, code, sums, _ in peel(batch, [none + c for c in carried or (0, 0)], batch.values)]
+    parts = [(code, *sums) for _, code, sums, _ in peel(batch, [none + c for c in carried or (0, 0)], batch.values)]
     key, one, two = (np.concatenate(x) for x in zip(*parts))
     left = [int(v.sum()) + c for v, c in zip(batch.values, carried or (0, 0))]
-    return pa.RecordBatch.from_arrays([_keys(key), pa.array(one), pa.array(two)], names=["key", "n_leaves", "saved_tokens"]), left
+    return pa.RecordBatch.from_arrays([batch.names.take(pa.array(key)), pa.array(one), pa.array(two)], names=["key", "n_leaves", "saved_tokens"]), left
 
 
 def id_digests(members: DataFrame, keys: list[str], id_col: str, out: str) -> DataFrame:
