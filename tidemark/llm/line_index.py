@@ -38,6 +38,7 @@ from tidemark.tables import heavy_join, heavy_keys
 LEAST = 10
 WHITE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 50_000
+LEAST_SHARDS = 64
 PIECE = 1 << 16
 REFS = "shard int, key binary, n long, first_doc long, fresh boolean"
 
@@ -117,14 +118,15 @@ def _streamed(rows: DataFrame, filters: DataFrame, bits: int, mode: str) -> Data
         if mode == "remove":
             known.remove(keys)
             return run.slice(0, 0)
-        _, first, back = np.unique(np.frombuffer(b"".join(raw), dtype="V16"), return_index=True, return_inverse=True)
+        back = np.asarray(run.column(2).dictionary_encode().indices)
+        first = np.unique(back, return_index=True)[1]
         found = known.contains(keys[first]) if mode == "add" else np.zeros(len(first), dtype=bool)
         known.insert(keys[first[~found]])
         fresh = np.zeros(len(keys), dtype=bool)
         fresh[first[~found]] = True
         seen = ~fresh | (np.asarray(run.column(3)) > 1)
         # a key that comes again in this run: its first row is suspect as well
-        seen |= (np.bincount(back.ravel(), minlength=len(first)) > 1)[back.ravel()]
+        seen |= (np.bincount(back, minlength=len(first)) > 1)[back]
         return pa.RecordBatch.from_arrays([run.column(0), run.column(1), run.column(2), run.column(3), run.column(4),
                                            pa.array(fresh), pa.array(seen), run.column(7)], schema=schema)
 
@@ -176,7 +178,7 @@ class LineIndex:
 
 
 def empty(spark, bits: int = 32, least: int = LEAST, shards: int = 0) -> LineIndex:
-    """``shards=0``: as many as the first insert needs at ``KEYS_PER_SHARD``; filters grow if later inserts bring more."""
+    """``shards=0``: as many as the first insert needs at ``KEYS_PER_SHARD``, or ``LEAST_SHARDS``; filters grow if later inserts bring more."""
     bounded_batches(spark)
 
     def none(fields: str) -> DataFrame:
@@ -194,7 +196,7 @@ def _split(streamed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
     """Add documents with ids that the index doesn't hold yet."""
     new = written(_holders(docs, id_col, text_col, index.least), "line-holders")
-    shards = index.shards or max(1, -(-(new.agg(F.sum(F.size("keys"))).first()[0] or 0) // KEYS_PER_SHARD))
+    shards = index.shards or max(LEAST_SHARDS, -(-(new.agg(F.sum(F.size("keys"))).first()[0] or 0) // KEYS_PER_SHARD))
     batch, filters = _split(_streamed(_combined(new, shards), index.filters, index.bits, "add"))
     refs = index.refs.unionByName(batch.select("shard", "key", "n", "first_doc", "fresh"))
     suspects = batch.where("seen").select("key").distinct()
