@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions.text import chunk_id, heading_level, keep_image, keywords, sentences, strip, usable_description
+from tidemark.operators.folds import filling, joining, numbered_groups
 from tidemark.session import written
 from tidemark.tables import Ordered, first_per_key, top_per_group
 
@@ -101,59 +98,23 @@ def heading_paths(lines: DataFrame, **options) -> DataFrame:
             .drop(*[f"_h{k}" for k in levels]))
 
 
-def _number_buffers(size: int):
-    """Running text length per section over sorted rows; a buffer closes on reaching ``size``.
-    Rows stream through, so a long section needs no memory of its own."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, length, buffer = None, 0, 0
-        for batch in batches:
-            numbers = []
-            for doc, section, chars in zip(batch["doc_id"], batch["section"], batch["chars"]):
-                if (doc, section) != group:
-                    group, length, buffer = (doc, section), 0, 0
-                numbers.append(buffer)
-                length += chars
-                if length >= size:
-                    length, buffer = 0, buffer + 1
-            yield batch.assign(buffer=numbers)
-    return run
-
-
-def _merge_tiny(min_chars: int, size: int):
-    """A short chunk joins the one before it in the same run while the sum fits. Only the
-    current chunk is held."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                joins = (held is not None and (row["doc_id"], row["run"]) == (held["doc_id"], held["run"])
-                         and len(row["content"]) < min_chars
-                         and len(held["content"]) + len(row["content"]) <= size)
-                if joins:
-                    held["content"] = f"{held['content']}\n{row['content']}".strip()
-                else:
-                    if held is not None:
-                        out.append(held)
-                    held = row
-            yield pd.DataFrame(out, columns=batch.columns)
-        if held is not None:
-            yield pd.DataFrame([held])
-    return run
-
-
 def merge_tiny(chunks: DataFrame, min_chars: int = 60, size: int = 700, **options) -> DataFrame:
     """Fold chunks under ``min_chars`` into their predecessor with the same heading path.
     Needs (doc_id, source, page, chunk_index, content, heading_path)."""
     ordered = Ordered(chunks, ["doc_id"], ["chunk_index"], **options)
     ordered.lag("_previous", F.col("heading_path"))
     ordered.running_sum("run", F.when(F.col("heading_path").eqNullSafe(F.col("_previous")), 0).otherwise(1))
-    rows = ordered.result().drop("_previous").select(
+    rows = written(ordered.result().drop("_previous").select(
         "doc_id", F.col("run").cast("long").alias("run"), F.col("source"), F.col("page").cast("int").alias("page"),
-        F.col("chunk_index").cast("int").alias("chunk_index"), "heading_path", "content")
-    merged = (rows.repartition("doc_id", "run").sortWithinPartitions("doc_id", "run", "chunk_index")
-              .mapInPandas(_merge_tiny(min_chars, size), rows.schema))
-    return merged.drop("run")
+        F.col("chunk_index").cast("int").alias("chunk_index"), "heading_path", "content"), "runs")
+    sizes = rows.select("doc_id", "run", "chunk_index", F.length("content").alias("chars"))
+    numbered = numbered_groups(sizes, ["doc_id", "run"], ["chunk_index"], "chars", joining(min_chars, size), "group")
+    # a group is its first chunk and what fits behind it
+    rest = F.struct(*[c for c in rows.columns if c not in ("doc_id", "run", "chunk_index", "content")], "chunk_index")
+    merged = rows.join(numbered, ["doc_id", "run", "chunk_index"]).groupBy("doc_id", "run", "group").agg(
+        F.min_by(rest, "chunk_index").alias("first"),
+        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c.content), "\n")).alias("content"))
+    return merged.select("doc_id", "first.source", "first.page", "first.chunk_index", "first.heading_path", "content")
 
 
 def chunk_structured(lines: DataFrame, size: int = 700, overlap: int = 80, min_chars: int = 60,
@@ -167,9 +128,10 @@ def chunk_structured(lines: DataFrame, size: int = 700, overlap: int = 80, min_c
     leveled = leveled.select("doc_id", "source", "line_no", "text", "page", "level")
     body = heading_paths(leveled, **options).where("level = 0").withColumn("chars", F.length("text"))
     body = body.select("doc_id", "source", "section", "line_no", "text", "page", "heading_path", "chars")
-    schema = T.StructType([*body.schema.fields, T.StructField("buffer", T.LongType())])
-    buffered = (body.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "line_no")
-                .mapInPandas(_number_buffers(size), schema))
+    body = written(body, "body-lines")
+    buffers = numbered_groups(body.select("doc_id", "section", "line_no", "chars"), ["doc_id", "section"], ["line_no"], "chars",
+                              filling(size), "buffer")
+    buffered = body.join(buffers, ["doc_id", "section", "line_no"])
     # a buffer holds at most size characters plus one line
     line = F.struct("line_no", "text")
     texts = buffered.groupBy("doc_id", "source", "section", "heading_path", "buffer").agg(
