@@ -88,3 +88,13 @@ def test_chunks_of_a_crowded_place(spark, monkeypatch):
     assert found.columns == ["source_id", "name", "chunk_id", "content"]
     assert {r["source_id"]: r["count"] for r in found.groupBy("source_id").count().collect()} == {"doc_p1": 150 * 60, "doc": 50 * 60}
     assert found.distinct().count() == 200 * 60
+
+
+@pytest.mark.parametrize("least", [2, 10_000])
+def test_subgraphs_around_a_hub(spark, hub, least, monkeypatch):
+    monkeypatch.setattr(tables.heavy_keys, "__defaults__", (4096, least))
+    nodes, edges = g.filter_by_type(*hub, "Boundary")
+    assert sorted(r["name"] for r in nodes.collect()) == ["B0", "B1", "B2"]
+    assert edges.columns == hub[1].columns and [(r["src"], r["tgt"]) for r in edges.collect()] == [("B1", "B0")]
+    nodes, edges = g.search_subgraph(*hub, "P299")
+    assert sorted(r["name"] for r in nodes.collect()) == ["H", "p299"] and edges.count() == 2

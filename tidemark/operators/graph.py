@@ -37,9 +37,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def induced(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges with both ends in ``names(name)``."""
-    return (edges.join(names.select(F.col("name").alias("src")), "src", "left_semi")
-            .join(names.select(F.col("name").alias("tgt")), "tgt", "left_semi").select(*edges.columns))
+    """Edges with both ends in ``names(name)``. The edges of a hub are looked up in their map tasks."""
+    for end in ("src", "tgt"):
+        edges = semi_join(edges, names.select(F.col("name").alias(end)), [end]).select(*edges.columns)
+    return edges
 
 
 def filter_by_type(nodes: DataFrame, edges: DataFrame, entity_type: str) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +54,7 @@ def search_subgraph(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[Data
     needle = text.lower()
     hits = nodes.where(F.contains(F.lower("name"), F.lit(needle))
                        | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(needle))).select("name")
-    near = (both_ways(edges).join(hits.withColumnRenamed("name", "node"), "node", "left_semi")
+    near = (semi_join(both_ways(edges), hits.withColumnRenamed("name", "node"), ["node"])
             .select(F.explode(F.array("node", "other")).alias("name")))
     selected = hits.union(near).distinct()
     return nodes.join(selected, "name", "left_semi").select(*nodes.columns), induced(edges, selected)
