@@ -218,7 +218,43 @@ def heading_paths(spark, folder):
     return ch.heading_paths(leveled).select("doc_id", "line_no", "level", F.array_join("heading_path", " > ").alias("path"))
 
 
-@query()
+# both folds go over lists of lengths, row by row: buffers close on reaching 400, chunks under 60 join the one before while it fits
+STRUCTURED_SQL = f"""WITH RECURSIVE {LINES_SQL}, {STATS_SQL}, {LEVEL_SQL}, last AS (SELECT *,
+   max(CASE WHEN level = 1 THEN line_no END) OVER w AS p1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS p2, max(CASE WHEN level = 3 THEN line_no END) OVER w AS p3
+   FROM leveled WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+  body AS (SELECT l.doc_id, l.source, l.line_no, l.text, l.page, greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) AS section,
+    concat_ws(' > ', a.text, b.text, c.text) AS path, CAST(a.text IS NOT NULL AS INT) + CAST(b.text IS NOT NULL AS INT) + CAST(c.text IS NOT NULL AS INT) AS depth,
+    row_number() OVER (PARTITION BY l.doc_id, greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) ORDER BY l.line_no) AS pos FROM last l
+   LEFT JOIN styled a ON a.doc_id = l.doc_id AND a.line_no = p1
+   LEFT JOIN styled b ON b.doc_id = l.doc_id AND b.line_no = p2 AND p2 > coalesce(p1, -1)
+   LEFT JOIN styled c ON c.doc_id = l.doc_id AND c.line_no = p3 AND p3 > coalesce(p1, -1) AND p3 > coalesce(p2, -1) WHERE level = 0),
+  sections AS (SELECT doc_id, section, list(length(text) ORDER BY pos) AS ls FROM body GROUP BY ALL),
+  filled AS (SELECT doc_id, section, 0 AS i, 400 AS held, -1 AS buffer FROM sections
+   UNION ALL SELECT f.doc_id, f.section, i + 1, least(CASE WHEN held >= 400 THEN 0 ELSE held END + ls[i + 1], 400), buffer + CAST(held >= 400 AS INT)
+   FROM filled f JOIN sections s ON s.doc_id = f.doc_id AND s.section = f.section WHERE i < len(ls)),
+  joined AS (SELECT b.doc_id, b.section, buffer, any_value(source) AS source, any_value(path) AS path, any_value(depth) AS depth, arg_min(page, pos) AS page,
+    {strip_sql("string_agg(text, chr(10) ORDER BY pos)")} AS content
+   FROM body b JOIN filled f ON f.doc_id = b.doc_id AND f.section = b.section AND f.i = b.pos GROUP BY b.doc_id, b.section, buffer),
+  texts AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, section, buffer) AS text_no FROM joined WHERE content <> ''),
+  pieces AS (SELECT text_no AS doc_id, regexp_extract_all(content, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+') AS ps FROM texts WHERE length(content) > 400),
+  {fold_sql('pieces', "''", 400, 60)},
+  cut AS (SELECT doc_id AS text_no, chunk_index AS piece, {strip_sql('content')} AS content FROM chunks WHERE {strip_sql('content')} <> ''
+   UNION ALL SELECT text_no, 0, content FROM texts WHERE length(content) <= 400),
+  numbered AS (SELECT doc_id, source, page, path, depth, c.content, row_number() OVER (PARTITION BY doc_id ORDER BY section, buffer, piece) - 1 AS chunk_index
+   FROM cut c JOIN texts t ON t.text_no = c.text_no),
+  stepped AS (SELECT *, CASE WHEN path = lag(path) OVER (PARTITION BY doc_id ORDER BY chunk_index) THEN 0 ELSE 1 END AS step FROM numbered),
+  runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS run FROM stepped),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY chunk_index) AS pos FROM runs),
+  sizes AS (SELECT doc_id, run, list(length(content) ORDER BY pos) AS ls FROM placed GROUP BY ALL),
+  tiny AS (SELECT doc_id, run, 0 AS i, 401 AS held, -1 AS part FROM sizes
+   UNION ALL SELECT t.doc_id, t.run, i + 1, CASE WHEN held + ls[i + 1] > 400 OR ls[i + 1] >= 60 THEN ls[i + 1] ELSE held + 1 + ls[i + 1] END,
+    part + CAST(held + ls[i + 1] > 400 OR ls[i + 1] >= 60 AS INT) FROM tiny t JOIN sizes s ON s.doc_id = t.doc_id AND s.run = t.run WHERE i < len(ls)),
+  merged AS (SELECT p.doc_id, any_value(source) AS source, arg_min(page, pos) AS page, CAST(min(chunk_index) AS INT) AS chunk_index, any_value(depth) AS heading_level,
+    string_agg(content, chr(10) ORDER BY pos) AS content FROM placed p JOIN tiny t ON t.doc_id = p.doc_id AND t.run = p.run AND t.i = p.pos GROUP BY p.doc_id, p.run, part)"""
+
+
+@query(STRUCTURED_SQL + """ SELECT doc_id, source || '_' || page || '_' || chunk_index || '_' || substr(md5(content), 1, 8) AS id, CAST(page AS INT) AS page, chunk_index,
+  md5(content) AS content, heading_level FROM merged""")
 def chunk_structured(spark, folder):
     rows = ch.chunk_structured(styled_lines(spark, folder), 400, 60)
     return rows.select("doc_id", "id", "page", "chunk_index", F.md5(F.encode("content", "UTF-8")).alias("content"), "heading_level")
