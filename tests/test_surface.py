@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import sql, text as tx
-from tidemark.operators.chunking import packed_paragraphs
+from tidemark.operators.chunking import packed_paragraphs, packed_sentences
 from tidemark.toolset import TOOLS
 
 
@@ -26,6 +26,12 @@ def test_sql_chunks_equal_the_column_form(spark):
     got = spark.sql("SELECT doc_id, c.chunk_index, c.content FROM surface_docs, LATERAL chunk_text(text, 12, 3) c")
     want = docs.select("doc_id", F.posexplode(packed_paragraphs("text", 12, 3)).alias("chunk_index", "content"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    texts = ["One! Two two? Three; four", "short", "", "。" * 30, "no mark at all but long " * 4 + "! end "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    docs.createOrReplaceTempView("surface_docs")
+    got = spark.sql("SELECT doc_id, c.chunk_index, c.content FROM surface_docs, LATERAL pack_sentences(text, 12, 3) c")
+    want = docs.select("doc_id", F.posexplode(packed_sentences("text", 12, 3)).alias("chunk_index", "content"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_tools(spark):

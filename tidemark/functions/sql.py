@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tidemark import vocab
+
 STRIP = r"regexp_replace({}, '(?U)^\\s+|\\s+\\z', '')"
 
 # name, signature, body; all of them are SQL, so they run inside the JVM
@@ -21,21 +23,33 @@ FUNCTIONS = (
     ("duration_years", "start_at TIMESTAMP, end_at TIMESTAMP", "DOUBLE", "datediff(end_at, start_at) / 365.25D"),
 )
 
-CHUNKS = f"""posexplode(aggregate(
-  filter(transform(split(text, '\\n'), x -> {STRIP.format('x')}), x -> x <> ''),
-  named_struct('done', cast(array() AS ARRAY<STRING>), 'now', ''),
+
+
+def _packed(pieces: str, glue: str) -> str:
+    """Greedy packing of an array of strings, by the arguments ``size`` and ``overlap``."""
+    full = "acc.now <> '' AND length(acc.now) + length(p) > size"
+    return f"""aggregate({pieces}, named_struct('done', cast(array() AS ARRAY<STRING>), 'now', ''),
   (acc, p) -> named_struct(
-    'done', CASE WHEN acc.now <> '' AND length(acc.now) + length(p) > size THEN concat(acc.done, array(acc.now)) ELSE acc.done END,
-    'now', CASE WHEN acc.now <> '' AND length(acc.now) + length(p) > size
-                THEN concat(CASE WHEN overlap > 0 THEN substring(acc.now, -overlap, overlap) ELSE '' END, p)
-                WHEN acc.now = '' THEN p ELSE concat(acc.now, '\\n', p) END),
-  acc -> CASE WHEN acc.now <> '' THEN concat(acc.done, array(acc.now)) ELSE acc.done END))"""
+    'done', CASE WHEN {full} THEN concat(acc.done, array(acc.now)) ELSE acc.done END,
+    'now', CASE WHEN {full} THEN concat(CASE WHEN overlap > 0 THEN substring(acc.now, -overlap, overlap) ELSE '' END, p)
+                WHEN acc.now = '' THEN p ELSE concat(acc.now, {glue}, p) END),
+  acc -> CASE WHEN acc.now <> '' THEN concat(acc.done, array(acc.now)) ELSE acc.done END)"""
+
+
+PARAGRAPHS = f"filter(transform(split(text, '\\n'), x -> {STRIP.format('x')}), x -> x <> '')"
+SENTENCES = f"filter(split(text, '(?<=[{vocab.SENTENCE_MARKS}])'), x -> x <> '')"
+TABLES = (
+    ("chunk_text", _packed(PARAGRAPHS, "'\\n'")),
+    ("pack_sentences", f"CASE WHEN length(text) <= size THEN array(text) ELSE "
+                       f"filter(transform({_packed(SENTENCES, repr(''))}, x -> {STRIP.format('x')}), x -> x <> '') END"),
+)
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Create the scalar functions and the table function ``chunk_text(text, size, overlap)``."""
+    """Create the scalar functions and the table functions ``chunk_text`` and ``pack_sentences`` (text, size, overlap)."""
     for name, arguments, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(text STRING, size INT, overlap INT) "
-              f"RETURNS TABLE(chunk_index INT, content STRING) RETURN SELECT {CHUNKS} AS (chunk_index, content)")
-    return [name for name, *_ in FUNCTIONS] + ["chunk_text"]
+    for name, body in TABLES:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING, size INT, overlap INT) "
+                  f"RETURNS TABLE(chunk_index INT, content STRING) RETURN SELECT posexplode({body}) AS (chunk_index, content)")
+    return [name for name, *_ in (*FUNCTIONS, *TABLES)]

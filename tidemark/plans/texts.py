@@ -454,3 +454,21 @@ def sql_names(spark, folder):
     sql_functions.register(spark)
     return spark.sql("""SELECT doc_id, question_hash(text) AS hash, chunk_id(source, 1, 0, text) AS id, length(normalize_question(text)) AS letters,
       predicate_of(concat(source, ', x')) AS predicate FROM {docs}""", docs=i.table(spark, folder, "documents"))
+
+
+@query(f"""WITH RECURSIVE {SENTENCES_SQL}, {fold_sql('pieces', "''", 300, 40)}
+  SELECT doc_id, md5({strip_sql('content')}) AS content FROM chunks WHERE {strip_sql('content')} <> ''
+  UNION ALL SELECT doc_id, md5(text) FROM documents WHERE length(text) <= 300""")
+def sql_pack_sentences(spark, folder):
+    """The table function for sentences in a lateral join."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT doc_id, md5(c.content) AS content FROM {docs}, LATERAL pack_sentences(text, 300, 40) c",
+                     docs=i.table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query(CHUNKS_SQL + " SELECT doc_id, chunk_index, md5(content) AS content FROM chunks")
+def sql_chunk_text(spark, folder):
+    """The table function for paragraphs in a lateral join."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT doc_id, c.chunk_index, md5(c.content) AS content FROM {docs}, LATERAL chunk_text(text, 700, 80) c",
+                     docs=i.table(spark, folder, "documents").select("doc_id", "text"))
