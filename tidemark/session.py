@@ -31,18 +31,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+#: folders of local sessions that name none, by application
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, below the one that ``spark.checkpoint.dir`` names and all
     executors share. Where the session runs in one process and names none, below its warehouse; that folder is removed
     when the process ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _own.get(application)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        # the setting can't be changed in a running session, so the folder is remembered here
         shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", shared)
+        _own[application] = shared
         atexit.register(shutil.rmtree, urlparse(shared).path, ignore_errors=True)
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{shared.rstrip('/')}/{application}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
