@@ -99,6 +99,36 @@ def test_held_out_toxicity(spark, index):
     assert not [r for r in found if r.predicted and not r.toxic][3:]
 
 
+def test_held_out_toxicity_by_language(spark):
+    docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")
+    index = toxicity.fit(docs, labels, keep=~F.expr(HELD))
+    known = docs.select("doc_id", "lang").join(labels, "doc_id")
+    found = toxicity.score(docs, index).join(known, "doc_id").where(HELD).collect()
+    for lang in sorted({r.lang for r in found}):
+        toxic = [r.predicted for r in found if r.lang == lang and r.toxic]
+        clean = [r.predicted for r in found if r.lang == lang and not r.toxic]
+        assert np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02, lang
+    assert np.mean([r.predicted for r in found if not r.toxic]) <= 0.01
+    assert all(r.evidence for r in found)  # every text shares words with some example
+
+
+def test_every_word_of_an_example_is_a_term(spark):
+    rows = [(1, "Vile Überwort once", "k"), (2, "calm rareword here", "k"), (3, None, "k"), (4, "calm rareword here", "k")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    index = toxicity.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    assert {"vile", "überwort", "überw*", "once", "calm", "rareword", "here"} <= set(index.vocabulary)
+    assert index.ids == [2, 1] or index.ids == [1, 2]  # equal texts are one example, and the empty one holds no posting
+    assert (index.gain > 0).all()
+
+
+def test_clashing_column_names(spark):
+    docs = spark.createDataFrame([(1, "vile words", 0.5, 1, "t")], "doc_id long, text string, score double, label int, `a.b` string")
+    index = toxicity.build_index([(1, 1, {0: 1}), (2, 0, {1: 1})], {"vile": 0, "calm": 1}, k=1)
+    assert toxicity.score(docs, index).columns == ["doc_id", "score", "predicted", "evidence"]
+    kept = toxicity.drop_toxic(docs, index, threshold=2.0)
+    assert kept.columns == docs.columns and kept.collect() == docs.collect()
+
+
 def random_index(seed, n=400, terms=60):
     rng = np.random.default_rng(seed)
     vocabulary = {f"t{chr(97 + i // 26)}{chr(97 + i % 26)}": i for i in range(terms)}

@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-At most ``limit`` labelled documents are the examples. Their words (runs of letters, lower case) and word
-beginnings that tell the labels apart by a chi-squared test are the terms; a vector holds (1 + ln tf) * idf over them and has length one. The index
-keeps, per term, the examples' weights and the largest weight in each block of ``block`` examples. A document's blocks
-are visited by their upper bound (the sum over its terms of weight times block maximum) until no block left can reach the
-k-th best cosine, so the k nearest are exact. Their votes, weighted by distance, are mapped to chances by isotonic
-regression on the examples themselves, each left out of its own vote.
-
+At most ``limit`` labelled documents are the examples, equal texts as one. Their terms are all their words (runs of letters, lower case)
+and the beginnings of longer words. A vector holds (1 + ln tf) * idf * gain over all terms that any example has and has length one; the
+gain, between ``least_gain`` and 1 + ``least_gain``, grows with the chi-squared statistic of term and label, so that words that tell the
+labels apart weigh most and no word is left out. The index keeps, per term, the examples' weights and the largest weight in each block of
+``block`` examples that holds the term. A document's blocks are visited by their upper bound (the sum over its terms of weight times
+block maximum) until no block left can reach the k-th best cosine, so the k nearest are exact. Their votes, weighted by distance, are
+mapped to chances by isotonic regression on the examples themselves, each left out of its own vote.
+
+A document that is an example itself meets itself at cosine 1; only documents held out of the fit measure the method.
 Documents without a term (null and empty texts too) get the share of label 1 among examples without one. Equal cosines go to
 the smaller example position. Without both labels every score is the examples' share of label 1, or 0 without examples.
 Null ids pass through, repeated rows are scored each. Only the id and text columns are read, so others may have any name.
@@ -16,65 +18,71 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import labelled_sample, per_text
-from tidemark.session import written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: the first so many letters of a longer word are terms too, for inflected and compound words
-HEADS = (5, 6, 7)
+HEADS = (4, 5, 6)
+
+
+def all_terms(text: str | None) -> Counter:
+    """Term to frequency in the whole text."""
+    words = Counter(WORD.findall((text or "").lower()))
+    found = Counter(words)
+    for word, n in words.items():
+        for letters in HEADS:
+            if len(word) > letters:
+                found[word[:letters] + "*"] += n
+    return found
 
 
 def term_counts(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
     """Term number to frequency in the whole text."""
-    found: Counter = Counter()
-    for word in WORD.findall((text or "").lower()):
-        for term in terms_of(word):
-            if term in vocabulary:
-                found[vocabulary[term]] += 1
-    return dict(sorted(found.items()))
+    return dict(sorted((vocabulary[t], n) for t, n in all_terms(text).items() if t in vocabulary))
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in HEADS if len(word) > n)]
+def least_shingle(text: str | None) -> int:
+    """The least hash of five words in a row: near copies share it, other texts hardly ever do."""
+    words = (text or "").lower().split()
+    return min((zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
 
 
-def _distinct_terms(texts: list) -> list[pa.Array]:
-    words = [set(WORD.findall((t or "").lower())) for t in texts]
-    return [pa.array([list({t for w in ws for t in terms_of(w)}) for ws in words], pa.list_(pa.string()))]
+def _described(texts: list) -> list[pa.Array]:
+    counts = [all_terms(t) for t in texts]
+    return [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
+            pa.array([least_shingle(t) for t in texts], pa.int64())]
 
 
-def _places(chosen: set[str]):
-    """The neighbours of each chosen term, wherever it is found."""
-    def make(texts: list) -> list[pa.Array]:
-        found = []
-        for text in texts:
-            words = ["", *WORD.findall((text or "").lower()), ""]
-            found.append([{"term": t, "around": f"{before} {after}"} for before, w, after in zip(words, words[1:], words[2:])
-                          for t in terms_of(w) if t in chosen])
-        return [pa.array(found, pa.list_(pa.struct([("term", pa.string()), ("around", pa.string())])))]
-    return make
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges in a row, and how many each range has."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
 @dataclass
 class Index:
-    """Examples by position; ``start``/``where``/``weight``: the postings by term; ``most``: (terms, blocks) maxima."""
+    """Examples by position. The entries of term t are ``first[t]`` to ``first[t + 1]``, one per block that holds t, with the block, the
+    largest weight there (``most``) and the place of its postings: ``start[e]`` to ``start[e + 1]`` in ``where`` and ``weight``."""
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    gain: np.ndarray        # by term: idf times the gain by the labels
     ids: list
     toxic: np.ndarray
+    first: np.ndarray
+    at_block: np.ndarray
+    most: np.ndarray
     start: np.ndarray
     where: np.ndarray
     weight: np.ndarray
-    most: np.ndarray
-    block: int
     k: int
     steps: np.ndarray       # isotonic: votes up to steps[i] have the chance levels[i]
     levels: np.ndarray
@@ -82,33 +90,20 @@ class Index:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(counts, dtype=np.int64, count=len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts)))) * self.idf[terms]
-        return terms, weights / max(math.sqrt((weights * weights).sum()), 1e-12)
-
-    def _scores(self, terms, weights, blocks) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of the examples in ``blocks`` (ascending) that share a term: positions and scores."""
-        total = np.zeros(len(blocks) * self.block)
-        lows, highs = blocks * self.block, (blocks + 1) * self.block
-        for t, w in zip(terms, weights):
-            a, b = self.start[t], self.start[t + 1]
-            where, weight = self.where[a:b], self.weight[a:b]
-            if len(blocks) < self.most.shape[1]:
-                cuts = np.searchsorted(where, lows), np.searchsorted(where, highs)
-                inside = np.concatenate([np.arange(x, y) for x, y in zip(*cuts)])
-                where, weight = where[inside], weight[inside]
-            slot = np.searchsorted(blocks, where // self.block)
-            total[slot * self.block + where % self.block] += w * weight
-        hit = np.flatnonzero(total > 0)
-        return blocks[hit // self.block] * self.block + hit % self.block, total[hit]
+        return terms, weigh(terms, np.fromiter(counts.values(), dtype=float, count=len(counts)), self.gain)
 
     def nearest(self, counts: dict[int, int], leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples that share a term, nearest first."""
-        terms, weights = self.vector(counts)
-        bound = weights @ self.most[terms]
+        return self.near(*self.vector(counts), leave_out)
+
+    def near(self, terms: np.ndarray, weights: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        entries, n = _ranges(self.first[terms], self.first[terms + 1])
+        mine, blocks = np.repeat(weights, n), self.at_block[entries]
+        bound = np.bincount(blocks, mine * self.most[entries])
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at, score = np.zeros(0, dtype=np.int64), np.zeros(0)
-        seen, step = 0, max(1, -(-2 * self.k // self.block))
+        seen, step = 0, 2
         while seen < len(order):
             # a rounding error may lift a cosine above its bound
             least = np.partition(score, -self.k)[-self.k] if len(score) >= self.k else 0.0
@@ -116,12 +111,18 @@ class Index:
             left = left[bound[left] >= least - 1e-9][:step]
             if not len(left):
                 break
-            more, cosine = self._scores(terms, weights, np.sort(left))
-            keep = more != leave_out
-            at, score = np.concatenate([at, more[keep]]), np.concatenate([score, cosine[keep]])
+            chosen = np.zeros(len(bound), dtype=bool)
+            chosen[left] = True
+            inside = chosen[blocks]
+            postings, n = _ranges(self.start[entries[inside]], self.start[entries[inside] + 1])
+            total = np.bincount(self.where[postings], np.repeat(mine[inside], n) * self.weight[postings])
+            if 0 <= leave_out < len(total):
+                total[leave_out] = 0
+            more = np.flatnonzero(total > 0)
+            at, score = np.concatenate([at, more]), np.concatenate([score, total[more]])
             best = np.lexsort((at, -np.round(score, 12)))[:self.k]
             at, score = at[best], score[best]
-            seen, step = seen + len(left), step * 4
+            seen, step = seen + len(left), step * 8
         return at, score
 
     def vote(self, at: np.ndarray, score: np.ndarray) -> float:
@@ -131,19 +132,19 @@ class Index:
     def chance(self, vote: float) -> float:
         return float(self.levels[min(np.searchsorted(self.steps, vote), len(self.levels) - 1)])
 
-    def score(self, text: str | None, cache: dict) -> tuple[float, tuple]:
+    def score(self, text: str | None) -> tuple[float, tuple]:
         """The calibrated chance and the three nearest examples as (id, cosine, label)."""
         counts = term_counts(text, self.vocabulary)
         if not counts:
             return self.without, ()
-        key = tuple(counts.items())
-        if key not in cache:
-            if len(cache) > 50_000:
-                cache.clear()
-            at, cosine = self.nearest(counts)
-            evidence = tuple((self.ids[a], round(float(c), 6), int(self.toxic[a])) for a, c in zip(at[:3], cosine))
-            cache[key] = (self.chance(self.vote(at, cosine)), evidence)
-        return cache[key]
+        at, cosine = self.nearest(counts)
+        evidence = tuple((self.ids[a], round(float(c), 6), int(self.toxic[a])) for a, c in zip(at[:3], cosine))
+        return self.chance(self.vote(at, cosine)), evidence
+
+
+def weigh(terms: np.ndarray, freqs: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    weights = (1 + np.log(freqs)) * gain[terms]
+    return weights / max(math.sqrt((weights * weights).sum()), 1e-12)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -166,83 +167,85 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np
     return np.array([v for v, _, _ in merged]), np.maximum.accumulate(levels)
 
 
-def build_index(examples: list[tuple], vocabulary: dict[str, int], block: int = 64, k: int = 15) -> Index:
-    """``examples``: (id, label, {term: frequency}). They are put next to examples with the same rarest term, so that
-    block maxima are tight."""
-    plain = [label for _, label, counts in examples if not counts]
-    every = [label for _, label, _ in examples]
-    share = float(np.mean(every)) if every else 0.0
-    without = (sum(plain) + share) / (len(plain) + 1) if every else 0.0
-    held = [e for e in examples if e[2]]
-    df = Counter(t for _, _, counts in held for t in counts)
-    idf = np.array([math.log((1 + len(every)) / (1 + df[t])) + 1 for t in range(len(vocabulary))])
-    held.sort(key=lambda e: (min(e[2], key=lambda t: (df[t], t)), sorted(e[2]), str(e[0])))
-    index = Index(vocabulary, idf, [e[0] for e in held], np.array([e[1] for e in held], dtype=float), np.zeros(1), np.zeros(0),
-                  np.zeros(0), np.zeros((0, 0)), block, k, np.array([1.0]), np.array([share]), without)
-    vectors = [index.vector(e[2]) for e in held]
-    term = np.concatenate([v[0] for v in vectors]) if held else np.zeros(0, dtype=np.int64)
-    weight = np.concatenate([v[1] for v in vectors]) if held else np.zeros(0)
-    where = np.repeat(np.arange(len(held)), [len(v[0]) for v in vectors]) if held else np.zeros(0, dtype=np.int64)
-    order = np.lexsort((where, term))
-    index.where, index.weight = where[order], weight[order]
-    index.start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-    index.most = np.zeros((len(vocabulary), -(-len(held) // block)))
-    np.maximum.at(index.most, (term, where // block), weight)
-    if held and 0 < share < 1:
+def build_index(examples: list[tuple], vocabulary: dict[str, int], block: int = 64, k: int = 25) -> Index:
+    """``examples``: (id, label, {term number: frequency})."""
+    rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+    terms = np.fromiter((t for e in examples for t in e[2]), dtype=np.int64, count=len(rows))
+    freqs = np.fromiter((n for e in examples for n in e[2].values()), dtype=float, count=len(rows))
+    return _index([e[0] for e in examples], np.array([e[1] for e in examples], dtype=float), rows, terms, freqs,
+                  np.arange(len(examples)), vocabulary, block, k)
+
+
+def _index(ids: list, toxic: np.ndarray, rows: np.ndarray, terms: np.ndarray, freqs: np.ndarray, kin: np.ndarray,
+           vocabulary: dict[str, int], block: int, k: int, least_gain: float = 0.05, half_gain: float = 3.0) -> Index:
+    """The index over postings (example, term, frequency) in the examples' order. Examples of one ``kin`` count as one in the statistics
+    of words: near copies would make all their words look like signs of their label."""
+    size = len(vocabulary)
+    share = float(toxic.mean()) if len(ids) else 0.0
+    held = np.bincount(rows, minlength=len(ids)) > 0
+    without = float((toxic[~held].sum() + share) / ((~held).sum() + 1)) if len(ids) else 0.0
+    _, group, members = np.unique(kin, return_inverse=True, return_counts=True)
+    part = 1 / members[group]
+    n1, n0 = float((part * toxic).sum()), float((part * (1 - toxic)).sum())
+    a = np.bincount(terms, (part * toxic)[rows], minlength=size)
+    b = np.bincount(terms, (part * (1 - toxic))[rows], minlength=size)
+    n, df = n1 + n0, a + b
+    # chi-squared with Yates' correction, as |z|
+    apart = np.maximum(np.abs(a * (n0 - b) - b * (n1 - a)) - n / 2, 0) * math.sqrt(n / max(n1 * n0, 1e-9))
+    z = apart / np.sqrt(np.maximum(df * (n - df), 1e-9)) if n1 and n0 else np.zeros(size)
+    gain = (np.log((1 + n) / (1 + df)) + 1) * (least_gain + z / (z + half_gain))
+
+    # neighbours share their commonest term (a language's) and the one that tells most, so that block maxima are tight
+    ends = np.searchsorted(rows, np.arange(len(ids) + 1))
+    keys = {}
+    for i in np.flatnonzero(held):
+        mine = terms[ends[i]:ends[i + 1]]
+        keys[int(i)] = int(mine[np.argmax(df[mine])]), int(mine[np.argmax(z[mine])]), str(ids[i])
+    order = np.array(sorted(keys, key=keys.get), dtype=np.int64)
+    vectors = [(terms[ends[i]:ends[i + 1]], weigh(terms[ends[i]:ends[i + 1]], freqs[ends[i]:ends[i + 1]], gain)) for i in order]
+    term = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in vectors)])
+    weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+    where = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors])
+    sort = np.lexsort((where, term))
+    term, weight, where = term[sort], weight[sort], where[sort]
+    new = np.ones(len(term), dtype=bool)
+    new[1:] = (term[1:] != term[:-1]) | (where[1:] // block != where[:-1] // block)
+    start = np.flatnonzero(new)
+    index = Index(vocabulary, gain, [ids[i] for i in order], toxic[order], np.searchsorted(term[start], np.arange(size + 1)),
+                  (where[start] // block).astype(np.int32), np.maximum.reduceat(weight, start) if len(start) else np.zeros(0),
+                  np.append(start, len(term)), where.astype(np.int32), weight, k, np.array([1.0]), np.array([share]), without)
+    if 0 < share < 1:
         votes = []
-        for i, e in enumerate(held):
-            at, cosine = index.nearest(e[2], leave_out=i)
+        for i, (mine, weights) in enumerate(vectors):
+            at, cosine = index.near(mine, weights, leave_out=i)
             if len(at):
-                votes.append((index.vote(at, cosine), e[1]))
+                votes.append((index.vote(at, cosine), index.toxic[i]))
         if votes:
             x, y = map(np.array, zip(*votes))
             index.steps, index.levels = isotonic(x, y, share)
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int = 20_000, keep=None,
-        id_col: str = "doc_id", text_col: str = "text", max_terms: int = 2_000, least_docs: int = 5,
-        least_chi2: float = 40.0, least_places: int = 12, k: int = 15) -> Index:
-    """The index over at most ``limit`` labelled documents for which ``keep`` (a condition on doc_id) holds.
-
-    Terms occur in ``least_docs`` different texts at least and between ``least_places`` (and a fortieth of the texts with
-    label 1) different pairs of words, pass ``least_chi2`` and are the ``max_terms`` best. They are counted on the executors; the driver gets the terms and the examples' term frequencies."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int = 3_000, keep=None,
+        id_col: str = "doc_id", text_col: str = "text", block: int = 64, k: int = 25) -> Index:
+    """The index over at most ``limit`` labelled documents for which ``keep`` (a condition on doc_id) holds. Their whole texts are taken
+    apart on the executors; the driver gets the terms and frequencies of the examples."""
     sample = labelled_sample(docs, labels, label_col, limit, id_col, text_col, keep)
-    # exact copies are one piece of evidence about words
-    copies = (sample.groupBy(F.xxhash64("text").alias("copy"))
-              .agg(F.min("doc_id").alias("doc_id"), F.round(F.avg("label")).cast("int").alias("label")))
-    copies = written(copies, "copies")
-    totals = {int(r["label"]): r["n"] for r in copies.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    vocabulary: dict[str, int] = {}
-    if n1 and n0:
-        single = sample.select("doc_id", "text").join(F.broadcast(copies.select("doc_id", "label")), "doc_id")
-        keyed = single.select(F.struct("doc_id", "label").alias("key"), "text")
-        terms = per_text(keyed, "key", "text", "terms array<string>", _distinct_terms)
-        a, b = F.col("a"), F.col("b")
-        counted = (terms.select("doc_id.label", F.explode("terms").alias("term")).groupBy("term")
-                   .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")))
-        with_it, n = a + b, F.lit(n1 + n0)
-        chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (with_it * (n - with_it + F.lit(1e-9)) * n1 * n0)
-        best = (counted.where(with_it >= least_docs).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-                .orderBy(F.desc("chi2"), "term").limit(max_terms))
-        chosen = {r["term"] for r in best.select("term").collect()}
-        # near copies repeat a word in the same surroundings; only terms found in many surroundings stand for themselves
-        places = (per_text(keyed, "key", "text", "places array<struct<term: string, around: string>>", _places(chosen))
-                  .select(F.explode("places").alias("p")).select("p.*").distinct().groupBy("term").count()
-                  .where(F.col("count") >= max(least_places, n1 / 40)).limit(max_terms))
-        vocabulary = {term: i for i, term in enumerate(sorted(r["term"] for r in places.collect()))}
-
-    def make(found):
-        counts = [term_counts(t, vocabulary) for t in found]
-        return [pa.array([list(c) for c in counts], pa.list_(pa.int32())),
-                pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-
-    keyed = sample.select(F.struct("doc_id", "label").alias("key"), "text")
-    rows = (per_text(keyed, "key", "text", "terms array<int>, freqs array<int>", make).limit(limit)
-            .select("doc_id.doc_id", "doc_id.label", "terms", "freqs").collect())
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["terms"]))
-    return build_index([(r["doc_id"], r["label"], dict(zip(r["terms"], r["freqs"]))) for r in rows], vocabulary, k=k)
+    # equal texts are one example
+    single = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.round(F.avg("label")).cast("int").alias("label"))
+    keyed = single.select(F.struct("doc_id", "label").alias("key"), "text")
+    found = (per_text(keyed, "key", "text", "terms array<string>, freqs array<int>, kin long", _described).limit(limit)
+             .select("doc_id.doc_id", "doc_id.label", "terms", "freqs", "kin").toArrow().combine_chunks())
+    ids = found["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), found["kin"][i].as_py()))
+    found = found.take(pa.array(order, pa.int64())).combine_chunks()
+    rows = np.repeat(np.arange(len(ids)), pc.list_value_length(found["terms"]).to_numpy().astype(np.int64))
+    terms, freqs = pc.list_flatten(found["terms"]).combine_chunks(), pc.list_flatten(found["freqs"]).to_numpy().astype(float)
+    vocabulary = {term: i for i, term in enumerate(sorted(pc.unique(terms).to_pylist()))}
+    numbers = pc.index_in(terms, pa.array(list(vocabulary), terms.type)).to_numpy(zero_copy_only=False).astype(np.int64)
+    sort = np.lexsort((numbers, rows))
+    return _index([ids[i] for i in order], found["label"].to_numpy().astype(float), rows, numbers[sort], freqs[sort],
+                  found["kin"].to_numpy(), vocabulary, block, k)
 
 
 def score(docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,8 +254,9 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def make(texts):
-        held, cache = shared.value, shared.__dict__.setdefault("_scored", {})
-        found = [held.score(t, cache) for t in texts]
+        held = shared.value
+        scored = {t: held.score(t) for t in set(texts)}
+        found = [scored[t] for t in texts]
         evidence = [[{"example_id": str(i), "cosine": c, "label": y} for i, c, y in e] for _, e in found]
         kind = pa.list_(pa.struct([("example_id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
         scores = [s for s, _ in found]
@@ -264,5 +268,5 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "
 
 def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic, with all their columns and without a shuffle."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"))
+    whole = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
     return score(whole, index, threshold, "doc").where("predicted = 0").select("doc_id.*")
