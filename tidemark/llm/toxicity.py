@@ -20,7 +20,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,19 @@ WORD = re.compile(r"[^\W\d_]+")
 HEADS = (4, 5, 6)
 
 
+def terms_of(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in HEADS if len(word) > n)]
+
+
 def all_terms(text: str | None) -> Counter:
     """Term to frequency in the whole text."""
-    words = Counter(WORD.findall((text or "").lower()))
-    found = Counter(words)
-    for word, n in words.items():
-        for letters in HEADS:
-            if len(word) > letters:
-                found[word[:letters] + "*"] += n
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        for term in terms_of(word):
+            found[term] += n
     return found
 
 
-def term_counts(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
-    """Term number to frequency in the whole text."""
-    return dict(sorted((vocabulary[t], n) for t, n in all_terms(text).items() if t in vocabulary))
-
-
 def least_shingle(text: str | None) -> int:
     """The least hash of five words in a row: near copies share it, other texts hardly ever do."""
     words = (text or "").lower().split()
@@ -71,7 +69,8 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Index:
-    """Examples by position. The entries of term t are ``first[t]`` to ``first[t + 1]``, one per block that holds t, with the block, the
+    """Examples by position. Terms that many examples hold have a row in ``common`` with every example's weight (``row_of`` the term, -1
+    for others); many documents meet it by one matrix product. The entries of any other term t are ``first[t]`` to ``first[t + 1]``, one per block that holds t, with the block, the
     largest weight there (``most``) and the place of its postings: ``start[e]`` to ``start[e + 1]`` in ``where`` and ``weight``."""
     vocabulary: dict[str, int]
     gain: np.ndarray        # by term: idf times the gain by the labels
@@ -83,10 +82,35 @@ class Index:
     start: np.ndarray
     where: np.ndarray
     weight: np.ndarray
+    row_of: np.ndarray
+    common: np.ndarray
+    block: int
     k: int
     steps: np.ndarray       # isotonic: votes up to steps[i] have the chance levels[i]
     levels: np.ndarray
     without: float          # the chance without any term
+    _known: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        """What travels to the workers: of ``common`` only its weights above 0."""
+        flat = np.flatnonzero(self.common)
+        return self.__dict__ | {"common": (self.common.shape, flat.astype(np.int32 if self.common.size < 2**31 else np.int64), self.common.reshape(-1)[flat]), "_known": {}}
+
+    def __setstate__(self, state):
+        shape, flat, weights = state["common"]
+        self.__dict__.update(state, common=np.zeros(shape))
+        self.common.reshape(-1)[flat] = weights
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and frequencies of the terms of the whole text."""
+        words = WORD.findall((text or "").lower())
+        if len(self._known) > 200_000:
+            self._known.clear()
+        for word in set(words):
+            if word not in self._known:
+                self._known[word] = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
+        numbers = np.array(list(chain.from_iterable(map(self._known.__getitem__, words))), dtype=np.int64)
+        return np.unique(numbers, return_counts=True)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(counts, dtype=np.int64, count=len(counts))
@@ -94,12 +118,27 @@ class Index:
 
     def nearest(self, counts: dict[int, int], leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples that share a term, nearest first."""
-        return self.near(*self.vector(counts), leave_out)
-
-    def near(self, terms: np.ndarray, weights: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.near_all([self.vector(counts)], [leave_out]))
+
+    def near_all(self, vectors: list[tuple], leave_out: list[int] | None = None, together: int = 64):
+        """The same for each vector; ``together`` of them meet the common terms at once."""
+        for low in range(0, len(vectors), together):
+            part = vectors[low:low + together]
+            mine = np.zeros((len(part), len(self.common)))
+            for i, (terms, weights) in enumerate(part):
+                row = self.row_of[terms]
+                mine[i, row[row >= 0]] = weights[row >= 0]
+            for i, (base, (terms, weights)) in enumerate(zip(mine @ self.common, part)):
+                yield self._near(terms, weights, base, leave_out[low + i] if leave_out else -1)
+
+    def _near(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, leave_out: int) -> tuple[np.ndarray, np.ndarray]:
+        """``base``: every example's share of the cosine by common terms."""
+        if not len(base):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
         entries, n = _ranges(self.first[terms], self.first[terms + 1])
         mine, blocks = np.repeat(weights, n), self.at_block[entries]
-        bound = np.bincount(blocks, mine * self.most[entries])
+        edges = np.arange(0, len(base), self.block)
+        bound = np.maximum.reduceat(base, edges) + np.bincount(blocks, mine * self.most[entries], minlength=len(edges))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at, score = np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -115,10 +154,10 @@ class Index:
             chosen[left] = True
             inside = chosen[blocks]
             postings, n = _ranges(self.start[entries[inside]], self.start[entries[inside] + 1])
-            total = np.bincount(self.where[postings], np.repeat(mine[inside], n) * self.weight[postings])
-            if 0 <= leave_out < len(total):
+            total = base + np.bincount(self.where[postings], np.repeat(mine[inside], n) * self.weight[postings], minlength=len(base))
+            if leave_out >= 0:
                 total[leave_out] = 0
-            more = np.flatnonzero(total > 0)
+            more = np.flatnonzero((total > 0) & np.repeat(chosen, self.block)[:len(base)])
             at, score = np.concatenate([at, more]), np.concatenate([score, total[more]])
             best = np.lexsort((at, -np.round(score, 12)))[:self.k]
             at, score = at[best], score[best]
@@ -132,14 +171,19 @@ class Index:
     def chance(self, vote: float) -> float:
         return float(self.levels[min(np.searchsorted(self.steps, vote), len(self.levels) - 1)])
 
-    def score(self, text: str | None) -> tuple[float, tuple]:
-        """The calibrated chance and the three nearest examples as (id, cosine, label)."""
-        counts = term_counts(text, self.vocabulary)
-        if not counts:
-            return self.without, ()
-        at, cosine = self.nearest(counts)
-        evidence = tuple((self.ids[a], round(float(c), 6), int(self.toxic[a])) for a, c in zip(at[:3], cosine))
-        return self.chance(self.vote(at, cosine)), evidence
+    def scores(self, texts: list) -> list[tuple[float, tuple]]:
+        """For each text the calibrated chance and the three nearest examples as (id, cosine, label)."""
+        counts = [self.counts(t) for t in texts]
+        near = self.near_all([(terms, weigh(terms, n, self.gain)) for terms, n in counts if len(terms)])
+        found = []
+        for terms, _ in counts:
+            if not len(terms):
+                found.append((self.without, ()))
+                continue
+            at, cosine = next(near)
+            evidence = tuple((self.ids[a], round(float(x), 6), int(self.toxic[a])) for a, x in zip(at[:3], cosine))
+            found.append((self.chance(self.vote(at, cosine)), evidence))
+        return found
 
 
 def weigh(terms: np.ndarray, freqs: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -208,16 +252,23 @@ def _index(ids: list, toxic: np.ndarray, rows: np.ndarray, terms: np.ndarray, fr
     where = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors])
     sort = np.lexsort((where, term))
     term, weight, where = term[sort], weight[sort], where[sort]
+    held_by = np.bincount(term, minlength=size)
+    many = np.flatnonzero(held_by * 30 > len(order))  # for these a row of all weights takes less work than postings
+    row_of = np.full(size, -1, dtype=np.int64)
+    row_of[many] = np.arange(len(many))
+    common = np.zeros((len(many), len(order)))
+    inside = row_of[term] >= 0
+    common[row_of[term[inside]], where[inside]] = weight[inside]
+    term, weight, where = term[~inside], weight[~inside], where[~inside]
     new = np.ones(len(term), dtype=bool)
     new[1:] = (term[1:] != term[:-1]) | (where[1:] // block != where[:-1] // block)
     start = np.flatnonzero(new)
     index = Index(vocabulary, gain, [ids[i] for i in order], toxic[order], np.searchsorted(term[start], np.arange(size + 1)),
                   (where[start] // block).astype(np.int32), np.maximum.reduceat(weight, start) if len(start) else np.zeros(0),
-                  np.append(start, len(term)), where.astype(np.int32), weight, k, np.array([1.0]), np.array([share]), without)
+                  np.append(start, len(term)), where.astype(np.int32), weight, row_of, common, block, k, np.array([1.0]), np.array([share]), without)
     if 0 < share < 1:
         votes = []
-        for i, (mine, weights) in enumerate(vectors):
-            at, cosine = index.near(mine, weights, leave_out=i)
+        for i, (at, cosine) in enumerate(index.near_all(vectors, list(range(len(vectors))))):
             if len(at):
                 votes.append((index.vote(at, cosine), index.toxic[i]))
         if votes:
@@ -255,7 +306,8 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "
 
     def make(texts):
         held = shared.value
-        scored = {t: held.score(t) for t in set(texts)}
+        single = list(dict.fromkeys(texts))
+        scored = dict(zip(single, held.scores(single)))
         found = [scored[t] for t in texts]
         evidence = [[{"example_id": str(i), "cosine": c, "label": y} for i, c, y in e] for _, e in found]
         kind = pa.list_(pa.struct([("example_id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
