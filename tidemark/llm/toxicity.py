@@ -142,7 +142,7 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at, score = np.zeros(0, dtype=np.int64), np.zeros(0)
-        seen, step = 0, 2
+        seen, step = 0, 6
         while seen < len(order):
             # a rounding error may lift a cosine above its bound
             least = np.partition(score, -self.k)[-self.k] if len(score) >= self.k else 0.0
@@ -159,9 +159,12 @@ class Index:
                 total[leave_out] = 0
             more = np.flatnonzero((total > 0) & np.repeat(chosen, self.block)[:len(base)])
             at, score = np.concatenate([at, more]), np.concatenate([score, total[more]])
+            if len(score) > self.k:
+                high = score >= np.partition(score, -self.k)[-self.k] - 1e-9
+                at, score = at[high], score[high]
             best = np.lexsort((at, -np.round(score, 12)))[:self.k]
             at, score = at[best], score[best]
-            seen, step = seen + len(left), step * 8
+            seen, step = seen + len(left), step * 16
         return at, score
 
     def vote(self, at: np.ndarray, score: np.ndarray) -> float:
