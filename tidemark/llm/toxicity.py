@@ -297,9 +297,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     terms, freqs = pc.list_flatten(found["terms"]).combine_chunks(), pc.list_flatten(found["freqs"]).to_numpy().astype(float)
     vocabulary = {term: i for i, term in enumerate(sorted(pc.unique(terms).to_pylist()))}
     numbers = pc.index_in(terms, pa.array(list(vocabulary), terms.type)).to_numpy(zero_copy_only=False).astype(np.int64)
+    toxic, kin = found["label"].to_numpy().astype(float), found["kin"].to_numpy().copy()
+    del found, terms  # the driver needs the strings only once
     sort = np.lexsort((numbers, rows))
-    return _index([ids[i] for i in order], found["label"].to_numpy().astype(float), rows, numbers[sort], freqs[sort],
-                  found["kin"].to_numpy(), vocabulary, block, k)
+    numbers, freqs = numbers[sort], freqs[sort]
+    del sort
+    return _index([ids[i] for i in order], toxic, rows, numbers, freqs, kin, vocabulary, block, k)
 
 
 def score(docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
