@@ -68,4 +68,4 @@ def test_run_is_the_stages(spark, stages):
 
 def test_every_operator_has_its_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
