@@ -269,5 +269,18 @@ def test_measure_rule_is_decided_before_the_point_is_tried(spark):
     assert more == {("杭州西站", "杭州西站枢纽", 0.85)}
 
 
+def test_links_are_distinct_without_being_grouped(spark):
+    from tidemark.operators import link
+    rows = [("产业升级", "PolicyMeasure", ""), ("P", "Point", "功能:数字产业"), ("P", "Point", "行政区:西湖区 | 功能:产业"), ("扩大城市", "PolicyGoal", ""),
+            ("2021年进入边界事件", "STTE_Event", ""), ("2021年城市边界", "Boundary", ""), ("2021年规划", "Policy", ""), ("2021年规划", "PolicyMeasure", ""),
+            ("地铁1号线", "Infrastructure", ""), ("西湖区", "District", ""), ("Q", "Point", "行政区:西湖区 | 用地:S（交通）"), ("Q", "Point", "西湖区 | 用地:S（交通）")]
+    links = link.link_graph(spark.createDataFrame(rows + rows, "name string, entity_type string, description string"))
+    got = sorted((r.src, r.tgt, r.predicate) for r in links.collect())
+    assert got == sorted({("产业升级", "P", "TARGETS"), ("扩大城市", "2021年进入边界事件", "DRIVES"), ("2021年规划", "2021年城市边界", "APPLIES_TO"),
+                          ("地铁1号线", "Q", "LOCATED_IN"), ("西湖区", "Q", "GOVERNS"), ("西湖区", "P", "GOVERNS")})
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union"), plan[:200]
+
+
 def test_missing_years(spark, city):
     assert [r.year for r in graph.missing_years(city[0], 2019, 2023).orderBy("year").collect()] == [2019, 2023]
