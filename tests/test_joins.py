@@ -98,3 +98,12 @@ def test_subgraphs_around_a_hub(spark, hub, least, monkeypatch):
     assert edges.columns == hub[1].columns and [(r["src"], r["tgt"]) for r in edges.collect()] == [("B1", "B0")]
     nodes, edges = g.search_subgraph(*hub, "P299")
     assert sorted(r["name"] for r in nodes.collect()) == ["H", "p299"] and edges.count() == 2
+
+
+def test_a_product_of_small_tables_is_dealt_over_the_cores(spark):
+    many = spark.range(1000).select(F.col("id").alias("a"), F.lit(1).alias("k"))
+    few = spark.range(50).select(F.col("id").alias("b"), F.lit(1).alias("k"))
+    pairs = tables.salted_join(many, few, ["k"], ["a"])
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 50_000 and pairs.distinct().count() == 50_000
+    assert len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 5_000
