@@ -1,5 +1,6 @@
 """Documents of a bounded number of items, whatever the size of a nation."""
 
+import hashlib
 import json
 from pathlib import Path
 from urllib.parse import urlparse
@@ -35,3 +36,14 @@ def test_texts_lie_in_hashed_folders(spark, monkeypatch):
     assert not compare(spark, connect(FOLDER), FOLDER, files.QUERIES["text_files"], files.ORACLES["text_files"])
     top = [p for p in Path(urlparse(paths[0]).path).iterdir() if p.is_dir()]
     assert 1 < len(top) <= files.FOLDERS
+
+
+def test_texts_share_files(spark, monkeypatch, tmp_path):
+    """Texts with any line ends, empty ones and pieces of the boundary come back whole from at most one file per folder."""
+    paths, folder = [], files._folder
+    monkeypatch.setattr(files, "_folder", lambda *a: paths.append(folder(*a)) or paths[-1])
+    texts = ["a\n", "", "\n\nb\r\nc\r", "\x1e", "7\n8\x1e\n", "x" * 200_000] * 100
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in files.QUERIES["text_files"](spark, str(tmp_path)).collect()}
+    assert got == {n: hashlib.md5(t.rstrip("\n").encode()).hexdigest() for n, t in enumerate(texts)}
+    assert len(list(Path(urlparse(paths[0]).path).rglob("part-*.txt"))) <= files.FOLDERS

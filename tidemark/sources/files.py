@@ -103,10 +103,11 @@ def read_policies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return docs.select("title", F.coalesce("abstract", F.lit("")).alias("abstract")), items("goals"), items("measures")
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, source, text) of every .txt file below the folder; unreadable files are skipped."""
+def read_documents(spark: SparkSession, folder: str, boundary: str | None = None) -> DataFrame:
+    """(path, source, text) of every .txt file below the folder; unreadable files are skipped. With a ``boundary``, which
+    no text may have in it, a file holds any number of texts, each of them followed by the boundary."""
     rows = spark.read.option("ignoreCorruptFiles", True).text(
-        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]")
+        folder, wholetext=boundary is None, lineSep=boundary, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]")
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.regexp_replace(path, "^.*/", "").alias("source"), F.col("value").alias("text"))
 
