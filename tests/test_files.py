@@ -47,3 +47,12 @@ def test_texts_share_files(spark, monkeypatch, tmp_path):
     got = {r.doc_id: r.text for r in files.QUERIES["text_files"](spark, str(tmp_path)).collect()}
     assert got == {n: hashlib.md5(t.rstrip("\n").encode()).hexdigest() for n, t in enumerate(texts)}
     assert len(list(Path(urlparse(paths[0]).path).rglob("part-*.txt"))) <= files.FOLDERS
+
+
+def test_sessions_share_files(spark, monkeypatch):
+    paths, folder = [], files._folder
+    monkeypatch.setattr(files, "_folder", lambda *a: paths.append(folder(*a)) or paths[-1])
+    assert not compare(spark, connect(FOLDER), FOLDER, files.QUERIES["session_files"], files.ORACLES["session_files"])
+    parts = list(Path(urlparse(paths[0]).path).rglob("part-*.json"))
+    sessions = sum(1 for file in parts for line in file.open())
+    assert sessions > len(parts)

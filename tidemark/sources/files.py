@@ -158,11 +158,11 @@ TURN = (f"struct<task_id:string,session_id:string,question:string,status:string,
         f"started_at:string,finished_at:string>")
 
 
-def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Session files to (turns, sub_results, tool_calls, evidence). What was pending or running
-    when the file was written reads as failed; an old turn's result stands in for its text."""
+def read_sessions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Session files, or with ``lines`` files with a session in every line, to (turns, sub_results, tool_calls, evidence).
+    What was pending or running when the file was written reads as failed; an old turn's result stands in for its text."""
     docs = (spark.read.schema(f"session_id string, created_at string, current_task_id string, tenant_id string, turns array<{TURN}>")
-            .option("multiLine", True).option("recursiveFileLookup", True).json(path))
+            .option("multiLine", not lines).option("recursiveFileLookup", True).json(path))
 
     def settled(column):
         return F.when(F.col(column).isin("pending", "running"), "failed").otherwise(F.col(column))
