@@ -107,3 +107,19 @@ def test_a_product_of_small_tables_is_dealt_over_the_cores(spark):
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 50_000 and pairs.distinct().count() == 50_000
     assert len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 5_000
+
+
+def test_a_search_works_out_its_edges_once(spark):
+    """The edges that come in are read by one job, whatever is asked of the result."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(len(row))
+            yield row
+    nodes = spark.createDataFrame([(n, "Point", "", "") for n in "abcd"], NODE)
+    edges = spark.createDataFrame([("a", "b", "NEAR", "", 1.0, ""), ("b", "c", "NEAR", "", 1.0, ""), ("c", "d", "NEAR", "", 1.0, "")], EDGE)
+    found = g.search_subgraph(nodes, edges.mapInPandas(count, edges.schema), "A")
+    assert sorted(r.name for r in found[0].collect()) == ["a", "b"]
+    assert [(r.src, r.tgt) for r in found[1].collect()] == [("a", "b")]
+    assert seen.value == 3

@@ -37,10 +37,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def induced(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges with both ends in ``names(name)``. The edges of a hub are looked up in their map tasks."""
-    for end in ("src", "tgt"):
-        edges = semi_join(edges, names.select(F.col("name").alias(end)), [end]).select(*edges.columns)
-    return edges
+    """Edges with both ends in ``names(name)``. The edges of a hub are looked up in their map tasks. Each step reads its
+    tables several times, so the names and the edges between the steps are written."""
+    names, columns = written(names.select("name").distinct(), "names"), edges.columns
+    edges = written(semi_join(edges, names.withColumnRenamed("name", "src"), ["src"]).select(*columns), "from-names")
+    return semi_join(edges, names.withColumnRenamed("name", "tgt"), ["tgt"]).select(*columns)
 
 
 def filter_by_type(nodes: DataFrame, edges: DataFrame, entity_type: str) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +55,10 @@ def search_subgraph(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[Data
     needle = text.lower()
     hits = nodes.where(F.contains(F.lower("name"), F.lit(needle))
                        | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(needle))).select("name")
-    near = (semi_join(both_ways(edges), hits.withColumnRenamed("name", "node"), ["node"])
-            .select(F.explode(F.array("node", "other")).alias("name")))
-    selected = hits.union(near).distinct()
+    # read several times below
+    hits, edges = written(hits.distinct(), "hits"), written(edges, "edges")
+    near = semi_join(both_ways(edges), hits.withColumnRenamed("name", "node"), ["node"]).select(F.col("other").alias("name"))
+    selected = written(hits.union(near.distinct()).distinct(), "selected")
     return nodes.join(selected, "name", "left_semi").select(*nodes.columns), induced(edges, selected)
 
 
