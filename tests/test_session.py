@@ -23,3 +23,21 @@ def test_without_machine_defaults(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     folder = next(line.split()[1] for line in done.stdout.splitlines() if line.startswith("FOLDER"))
     assert str(tmp_path) in folder and not Path(folder.removeprefix("file:")).exists()  # gone with the process
+
+
+def test_shuffles_start_from_partitions_for_the_largest_table(spark, monkeypatch):
+    """With 1 KB of table to a partition there are more partitions than the session's, and a smaller table lowers nothing."""
+    from pyspark.sql import functions as F
+    from tidemark import session
+    from tidemark.plans import inputs
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(first, None)
+    try:
+        monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1 << 10)
+        inputs.table(spark, "/root/testdata/sf0.01", "orders")
+        many = int(spark.conf.get(first))
+        assert many > 100
+        inputs.table(spark, "/root/testdata/sf0.01", "region")
+        assert int(spark.conf.get(first)) == many
+    finally:
+        spark.conf.unset(first) if before is None else spark.conf.set(first, before)
