@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scan, text as tx
 from tidemark.operators import chunking as ch, extract as ex
+from tidemark.plans import texts
 
 
 def values(spark, texts, *columns):
@@ -252,3 +253,14 @@ def test_document_graph(spark):
     assert got == {("上城区", "District", where), ("推进更新", "PolicyMeasure", where), ("西湖区", "District", where),
                    ("城市更新条例", "Policy", where), ("杭州东站", "Infrastructure", where)}
     assert [(r.src, r.keywords, r.tgt, r.description) for r in edges.collect()] == [("推进更新", "TARGETS", "上城区", "推进更新 TARGETS 上城区")]
+
+
+def test_names_are_looked_up_once_per_text(spark):
+    rows = spark.createDataFrame([(1, "ab cd", ["ab", "b c", "x", ""]), (2, None, ["a"]), (3, "", [])], "id int, content string, names array<string>")
+    found = {r.id: r.found for r in rows.select("id", ex.names_in_text("content", "names").alias("found")).collect()}
+    assert found == {1: [True, True, False, True], 2: None, 3: []}
+
+
+def test_no_word_is_shuffled_to_its_document(spark):
+    plan = texts.QUERIES["validate_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,20 +183,38 @@ def import_extract(chunks: DataFrame, responses: DataFrame, rules: Rules = Rules
             relations.unionByName(more[1]).join(where, "chunk_id"))
 
 
-def validate_entities(raw: DataFrame, contents: DataFrame, types=vocab.ENTITY_TYPES,
+def names_in_text(content, names) -> Column:
+    """array<boolean>: which of the names, an array, the content has. Each different name is looked up once per text, by
+    Python's search, which skips most characters; Spark's goes byte by byte, through every whole text without the name."""
+    def found(contents: pd.Series, lists: pd.Series) -> pd.Series:
+        def looked_up(text, names):
+            if text is None or names is None:
+                return None
+            words = set(text.split())
+            known = {n: n in words or n in text for n in set(names)}
+            return [known[n] for n in names]
+        return pd.Series([looked_up(*row) for row in zip(contents, lists)], dtype=object)
+    return F.pandas_udf(found, "array<boolean>")(content, names)
+
+
+def validate_entities(raw: DataFrame, contents: DataFrame | None = None, types=vocab.ENTITY_TYPES,
                       sentence_types=vocab.SENTENCE_TYPES, verbs=vocab.VERB_PREFIXES,
                       connectives=vocab.CONNECTIVES) -> DataFrame:
     """Raw (chunk_id, position, entity_name, entity_type, description) with ``name`` and
-    ``reason``; an empty reason means accepted. ``contents(chunk_id, content)``."""
+    ``reason``; an empty reason means accepted. ``contents(chunk_id, content)``; without it raw rows have ``in_text``,
+    whether their chunk's content has the name (``names_in_text``, before a chunk's entities become rows): nothing is
+    shuffled then."""
     name = strip(F.coalesce("entity_name", F.lit("")))
     sentence = F.col("entity_type").isin(*sentence_types)
     name = F.when(sentence, F.substring(name, 1, 40)).otherwise(name)
     # the name is worked out below the join: above it, a filter on the reason would repeat
     # the expression at each of its uses
-    rows = raw.withColumn("name", name).join(contents, "chunk_id")
+    rows = raw.withColumn("name", name)
+    if contents is not None:
+        rows = rows.join(contents, "chunk_id").withColumn("in_text", F.contains("content", "name"))
     reason = (F.when(~F.coalesce(F.col("entity_type").isin(*types), F.lit(False)), "invalid type")
               .when(sentence, F.when(F.length("name") < 2, "empty").otherwise(""))
-              .otherwise(reject_reason("name", "content", verbs, connectives)))
+              .otherwise(reject_reason("name", None, verbs, connectives, "in_text")))
     text = strip(F.coalesce("description", F.lit("")))
     return rows.select("chunk_id", "position", "name", "entity_type",
                        F.when(text == "", F.concat("entity_type", F.lit(": "), "name")).otherwise(text).alias("description"),
@@ -244,9 +263,12 @@ def build_document_graph(chunks: DataFrame, responses: DataFrame, priority: dict
     rows = chunks.join(responses.withColumnRenamed("chunk_id", "id"), "id", "left").withColumn(
         "json", F.when(F.try_parse_json(fenced).isNotNull() & F.ltrim(fenced).startswith("{") & strip(fenced).endswith("}"), fenced))
     read = rows.where("json is not null").select(F.col("id").alias("chunk_id"), "content", F.from_json("json", shape).alias("j"))
-    raw_entities = read.select("chunk_id", F.posexplode("j.entities").alias("position", "e")).select("chunk_id", "position", "e.*")
+    names = F.transform("j.entities", lambda e: strip(F.coalesce(e["entity_name"], F.lit(""))))
+    listed = F.arrays_zip(F.col("j.entities").alias("e"), names_in_text("content", names).alias("in_text"))
+    raw_entities = (read.where("chunk_id is not null").select("chunk_id", F.posexplode(listed).alias("position", "l"))
+                    .select("chunk_id", "position", "l.e.*", "l.in_text"))
     raw_relations = read.select("chunk_id", F.posexplode("j.relationships").alias("position", "r")).select("chunk_id", "position", "r.*")
-    entities = validate_entities(raw_entities, read.select("chunk_id", "content"), types).where("reason = ''").drop("reason")
+    entities = validate_entities(raw_entities, types=types).where("reason = ''").drop("reason")
     relations = validate_relations(raw_relations, entities, relation_types)
     found = fallback_extract(rows.where("json is null"), **fallback)
     where = chunks.select(F.col("id").alias("chunk_id"), "chunk_no",
