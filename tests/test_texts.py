@@ -264,3 +264,14 @@ def test_names_are_looked_up_once_per_text(spark):
 def test_no_word_is_shuffled_to_its_document(spark):
     plan = texts.QUERIES["validate_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_relations_need_both_names_of_their_own_chunk(spark):
+    accepted = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "a"), (None, "b"), (1, None)], "chunk_id int, name string")
+    raw = spark.createDataFrame(
+        [(c, n, s, t, k, "", None) for n, (c, s, t, k) in enumerate([
+            (1, "a", "b", "PART_OF"), (1, " b ", "a", "TARGETS"), (1, "a", "c", "PART_OF"), (2, "a", "b", "PART_OF"), (2, "c", "c", "PART_OF"),
+            (None, "a", "b", "PART_OF"), (1, "a", None, "PART_OF"), (1, "a", "b", "ELSE")])],
+        "chunk_id int, position int, src string, tgt string, type string, description string, weight double")
+    found = ex.validate_relations(raw, accepted)
+    assert sorted((r.chunk_id, r.position, r.src, r.tgt, r.weight) for r in found.collect()) == [(1, 0, "a", "b", 1.0), (1, 1, "b", "a", 1.0), (2, 4, "c", "c", 1.0)]

@@ -223,12 +223,26 @@ def validate_entities(raw: DataFrame, contents: DataFrame | None = None, types=v
 
 def validate_relations(raw: DataFrame, accepted: DataFrame, types=vocab.RELATION_TYPES) -> DataFrame:
     """Raw (chunk_id, position, src, tgt, type, description, weight) whose type is known and
-    whose ends are accepted names of the same chunk."""
+    whose ends are accepted names of the same chunk. Relations and names are shuffled once, by chunk, and a chunk's names come before
+    its relations; a task holds the names of one chunk."""
     rows = raw.where(F.col("type").isin(*types)).withColumn("src", strip("src")).withColumn("tgt", strip("tgt"))
-    rows = rows.where("src <> '' and tgt <> ''")
-    names = accepted.select("chunk_id", "name").distinct()
-    for end in ("src", "tgt"):
-        rows = rows.join(names.withColumnRenamed("name", end), ["chunk_id", end], "left_semi")
+    rows = rows.where("src <> '' and tgt <> ''").withColumn("_name", F.lit(False))
+    names = accepted.where("name is not null").select("chunk_id", F.col("name").alias("src"), F.lit(True).alias("_name"))
+    rows = rows.unionByName(names, allowMissingColumns=True).where("chunk_id is not null")
+    rows = rows.repartition("chunk_id").sortWithinPartitions("chunk_id", F.desc("_name"))
+
+    def known(batches):
+        chunk, names = None, set()
+        for batch in batches:
+            keep = []
+            for at, is_name, src, tgt in zip(batch["chunk_id"], batch["_name"], batch["src"], batch["tgt"]):
+                if at != chunk:
+                    chunk, names = at, set()
+                if is_name:
+                    names.add(src)
+                keep.append(not is_name and src in names and tgt in names)
+            yield batch[keep]
+    rows = rows.mapInPandas(known, rows.schema)
     text = strip(F.coalesce("description", F.lit("")))
     return rows.select("chunk_id", "position", "src", "tgt", F.col("type").alias("predicate"),
                        F.when(text == "", F.concat_ws(" ", "src", "type", "tgt")).otherwise(text).alias("description"),
