@@ -4,12 +4,14 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit as au, evaluate as ev, memory as me, retrieve as r, sessions as se, traces as tc
 from tidemark.sources import files, stores
 from tidemark.streaming import jobs
+from tidemark.streaming import runs
 from tidemark.streaming.runs import finish, latest, replay
 from tidemark.tables import Ordered, split_hot_join
 
@@ -324,3 +326,12 @@ def test_stream_questions_keeps_a_short_list(spark):
     df = spark.createDataFrame([("u", n, q) for n, q in enumerate(asked)], "user_id string, position int, question string")
     rows = latest(finish(jobs.stream_questions(replay(df, F.col("position"), 2, files=1), cap=2), "update"), "user_id").collect()
     assert rows[0].recent == ["a", "c"] and rows[0].total == 5
+
+
+def test_python_workers_of_streams_hold_few_rows(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, n = spark.conf.get(setting), 16 * runs.RESULT_ROWS
+    rows = replay(spark.range(n), F.col("id"), slices=1)
+    sizes = finish(rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long"), "append")
+    assert tuple(sizes.agg(F.sum("n"), F.max("n")).head()) == (n, runs.RESULT_ROWS)
+    assert spark.conf.get(setting) == before

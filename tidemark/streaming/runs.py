@@ -25,6 +25,10 @@ def replay(df: DataFrame, order: Column, slices: int = 4, files: int | None = No
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slice=*")
 
 
+#: rows that go to a Python worker, and back, in one batch: most are a key's own there, with a frame for each key
+RESULT_ROWS = 500
+
+
 def finish(stream: DataFrame, mode: str) -> DataFrame:
     """Rows of all batches with their ``batch`` number, written batch by batch."""
     spark = stream.sparkSession
@@ -34,15 +38,18 @@ def finish(stream: DataFrame, mode: str) -> DataFrame:
         # overwriting the batch's own folder makes a repeated batch harmless
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
     # state is kept per shuffle partition: one per core, whatever the session says for batch work
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    settings = {"spark.sql.shuffle.partitions": spark.sparkContext.defaultParallelism,
+                "spark.sql.execution.arrow.maxRecordsPerBatch": RESULT_ROWS}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, str(value))
     try:
         query = (stream.writeStream.foreachBatch(step).outputMode(mode)
                  .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.parquet(f"{folder}/rows")
 
 
