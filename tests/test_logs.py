@@ -2,6 +2,7 @@
 
 import json
 import random
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -236,6 +237,20 @@ def test_graphml_round_trip(spark, tmp_path):
     assert {tuple(row) for row in got_edges.drop("predicate").collect()} == {tuple(row) for row in edges.collect()}
 
 
+@pytest.mark.parametrize("n", [0, 1, 4, 7])
+def test_graphml_documents_are_bounded(spark, tmp_path, n):
+    nodes = spark.createDataFrame([(f"n{k}", "Point", "", "s") for k in range(n)], "name string, entity_type string, description string, source_id string").coalesce(1)
+    edges = spark.createDataFrame([("n0", f"n{k}", "NEAR, z", "d", 0.5, "s") for k in range(n)],
+                                  "src string, tgt string, keywords string, description string, weight double, source_id string").coalesce(1)
+    stores.write_graphml(nodes, edges, str(tmp_path / "g"), elements=2)
+    held = [len(ElementTree.fromstring(file.read_bytes()).findall(".//{*}node") + ElementTree.fromstring(file.read_bytes()).findall(".//{*}edge"))
+            for file in (tmp_path / "g").glob("part-*")]
+    assert sum(held) == 2 * n and max(held, default=0) == min(n, 2)
+    got_nodes, got_edges = files.read_graphml(spark, str(tmp_path / "g"))
+    assert {tuple(row) for row in got_nodes.collect()} == {tuple(row) for row in nodes.collect()}
+    assert {tuple(row) for row in got_edges.drop("predicate").collect()} == {tuple(row) for row in edges.collect()}
+
+
 def test_sessions_are_settled_on_reading(spark, tmp_path):
     sub = {"agent_name": "G", "status": "running", "answer": "", "evidence": [{"id": "E1", "text": "t"}], "tool_calls": [{"name": "f", "input": {"q": 1}, "output": "o", "truncated": False}]}
     session = {"session_id": "s", "created_at": "2026", "current_task_id": "t2", "turns": [

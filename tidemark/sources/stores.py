@@ -136,17 +136,27 @@ GRAPHML_KEYS = (("d0", "node", "entity_type"), ("d1", "node", "description"), ("
                 ("d3", "edge", "keywords"), ("d4", "edge", "description"), ("d5", "edge", "weight"), ("d6", "edge", "source_id"))
 
 
-def _as_documents(head: str, tail: str):
+def _as_documents(head: str, tail: str, elements: int):
+    """Rows with a head before and a tail behind every ``elements`` of them; without rows, an empty document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = 0  # in the document that was begun last
         yield pd.DataFrame({"value": [head]})
-        yield from batches
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                if held == elements:
+                    yield pd.DataFrame({"value": [tail, head]})
+                    held = 0
+                piece = batch.iloc[at:at + elements - held]
+                yield piece
+                at, held = at + len(piece), held + len(piece)
         yield pd.DataFrame({"value": [tail]})
     return run
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as GraphML. Every part file is a whole document of its own, so the parts are
-    written and read in parallel."""
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, elements: int = 50_000) -> None:
+    """The graph as GraphML. Every part file is a whole document of its own with at most ``elements`` nodes and edges, so the
+    parts are written and read in parallel: a task reads a file of XML whole, however large it is."""
     def escaped(column):
         text = F.coalesce(F.col(column).cast("string"), F.lit(""))
         for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -164,7 +174,9 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
             f'{keys}<graph edgedefault="directed">')
     rows = element(nodes, "node", "node", ("id", "name")).unionByName(
         element(edges, "edge", "edge", ("source", "src"), ("target", "tgt")))
-    rows.mapInPandas(_as_documents(head, "</graph></graphml>"), "value string").write.mode("overwrite").text(path)
+    documents = rows.mapInPandas(_as_documents(head, "</graph></graphml>", elements), "value string")
+    # a file ends where its document does
+    documents.write.mode("overwrite").option("maxRecordsPerFile", elements + 2).text(path)
 
 
 def import_summary(files: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
