@@ -41,3 +41,16 @@ def test_shuffles_start_from_partitions_for_the_largest_table(spark, monkeypatch
         assert int(spark.conf.get(first)) == many
     finally:
         spark.conf.unset(first) if before is None else spark.conf.set(first, before)
+
+
+def test_a_scan_task_reads_a_bounded_number_of_bytes(spark, monkeypatch):
+    from tidemark import session
+    from tidemark.plans import inputs
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        monkeypatch.setattr(session, "BYTES_PER_SCAN", 1 << 16, raising=False)
+        lineitem = inputs.table(spark, "/root/testdata/sf0.1", "lineitem")
+        assert lineitem.rdd.getNumPartitions() > 100
+    finally:
+        spark.conf.set(name, before)
