@@ -350,3 +350,19 @@ def test_python_workers_of_streams_hold_few_rows(spark):
     sizes = finish(rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long"), "append")
     assert tuple(sizes.agg(F.sum("n"), F.max("n")).head()) == (n, runs.RESULT_ROWS)
     assert spark.conf.get(setting) == before
+
+
+def test_trace_index_sends_few_columns_to_python(spark, monkeypatch):
+    """The first of two roots counts, with what the spans of its batch tell; a later batch adds no second row."""
+    sent, stateful = [], jobs._stateful
+    monkeypatch.setattr(jobs, "_stateful", lambda df, *a: sent.append(df.columns) or stateful(df, *a))
+    spans = [("r2", "t", "b", None, 7, 9, 1.5, {"chat.question": "q2"}, "OK", 1), ("r1", "t", "a", "", 7, 8, 0.1, {"chat.question": 'q "1"\n'}, "OK", 1),
+             ("s", "t", "c", "a", 8, 9, 0.5, {"gen_ai.agent.name": "A\nx y"}, "StatusCode.ERROR", 1), ("r0", "t", "d", None, 1, 2, 0.5, {}, "OK", 9),
+             ("u", "u", "e", "gone", 1, 2, 0.5, {}, "OK", 1), ("v", "v", "f", None, None, None, None, {"gen_ai.agent.name": "B"}, "OK", 9)]
+    df = spark.createDataFrame(spans, "name string, trace_id string, span_id string, parent_id string, start_time bigint, end_time bigint, "
+                                      "duration_ms double, attributes map<string,string>, status string, n int")
+    df = df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")))
+    rows = finish(jobs.stream_trace_index(replay(df, F.col("n"), slices=2, files=1).drop("n")), "append").drop("batch")
+    assert sorted(map(tuple, rows.collect())) == [("t", 7, 8, 0.1, "r1", 'q "1"\n', "", "", ["A\nx y"], 3, True),
+                                                  ("v", None, None, None, "v", "", "", "", ["B"], 1, False)]
+    assert len(sent[0]) == 3

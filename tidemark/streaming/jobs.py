@@ -50,6 +50,14 @@ def stream_import(files: DataFrame, store: str, checkpoint: str, size: int = 700
 
 INDEX = ("trace_id string, start_time bigint, end_time bigint, duration_ms double, root_name string, question string, "
          "session_id string, user_id string, agents array<string>, span_count bigint, has_error boolean")
+ROOT_FIELDS = ("start_time", "end_time", "duration_ms", "root_name", "question", "session_id", "user_id")
+
+
+def _root_order(root: str) -> tuple:
+    """The first root span by start and id; those without come last."""
+    fields = json.loads(root)
+    start, span = fields.get("start_time"), fields.get("span_id")
+    return start is None, start or 0, span is None, span or ""
 
 
 def stream_trace_index(spans: DataFrame, event_time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -60,34 +68,41 @@ def stream_trace_index(spans: DataFrame, event_time: str = "ts", late: str = "1
             state.remove()
             return
         indexed, count, error, agents = state.get if state.exists else (False, 0, False, "")
-        names, root, latest = set(filter(None, agents.split("\n"))), None, 0
+        names, roots, latest = set(filter(None, agents.split("\n"))), [], 0
         for rows in batches:
             count += len(rows)
-            error = error or bool(rows["is_error"].any())
-            names.update(a for a in rows["agent"] if a)
-            latest = max(latest, int(rows["event_ms"].max()))
-            roots = rows[rows["is_root"]]
-            if len(roots):
-                first = roots.sort_values(["start_time", "span_id"]).iloc[0]
-                if root is None or (first["start_time"], first["span_id"]) < (root["start_time"], root["span_id"]):
-                    root = first
-        emit = root is not None and not indexed
+            for span in rows["span"]:
+                facts, _, root = span.rpartition("\n")
+                at, _, agent = facts[1:].partition(" ")
+                error, latest = error or facts[0] == "E", max(latest, int(at or 0))
+                if agent:
+                    names.add(agent)
+                if root:
+                    roots.append(root)
+        emit = bool(roots) and not indexed
         state.update((indexed or emit, count, error, "\n".join(sorted(names))))
         deadline = max(latest, state.getCurrentWatermarkMs()) + 1
         state.setTimeoutTimestamp(deadline)
         if emit:
-            yield pd.DataFrame([{
-                "trace_id": key[0], **{c: root[c] for c in ("start_time", "end_time", "duration_ms")},
-                "root_name": root["name"], **{c: root[c] for c in ("question", "session_id", "user_id")},
-                "agents": sorted(names), "span_count": count, "has_error": error}])
-
-    rows = spans.withWatermark(event_time, late).select(
-        "trace_id", "span_id", "name", "start_time", "end_time", "duration_ms", event_time,
-        F.unix_millis(event_time).alias("event_ms"), is_root().alias("is_root"), is_error().alias("is_error"),
-        _attribute("gen_ai.agent.name").alias("agent"), _attribute("city.question", "chat.question").alias("question"),
-        _attribute("city.session_id", "chat.session_id").alias("session_id"), _attribute("city.user_id").alias("user_id"))
-    return _stateful(rows, "trace_id", step, INDEX, "indexed boolean, count bigint, error boolean, agents string",
-                     "append", GroupStateTimeout.EventTimeTimeout)
+            root = roots[0] if len(roots) == 1 else min(roots, key=_root_order)
+            found = json.dumps({"trace_id": key[0], "agents": sorted(names), "span_count": count, "has_error": error})
+            yield pd.DataFrame({"found": [f'{found[:-1]}, "root": {root}}}']})
+
+    # pandas makes a frame for every trace, and its time goes by columns: a span is one text of a mark for an error, its
+    # time, its agent and, in a last line, the JSON of what the index shows of a root
+    root = F.struct("start_time", "span_id", "end_time", "duration_ms", F.col("name").alias("root_name"),
+                    _attribute("city.question", "chat.question").alias("question"),
+                    _attribute("city.session_id", "chat.session_id").alias("session_id"), _attribute("city.user_id").alias("user_id"))
+    span = F.concat(F.when(is_error(), "E").otherwise(" "), F.coalesce(F.unix_millis(event_time).cast("string"), F.lit("")), F.lit(" "),
+                    _attribute("gen_ai.agent.name"), F.lit("\n"), F.when(is_root(), F.to_json(root)).otherwise(""))
+    rows = spans.withWatermark(event_time, late).select("trace_id", event_time, span.alias("span"))
+    found = _stateful(rows, "trace_id", step, "found string", "indexed boolean, count bigint, error boolean, agents string",
+                      "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = dict(field.split() for field in INDEX.split(", "))
+    shown = ", ".join(f"{c}:{kinds[c]}" for c in ROOT_FIELDS)
+    index = found.select(F.from_json("found", f"trace_id string, root struct<{shown}>, agents array<string>, "
+                                              "span_count bigint, has_error boolean").alias("i"))
+    return index.select(*[F.col(f"i.root.{c}" if c in ROOT_FIELDS else f"i.{c}").alias(c) for c in kinds])
 
 
 def stream_questions(questions: DataFrame, cap: int = 50, chars: int = 200, **topics) -> DataFrame:
