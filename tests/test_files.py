@@ -56,3 +56,19 @@ def test_sessions_share_files(spark, monkeypatch):
     parts = list(Path(urlparse(paths[0]).path).rglob("part-*.json"))
     sessions = sum(1 for file in parts for line in file.open())
     assert sessions > len(parts)
+
+
+def test_points_of_geojson_are_read_as_numbers(spark, tmp_path, monkeypatch):
+    """Shapes that are no points lie between them; JSON as text is read for the few boundaries alone."""
+    from tidemark.sources import files as readers
+    schemas, read = [], readers._json
+    monkeypatch.setattr(readers, "_json", lambda spark, path, schema: schemas.append(schema) or read(spark, path, schema))
+    ring = [[[0, 0], [4.5, 0], [4, 4], [0, 0]]]
+    shapes = [("Point", [1, 2.5]), ("Polygon", ring), ("Point", [3e-1, -4, 9]), ("LineString", ring[0]), ("Point", [5]), ("Point", None), ("Point", [7, 8])]
+    doc = {"type": "FeatureCollection", "years": [2001], "year_boundaries": {"2001": {"type": "Polygon", "coordinates": ring}},
+           "features": [{"geometry": {"type": kind, "coordinates": at}, "properties": {"id": f"p{n}", "name": "x"}} for n, (kind, at) in enumerate(shapes)]}
+    (tmp_path / "city.json").write_text(json.dumps(doc, indent=1))
+    points, boundaries = readers.read_geojson(spark, str(tmp_path / "city.json"))
+    assert [(r.point_id, r.lon, r.lat) for r in points.collect()] == [("p0", 1.0, 2.5), ("p2", 0.3, -4.0), ("p4", 5.0, None), ("p5", None, None), ("p6", 7.0, 8.0)]
+    assert [(r.year, r.rings) for r in boundaries.collect()] == [(2001, [[[float(v) for v in at] for at in ring[0]]])]
+    assert not any("coordinates:string" in s for s in schemas if "features" in s)

@@ -45,11 +45,14 @@ GEOMETRY = "struct<type:string,coordinates:string>"
 
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A FeatureCollection with ``years`` and ``year_boundaries`` to (points, boundaries)."""
-    doc = _json(spark, path, f"features array<struct<geometry:{GEOMETRY},properties:struct<id:string,name:string,type:string>>>, "
-                             f"years array<int>, year_boundaries map<string,{GEOMETRY}>")
+    # coordinates of points are read as numbers: for nested JSON as text Spark seeks the file again at every value. Of other
+    # shapes, which drop out, the numbers are nested deeper and read as null
+    features = _json(spark, path, "features array<struct<geometry:struct<type:string,coordinates:array<double>>,"
+                                  "properties:struct<id:string,name:string,type:string>>>")
+    doc = _json(spark, path, f"years array<int>, year_boundaries map<string,{GEOMETRY}>")
     only_points = F.filter("features", lambda f: f.geometry.type == "Point")
-    rows = doc.select(F.posexplode(only_points).alias("n", "f"))
-    at = F.from_json("f.geometry.coordinates", "array<double>")
+    rows = features.select(F.posexplode(only_points).alias("n", "f"))
+    at = F.col("f.geometry.coordinates")
     points = rows.select(
         F.coalesce("f.properties.id", F.format_string("point_%d", "n")).alias("point_id"),
         F.coalesce("f.properties.name", F.format_string("点%d", F.col("n") + 1)).alias("name"),
