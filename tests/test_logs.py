@@ -366,3 +366,16 @@ def test_trace_index_sends_few_columns_to_python(spark, monkeypatch):
     assert sorted(map(tuple, rows.collect())) == [("t", 7, 8, 0.1, "r1", 'q "1"\n', "", "", ["A\nx y"], 3, True),
                                                   ("v", None, None, None, "v", "", "", "", ["B"], 1, False)]
     assert len(sent[0]) == 3
+
+
+def test_only_names_of_known_chunks_are_compared(spark, tmp_path, monkeypatch):
+    kept, written = {}, stores.written
+    monkeypatch.setattr(stores, "written", lambda df, name, *a: kept.setdefault(name, df.columns) and written(df, name, *a))
+
+    def chunks(*names):
+        return spark.createDataFrame([(n, f"text {n}", ["k"], "s", 1, 0, "text") for n in names], stores.CHUNKS)
+    for names in ("ab", "ab", "abc", "cd", ""):
+        stores.write_chunks(chunks(*names), str(tmp_path / "s"))
+    rows = stores.read_chunks(spark, str(tmp_path / "s"))
+    assert sorted((r.id, r.content) for r in rows.collect()) == [(n, f"text {n}") for n in "abcd"]
+    assert kept["new-names"] == ["id", "hash"]

@@ -39,6 +39,11 @@ def current(spark: SparkSession, path: str) -> tuple[int, dict[str, dict]]:
         stream.close()
 
 
+def commits(spark: SparkSession, path: str, table: str) -> list[str]:
+    """The commits that the newest manifest counts as the table."""
+    return current(spark, path)[1].get(table, {}).get("commits", [])
+
+
 def read(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     """What the newest manifest counts as the table; without any commit, no rows of ``schema``."""
     known = current(spark, path)[1].get(table)
@@ -54,7 +59,7 @@ def stage(rows: DataFrame, path: str, table: str, partition_by: str | None = Non
     commit = uuid.uuid4().hex
     writer = rows.write
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.partitionBy(partition_by).option("compression", "zstd")
     writer.parquet(f"{path}/data/{table}/commit={commit}")
     return {"commit": commit, "schema": rows.schema.jsonValue()}
 
