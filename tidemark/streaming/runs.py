@@ -17,11 +17,15 @@ def replay(df: DataFrame, order: Column, slices: int = 4, files: int | None = No
     folder = f"{scratch_dir(spark)}/tidemark/replay-{uuid.uuid4().hex}"
     low, high = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).head()
     width = max((high - low + 1) / slices, 1.0)
-    part = F.least(F.floor((order.cast("double") - low) / width), F.lit(slices - 1))
+    part = F.least(F.floor((order.cast("double") - low) / width), F.lit(slices - 1)).cast("int")
+    # written once, by slice, and not found anew for each
+    rows = f"{scratch_dir(spark)}/tidemark/replayed-{uuid.uuid4().hex}"
+    df.withColumn("_slice", part).write.partitionBy("_slice").parquet(rows)
+    sliced = spark.read.schema(df.withColumn("_slice", part).schema).parquet(rows)
     # the trigger counts files and takes them in the order they were written
     files = files or spark.sparkContext.defaultParallelism
     for number in range(slices):
-        df.where(part == number).repartition(files).write.parquet(f"{folder}/slice={number}")
+        sliced.where(F.col("_slice") == number).drop("_slice").repartition(files).write.parquet(f"{folder}/slice={number}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slice=*")
 
 
