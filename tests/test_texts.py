@@ -275,3 +275,29 @@ def test_relations_need_both_names_of_their_own_chunk(spark):
         "chunk_id int, position int, src string, tgt string, type string, description string, weight double")
     found = ex.validate_relations(raw, accepted)
     assert sorted((r.chunk_id, r.position, r.src, r.tgt, r.weight) for r in found.collect()) == [(1, 0, "a", "b", 1.0), (1, 1, "b", "a", 1.0), (2, 4, "c", "c", 1.0)]
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
+def test_only_short_chunks_and_those_before_them_are_folded(spark, monkeypatch, hot_rows):
+    import random
+    rng, folded, numbered = random.Random(5), [], ch.numbered_groups
+    monkeypatch.setattr(ch, "numbered_groups", lambda rows, *a: folded.append(rows.count()) or numbered(rows, *a))
+    rows = [(doc, "s", n // 9, n, "x" * rng.choice([2, 5, 8, 30, 40, 41, 55]), ["h"] if n % 17 < 12 else ["h", "i"]) for doc in range(4) for n in range(60)]
+    chunks = spark.createDataFrame(rows, "doc_id int, source string, page int, chunk_index int, content string, heading_path array<string>")
+    got = ch.merge_tiny(chunks, 10, 60, hot_rows=hot_rows)
+    want = []
+    for before, row in zip([None, *rows], rows):
+        if before and before[0] == row[0] and before[5] == row[5] and len(row[4]) < 10 and len(want[-1][4]) + len(row[4]) <= 60:
+            want[-1][4] += "\n" + row[4]
+        else:
+            want.append(list(row))
+    assert sorted(map(list, got.select("doc_id", "source", "page", "chunk_index", "content", "heading_path").collect())) == sorted(want)
+    assert folded[0] < len(rows)
+
+
+def test_font_sizes_meet_lengths_not_texts(spark):
+    lines = spark.createDataFrame([(1, "s", n, "text" * n, 11.0 + n % 2, n % 3 == 0, 1) for n in range(9)],
+                                  "doc_id int, source string, line_no int, text string, size double, bold boolean, page int")
+    plan = ch.font_stats(lines)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join"):]
+    assert "length(text" in joined  # below the join

@@ -68,9 +68,11 @@ def font_stats(lines: DataFrame) -> DataFrame:
     body = lines.groupBy("doc_id").agg(F.coalesce(
         -F.expr("percentile_disc(0.5) within group (order by -size) filter (where size > 0)"),
         F.lit(0.0)).alias("body_size"))
-    heading = (F.length("text") <= 40) & ((F.col("size") >= F.col("body_size") * 1.4)
-                                          | (F.col("bold") & (F.length("text") <= 30)))
-    share = (lines.join(body, "doc_id").groupBy("doc_id", "body_size")
+    heading = (F.col("chars") <= 40) & ((F.col("size") >= F.col("body_size") * 1.4)
+                                        | (F.col("bold") & (F.col("chars") <= 30)))
+    # the lengths of lines go to the sizes of their document, their texts stay
+    slim = lines.select("doc_id", "size", "bold", F.length("text").alias("chars"))
+    share = (slim.join(body, "doc_id").groupBy("doc_id", "body_size")
              .agg(F.count_if(heading).alias("heads"), F.count("*").alias("n")))
     return share.select("doc_id", "body_size",
                         ((F.col("body_size") > 0) & (F.col("heads") <= F.col("n") * 0.30)).alias("font_reliable"))
@@ -104,9 +106,16 @@ def merge_tiny(chunks: DataFrame, min_chars: int = 60, size: int = 700, **option
     ordered = Ordered(chunks, ["doc_id"], ["chunk_index"], **options)
     ordered.lag("_previous", F.col("heading_path"))
     ordered.running_sum("run", F.when(F.col("heading_path").eqNullSafe(F.col("_previous")), 0).otherwise(1))
-    rows = written(ordered.result().drop("_previous").select(
+    runs = ordered.result().drop("_previous").select(
         "doc_id", F.col("run").cast("long").alias("run"), F.col("source"), F.col("page").cast("int").alias("page"),
-        F.col("chunk_index").cast("int").alias("chunk_index"), "heading_path", "content"), "runs")
+        F.col("chunk_index").cast("int").alias("chunk_index"), "heading_path", "content")
+    short = F.coalesce(F.length("content") < min_chars, F.lit(True))
+    ahead = Ordered(runs.withColumn("_back", -F.col("chunk_index")), ["doc_id"], ["_back"], **options)
+    ahead.lag("_next", F.struct("run", short.alias("short")))
+    follows = F.coalesce((F.col("_next.run") == F.col("run")) & F.col("_next.short"), F.lit(False))
+    # a long chunk without a short one behind it is a group of its own, as what follows opens the next: only the others meet
+    rows = written(ahead.result().select(*runs.columns, (~short & ~follows).alias("alone")), "runs", "zstd")
+    alone, rows = rows.where("alone").drop("run", "alone"), rows.where("not alone").drop("alone")
     sizes = rows.select("doc_id", "run", "chunk_index", F.length("content").alias("chars"))
     numbered = numbered_groups(sizes, ["doc_id", "run"], ["chunk_index"], "chars", joining(min_chars, size), "group")
     # a group is its first chunk and what fits behind it
@@ -114,7 +123,8 @@ def merge_tiny(chunks: DataFrame, min_chars: int = 60, size: int = 700, **option
     merged = rows.join(numbered, ["doc_id", "run", "chunk_index"]).groupBy("doc_id", "run", "group").agg(
         F.min_by(rest, "chunk_index").alias("first"),
         strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c.content), "\n")).alias("content"))
-    return merged.select("doc_id", "first.source", "first.page", "first.chunk_index", "first.heading_path", "content")
+    merged = merged.select("doc_id", "first.source", "first.page", "first.chunk_index", "first.heading_path", "content")
+    return merged.unionByName(alone.withColumn("content", strip("content")))
 
 
 def chunk_structured(lines: DataFrame, size: int = 700, overlap: int = 80, min_chars: int = 60,
@@ -128,7 +138,7 @@ def chunk_structured(lines: DataFrame, size: int = 700, overlap: int = 80, min_c
     leveled = leveled.select("doc_id", "source", "line_no", "text", "page", "level")
     body = heading_paths(leveled, **options).where("level = 0").withColumn("chars", F.length("text"))
     body = body.select("doc_id", "source", "section", "line_no", "text", "page", "heading_path", "chars")
-    body = written(body, "body-lines")
+    body = written(body, "body-lines", "zstd")
     buffers = numbered_groups(body.select("doc_id", "section", "line_no", "chars"), ["doc_id", "section"], ["line_no"], "chars",
                               filling(size), "buffer")
     buffered = body.join(buffers, ["doc_id", "section", "line_no"])
@@ -141,7 +151,7 @@ def chunk_structured(lines: DataFrame, size: int = 700, overlap: int = 80, min_c
         "doc_id", "source", "section", "heading_path", "buffer", "page",
         F.posexplode(packed_sentences("content", size, overlap)).alias("piece", "content"))
     # numbered and merged in several passes: keep the pieces instead of cutting them again
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces, "pieces", "zstd")
     numbered = Ordered(pieces, ["doc_id"], ["section", "buffer", "piece"], **options).row_number("_n").result()
     merged = merge_tiny(numbered.withColumn("chunk_index", F.col("_n") - 1), min_chars, size, **options)
     return merged.select("doc_id", chunk_id("source", "page", "chunk_index", "content").alias("id"), "content",
