@@ -109,6 +109,19 @@ def test_a_product_of_small_tables_is_dealt_over_the_cores(spark):
     assert len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 5_000
 
 
+def test_no_side_of_a_product_is_gathered_in_the_driver(spark, monkeypatch):
+    """A small side looks small to Spark even when it is repeated for every cell: without a word against it, it is broadcast."""
+    many = written(spark.range(400).selectExpr("CAST(id % 3 AS INT) AS k", "NULLIF(id % 50, 7) AS a"), "many")
+    few = written(spark.range(90).selectExpr("CAST(NULLIF(id % 4, 3) AS INT) AS k", "NULLIF(id % 20, 0) AS b"), "few")
+    monkeypatch.setattr(tables, "PAIRS_PER_TASK", 1_000, raising=False)
+    pairs = tables.salted_join(many, few, ["k"], ["a"])
+    got, want = pairs.collect(), many.join(few, "k").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 8_000
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    # 36,000 pairs at most: more tasks than the 32 that there are for the cores
+    assert tables.salted_join(many, few, ["k"], ["a"]).rdd.getNumPartitions() == 36
+
+
 def test_a_search_works_out_its_edges_once(spark):
     """The edges that come in are read by one job, whatever is asked of the result."""
     seen = spark.sparkContext.accumulator(0)
