@@ -282,5 +282,27 @@ def test_links_are_distinct_without_being_grouped(spark):
     assert plan.startswith("Union"), plan[:200]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_few_names_go_to_the_texts_and_products_are_not_broadcast(spark, tmp_path, monkeypatch, most):
+    """Nodes are stored by type; the size that Spark sees of one type is that of all, so it would shuffle every gram."""
+    from tidemark.operators import link
+    rows = [(f"Z{k}", "District", "") for k in range(3)] + [(f"p{k}", "Point", f"行政区:Z{k % 4} | 用地:S（交通）") for k in range(40)]
+    rows += [(f"地铁{k}号线", "Infrastructure", "") for k in range(20)] + [(f"n{k}", "Policy", "x" * 100) for k in range(5)]
+    nodes = spark.createDataFrame(rows, "name string, entity_type string, description string")
+    nodes.write.partitionBy("entity_type").parquet(str(tmp_path / "nodes"))
+    monkeypatch.setattr(link, "BROADCAST_BYTES", most, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = link.link_graph(spark.read.parquet(str(tmp_path / "nodes")))
+        plan = links._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = links.select("src", "tgt", "predicate").collect()
+    assert sorted(map(tuple, got)) == sorted([(f"Z{k % 4}", f"p{k}", "GOVERNS") for k in range(40) if k % 4 < 3]
+                                             + [(f"地铁{n}号线", f"p{k}", "LOCATED_IN") for n in range(20) for k in range(40)])
+    assert ("BroadcastHashJoin [gram" in plan) == (most > 0)
+    assert "SortMergeJoin [_cell" in plan and "BroadcastHashJoin [_cell" not in plan
+
+
 def test_missing_years(spark, city):
     assert [r.year for r in graph.missing_years(city[0], 2019, 2023).orderBy("year").collect()] == [2019, 2023]
