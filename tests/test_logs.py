@@ -251,6 +251,21 @@ def test_graphml_documents_are_bounded(spark, tmp_path, n):
     assert {tuple(row) for row in got_edges.drop("predicate").collect()} == {tuple(row) for row in edges.collect()}
 
 
+def test_graphml_files_take_little_room(spark, tmp_path, monkeypatch):
+    """Documents are compressed where the query writes them; an element as text is longer than all of its row in the tables."""
+    from tidemark.plans import files as queries, graphs
+    nodes = spark.createDataFrame([(f'n{k} "<&>', "Point", "x\ny", "s") for k in range(300)], "name string, entity_type string, description string, source_id string")
+    edges = spark.createDataFrame([(f'n{k} "<&>', f'n{k % 7} "<&>', "NEAR, z", "d", 0.5, "s") for k in range(3000)],
+                                  "src string, tgt string, keywords string, description string, weight double, source_id string")
+    monkeypatch.setattr(graphs, "trade_graph", lambda spark, folder: (nodes, edges.where("src IS NOT NULL")))
+    monkeypatch.setattr(queries, "_folder", lambda spark, name: str(tmp_path / name))
+    got = {tuple(row) for row in queries.graphml_files(spark, "").collect()}
+    assert got == {(f'n{k} "<&>', f'n{k % 7} "<&>', "NEAR", 0.5, "Point") for k in range(3000)}
+    stores.write_graphml(nodes, edges, str(tmp_path / "plain"))
+    room = [sum(file.stat().st_size for file in (tmp_path / name).glob("part-*")) for name in ("graphml", "plain")]
+    assert room[0] * 5 < room[1]
+
+
 def test_sessions_are_settled_on_reading(spark, tmp_path):
     sub = {"agent_name": "G", "status": "running", "answer": "", "evidence": [{"id": "E1", "text": "t"}], "tool_calls": [{"name": "f", "input": {"q": 1}, "output": "o", "truncated": False}]}
     session = {"session_id": "s", "created_at": "2026", "current_task_id": "t2", "turns": [
