@@ -301,3 +301,22 @@ def test_font_sizes_meet_lengths_not_texts(spark):
     plan = ch.font_stats(lines)._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[plan.index("Join"):]
     assert "length(text" in joined  # below the join
+
+
+def test_relations_that_lie_by_chunk_are_not_shuffled_again(spark):
+    from pyspark.sql import Window, functions as F
+    from tidemark.operators import extract as ex
+    words = [(c, n, f"w{n % 4}") for c in (1, 2) for n in range(8)] + [(None, n, f"w{n}") for n in range(4)]
+    rows = spark.createDataFrame(words + words[:3], "chunk_id int, position int, src string")
+    following = F.lead("src").over(Window.partitionBy("chunk_id").orderBy("position"))
+    raw = rows.select("chunk_id", "position", "src", following.alias("tgt"), F.when(F.col("position") != 5, "TARGETS").alias("type"),
+                      F.when(F.col("position") == 0, " ").otherwise("d").alias("description"), F.lit(None).cast("double").alias("weight"))
+    accepted = spark.createDataFrame([(1, "w0"), (1, "w1"), (1, "w1"), (2, "w2"), (2, "w3"), (3, "w0"), (1, None), (None, "w0"), (None, "w1")], "chunk_id int, name string")
+    found = ex.validate_relations(raw, accepted)
+    got = sorted((r.chunk_id, r.position, r.src, r.tgt, r.predicate, r.description, r.weight) for r in found.collect())
+    # chunk 1 has its first three words twice
+    assert got == [(1, 0, "w0", "w0", "TARGETS", "w0 TARGETS w0", 1.0), (1, 0, "w0", "w1", "TARGETS", "w0 TARGETS w1", 1.0),
+                   (1, 1, "w1", "w1", "TARGETS", "d", 1.0), (1, 4, "w0", "w1", "TARGETS", "d", 1.0),
+                   (2, 2, "w2", "w3", "TARGETS", "d", 1.0), (2, 6, "w2", "w3", "TARGETS", "d", 1.0)]
+    plan = ex.validate_relations(raw, accepted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk_id") == 2 and "REPARTITION" not in plan

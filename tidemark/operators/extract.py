@@ -223,26 +223,22 @@ def validate_entities(raw: DataFrame, contents: DataFrame | None = None, types=v
 
 def validate_relations(raw: DataFrame, accepted: DataFrame, types=vocab.RELATION_TYPES) -> DataFrame:
     """Raw (chunk_id, position, src, tgt, type, description, weight) whose type is known and
-    whose ends are accepted names of the same chunk. Relations and names are shuffled once, by chunk, and a chunk's names come before
-    its relations; a task holds the names of one chunk."""
+    whose ends are accepted names of the same chunk. A chunk's different names are one row, which meets its relations in
+    another: relations that lie together by chunk, as behind a window, are not shuffled again. A task holds one chunk's."""
     rows = raw.where(F.col("type").isin(*types)).withColumn("src", strip("src")).withColumn("tgt", strip("tgt"))
-    rows = rows.where("src <> '' and tgt <> ''").withColumn("_name", F.lit(False))
-    names = accepted.where("name is not null").select("chunk_id", F.col("name").alias("src"), F.lit(True).alias("_name"))
-    rows = rows.unionByName(names, allowMissingColumns=True).where("chunk_id is not null")
-    rows = rows.repartition("chunk_id").sortWithinPartitions("chunk_id", F.desc("_name"))
-
-    def known(batches):
-        chunk, names = None, set()
-        for batch in batches:
-            keep = []
-            for at, is_name, src, tgt in zip(batch["chunk_id"], batch["_name"], batch["src"], batch["tgt"]):
-                if at != chunk:
-                    chunk, names = at, set()
-                if is_name:
-                    names.add(src)
-                keep.append(not is_name and src in names and tgt in names)
-            yield batch[keep]
-    rows = rows.mapInPandas(known, rows.schema)
+    rows = rows.where("src <> '' and tgt <> '' and chunk_id is not null")
+    names = accepted.where("name is not null and chunk_id is not null").groupBy("chunk_id").agg(F.collect_set("name").alias("_names"))
+    listed = rows.groupBy("chunk_id").agg(F.collect_list(F.struct("position", "src", "tgt", "type", "description", "weight")).alias("_rows"))
+
+    def known(names: pd.Series, src: pd.Series, tgt: pd.Series) -> pd.Series:
+        def looked_up(names, src, tgt):
+            names = set(names)
+            return [a in names and b in names for a, b in zip(src, tgt)]
+        return pd.Series([looked_up(*row) for row in zip(names, src, tgt)], dtype=object)
+    kept = F.pandas_udf(known, "array<boolean>")("_names", "_rows.src", "_rows.tgt")
+    rows = listed.join(names, "chunk_id").select("chunk_id", "_rows", kept.alias("_kept"))
+    rows = rows.select("chunk_id", F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_kept").alias("k"))).alias("z"))
+    rows = rows.where("z.k").select("chunk_id", "z.r.*")
     text = strip(F.coalesce("description", F.lit("")))
     return rows.select("chunk_id", "position", "src", "tgt", F.col("type").alias("predicate"),
                        F.when(text == "", F.concat_ws(" ", "src", "type", "tgt")).otherwise(text).alias("description"),
